@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("token_counts", "simple8b", "warc", "language_id", "mixing", "quality", "toxicity")
+_MODULES = ("token_counts", "simple8b", "warc", "language_id", "mixing", "quality", "toxicity", "ngram_jaccard")
 
 
 def queries() -> dict:
