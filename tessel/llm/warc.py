@@ -36,30 +36,28 @@ def record_id(page_id: int | None, digest: str) -> str:
 
 
 def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html (null for revisits), payload_bytes, payload_digest, record_type, refers_to of each page."""
+    """page_id, url, body (null for revisits), payload_bytes, payload_digest, record_type, refers_to of each page.
+
+    Headers (page_id and digest) find the response of each digest; bodies move once, to meet their decision.
+    """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body")).select("page_id", "url", "body", F.sha2("body", 256).alias("payload_digest"), F.octet_length("body").cast("long").alias("payload_bytes"))
-    heads = rows.drop("body").where(F.col("payload_bytes") >= least_bytes)
-    first = heads.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    shared = first.where(F.col("copies") > 1).select(F.col("payload_digest").alias("d"), "first_id")
-    tied = heads.groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    found = rows.join(shared, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= least_bytes), "left")
-    is_first = F.col("d").isNull() | F.col("page_id").eqNullSafe(F.col("first_id"))
-    found = found.withColumn("response", is_first)
-    t = tied.select(F.col("payload_digest").alias("td"), F.col("page_id").alias("tp"))
-    found = found.join(t, (F.col("payload_digest") == F.col("td")) & F.col("page_id").eqNullSafe(F.col("tp")) & (F.col("payload_bytes") >= least_bytes), "left")
-    alone, repeated = found.where(F.col("td").isNull()), found.where(F.col("td").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("payload_digest", "page_id").orderBy("url"))
-    repeated = repeated.withColumn("response", F.col("response") & (nth == 1))
-    both = alone.unionByName(repeated)
-    return both.select(
+    rows = rows.withColumn("k", F.coalesce("page_id", F.lit(2**63 - 1)))
+    heads = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "k").agg(F.count(F.lit(1)).alias("n"))
+    shared = heads.groupBy("payload_digest").agg(F.min("k").alias("first_k"), F.sum("n").alias("copies")).where(F.col("copies") > 1)
+    decided = heads.join(shared.withColumnRenamed("payload_digest", "d"), F.col("payload_digest") == F.col("d")).select(F.col("payload_digest").alias("pd"), F.col("k").alias("pk"), "first_k")
+    found = rows.join(decided, (F.col("payload_digest") == F.col("pd")) & (F.col("k") == F.col("pk")), "left")
+    nth = F.row_number().over(Window.partitionBy("payload_digest", "k").orderBy("url"))
+    response = F.col("first_k").isNull() | ((F.col("first_k") == F.col("k")) & (F.col("nth") == 1))
+    found = found.withColumn("nth", nth).withColumn("response", response)
+    return found.select(
         "page_id",
         "url",
         F.when(F.col("response"), F.col("body")).alias("body"),
         "payload_bytes",
         "payload_digest",
         F.when(F.col("response"), "response").otherwise("revisit").alias("record_type"),
-        F.when(~F.col("response"), F.col("first_id")).alias("refers_to"),
+        F.when(~F.col("response") & (F.col("first_k") < F.lit(2**63 - 1)), F.col("first_k")).alias("refers_to"),
     )
 
 
@@ -122,7 +120,7 @@ def write_warc(resolved: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
             yield close()
 
     cols = ["page_id", "url", "body", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    rows = resolved.select(*cols).repartition("page_id", "url").sortWithinPartitions("page_id", "url", "record_type")
+    rows = resolved.select(*cols).sortWithinPartitions("page_id", "url", "payload_digest", "record_type")
     return rows.mapInArrow(write, "file string, records long, bytes long")
 
 
