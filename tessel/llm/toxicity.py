@@ -208,19 +208,20 @@ def _near_words(learn: DataFrame, terms: list[tuple[str, bool, bool]]) -> frozen
     return frozenset(r["w"] for r in learn.where(F.col("toxic") == 0).select("text").mapInArrow(near, "w string").distinct().collect())
 
 
-def hit_counts(docs: DataFrame, terms: list[tuple[str, bool, bool]], ordinary: frozenset) -> DataFrame:
-    """The columns of docs but the text, and the four counts."""
-    others = [c for c in docs.columns if c != "text"]
+def hit_counts(docs: DataFrame, terms: list[tuple[str, bool, bool]], ordinary: frozenset, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (the text only if asked for) and the four counts."""
+    others = [c for c in docs.columns if c != "text" or keep_text]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, ordinary)
         for batch in batches:
             n = [reader.counts(x) for x in batch.column(0).to_pylist()]
             cols = [pa.array([x[j] for x in n], pa.int64()) for j in range(4)]
-            yield pa.record_batch([*batch.columns[1:], *cols], names=[*others, *COUNTS])
+            yield pa.record_batch([*batch.columns[1:], *cols], names=[*(f"k{j}" for j in range(len(others))), *COUNTS])
 
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select("text", *others).mapInArrow(find, kept + ", ".join(f"{c} long" for c in COUNTS))
+    kept = "".join(f"k{j} {docs.schema[c].dataType.simpleString()}, " for j, c in enumerate(others))
+    found = docs.select("text", *(F.col(c).alias(f"k{j}") for j, c in enumerate(others))).mapInArrow(find, kept + ", ".join(f"{c} long" for c in COUNTS))
+    return found.withColumnsRenamed({f"k{j}": c for j, c in enumerate(others)})
 
 
 def fit(cells: list[tuple[tuple[int, ...], int, int]]) -> list[float]:
@@ -260,14 +261,14 @@ def learn_model(learn: DataFrame) -> tuple[list[tuple[str, bool, bool]], frozens
     return *_lexicon(learn), b
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, ws: Workspace, learned: Column | None = None) -> DataFrame:
-    """The columns of docs but the text, the four counts and score. learned: which rows' labels may be used."""
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, ws: Workspace, learned: Column | None = None, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (the text only if asked for), the four counts and score. learned: which rows' labels may be used."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("i"), "toxic")
     rows = docs.where(learned) if learned is not None else docs
     learn = ws.save(rows.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("i")).select("text", "toxic"), "learn")
     terms, ordinary, b = learn_model(learn)
     ws.drop("learn")
-    return hit_counts(docs, terms, ordinary).withColumn("score", probability(b))
+    return hit_counts(docs, terms, ordinary, keep_text).withColumn("score", probability(b))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
