@@ -33,6 +33,84 @@ def family_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return out.select("src", "dst", F.round("score", 6).alias("score"), "rank")
 
 
+def family_pairs(families: DataFrame) -> DataFrame:
+    """Each unordered pair once, the smaller family first."""
+    a, b = families.select(F.col("family").alias("a"), F.col("v").alias("va")), families.select(F.col("family").alias("b"), F.col("v").alias("vb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("score"))
+
+
+def band(score, similar: float, same: float):
+    return F.when(score >= same, "fusion").when(score >= similar, "similar").otherwise("unrelated")
+
+
+def top_chunks(chunks: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """The k chunks with the largest dot product with the one query row (q); ties by key. Top-k runs in each partition first."""
+    scored = chunks.crossJoin(F.broadcast(query.limit(1))).select("key", dot(F.col("v"), F.col("q")).alias("score"))
+    return scored.orderBy(F.desc("score"), "key").limit(k)
+
+
+def _fam(spark, d):
+    return family_vectors(_read(spark, d, "embeddings"), "label", "embedding")
+
+
+def vector_topk(spark, d):
+    e = _read(spark, d, "embeddings")
+    out = top_chunks(e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("v")), e.where("vec_id = 0").select(F.col("embedding").alias("q")), 10)
+    return out.select(F.col("key").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def family_centroid(spark, d):
+    return _fam(spark, d).select("family", F.posexplode("v").alias("i", "x")).select("family", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def family_mean_centroid(spark, d):
+    """Mean, then unit length: equal to the sum's direction. A zero vector raises."""
+    e = _read(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    m = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    n = m.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    safe = F.when(F.col("n") > 0, F.col("x") / F.col("n")).otherwise(F.raise_error(F.lit("zero vector")).cast("double"))
+    return m.join(n, "label").select("label", F.col("i").cast("long").alias("i"), F.round(safe, 6).alias("x"))
+
+
+def similarity_pairs(spark, d):
+    return family_pairs(_fam(spark, d)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def similarity_matrix(spark, d):
+    out = neighbors(_fam(spark, d), 1_000_000)
+    return out.select("src", "dst", F.round("score", 6).alias("score"))
+
+
+def similarity_bands(spark, d):
+    p = family_pairs(_fam(spark, d))
+    return p.select("a", "b", band(F.round("score", 6), 0.1, 0.25).alias("band"))
+
+
+def band_counts(spark, d):
+    p = family_pairs(_fam(spark, d)).select(band(F.round("score", 6), 0.1, 0.25).alias("band"))
+    return p.agg(*(F.count_if(F.col("band") == b).alias(b) for b in ("unrelated", "similar", "fusion")))
+
+
+def similarity_edges(spark, d):
+    """Edges between families of which either lists the other in its top three, within the band; each pair once."""
+    n = neighbors(_fam(spark, d), 3).withColumn("score", F.round("score", 6))
+    kept = n.where((F.col("score") >= 0.1) & (F.col("score") < 0.25))
+    return kept.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "score").dropDuplicates(["a", "b"])
+
+
+def bucket_describe(spark, d):
+    """n, min, max, mean and median of pair scores for each bucket; an empty bucket has n = 0."""
+    p = family_pairs(_fam(spark, d)).withColumn("bucket", F.when((F.col("a") + F.col("b")) % 2 == 0, "same").when(F.col("a") == 1, "type").otherwise("different"))
+    s = p.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *(F.round(f("score"), 6).alias(c) for c, f in (("low", F.min), ("high", F.max), ("mean", F.avg), ("median", F.median))))
+    names = spark.createDataFrame([("same",), ("type",), ("different",), ("none",)], "bucket string")
+    return names.join(s, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def largest_pair(spark, d):
+    p = family_pairs(_fam(spark, d))
+    return p.agg(F.round(F.max("score"), 6).alias("largest"), F.count(F.lit(1)).alias("pairs"))
+
+
 _FAMILIES = """
 WITH e AS (SELECT label AS family, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 s AS (SELECT family, i, sum(CAST(x AS DOUBLE)) AS s FROM e GROUP BY 1, 2),
@@ -41,9 +119,25 @@ f AS (SELECT s.family, s.i, CASE WHEN n.n = 0 THEN s.s ELSE s.s / n.n END AS v F
 p AS (SELECT a.family AS src, b.family AS dst, sum(a.v * b.v) AS score FROM f a JOIN f b ON a.i = b.i AND a.family <> b.family GROUP BY 1, 2)
 """
 
-QUERIES = {"family_neighbors": family_neighbors}
+_PAIRS = _FAMILIES + ", u AS (SELECT src AS a, dst AS b, round(score, 6) AS score, score AS exact FROM p WHERE src < dst)"
+_BAND = "CASE WHEN score >= 0.25 THEN 'fusion' WHEN score >= 0.1 THEN 'similar' ELSE 'unrelated' END"
+QUERIES = {f.__name__: f for f in (family_neighbors, vector_topk, family_centroid, family_mean_centroid, similarity_pairs, similarity_matrix, similarity_bands, band_counts, similarity_edges, bucket_describe, largest_pair)}
 ORACLE = {
     "family_neighbors": _FAMILIES + """
 SELECT src, dst, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM p) WHERE rank <= 3""",
+    "vector_topk": """WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT a.vec_id, round(sum(CAST(a.x AS DOUBLE) * CAST(q.x AS DOUBLE)), 6) AS score FROM e a JOIN e q ON q.vec_id = 0 AND a.i = q.i GROUP BY 1 ORDER BY sum(CAST(a.x AS DOUBLE) * CAST(q.x AS DOUBLE)) DESC, 1 LIMIT 10""",
+    "family_centroid": _FAMILIES + "SELECT family, i - 1 AS i, round(v, 6) AS x FROM f",
+    "family_mean_centroid": _FAMILIES + "SELECT family AS label, i - 1 AS i, round(v, 6) AS x FROM f",
+    "similarity_pairs": _PAIRS + "SELECT a, b, score FROM u",
+    "similarity_matrix": _FAMILIES + "SELECT src, dst, round(score, 6) AS score FROM p",
+    "similarity_bands": _PAIRS + f"SELECT a, b, {_BAND} AS band FROM u",
+    "band_counts": _PAIRS + f"SELECT count(*) FILTER (WHERE {_BAND} = 'unrelated') AS unrelated, count(*) FILTER (WHERE {_BAND} = 'similar') AS similar, count(*) FILTER (WHERE {_BAND} = 'fusion') AS fusion FROM u",
+    "similarity_edges": _FAMILIES + """, r AS (SELECT src, dst, round(score, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM p)
+SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, score FROM r WHERE rank <= 3 AND score >= 0.1 AND score < 0.25""",
+    "bucket_describe": _PAIRS + """, k AS (SELECT *, CASE WHEN (a + b) % 2 = 0 THEN 'same' WHEN a = 1 THEN 'type' ELSE 'different' END AS bucket FROM u)
+SELECT n.bucket, count(a) AS n, round(min(exact), 6) AS low, round(max(exact), 6) AS high, round(avg(exact), 6) AS mean, round(median(exact), 6) AS median
+FROM (VALUES ('same'), ('type'), ('different'), ('none')) n(bucket) LEFT JOIN k ON k.bucket = n.bucket GROUP BY 1""",
+    "largest_pair": _PAIRS + "SELECT max(score) AS largest, count(*) AS pairs FROM u",
 }
