@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ("vectors", "catalog")
+_MODULES: tuple[str, ...] = ("vectors", "catalog", "graph", "search")
 
 
 def _gather(name: str) -> dict:
