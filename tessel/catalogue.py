@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ("vectors", "catalog", "graph", "search", "notify", "state", "evaluate")
+_MODULES: tuple[str, ...] = ("vectors", "catalog", "graph", "search", "notify", "state", "evaluate", "manifest")
 
 
 def _gather(name: str) -> dict:
