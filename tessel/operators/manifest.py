@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessel.functions.text import normalize_type
 
@@ -54,7 +55,7 @@ def triage(rows: DataFrame, kind: str = "tipo_documento", form: str = "formato",
     return rows.withColumns({"motivo_descarte": reason, "descartado": reason.isNotNull()})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_key(row: pd.DataFrame) -> pd.Series:
     """A JSON list of a row's values as json.dumps writes it (blanks behind commas, escapes beyond ASCII)."""
     values = row.astype(object).where(row.notna(), None)
