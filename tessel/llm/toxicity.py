@@ -202,7 +202,9 @@ def _near_words(learn: DataFrame, terms: list[tuple[str, bool, bool]]) -> frozen
             for text in batch.column(0).to_pylist():
                 new = set((text or "").lower().split()).difference(seen)
                 out.update(b for b in (w.strip(_EDGE) for w in new) if (m := automaton.match(b)) and m[0])
-                seen = (seen if len(seen) < 600_000 else set()) | new
+                if len(seen) > 600_000:
+                    seen.clear()
+                seen.update(new)
         yield pa.record_batch({"w": pa.array(sorted(out), pa.string())})
 
     return frozenset(r["w"] for r in learn.where(F.col("toxic") == 0).select("text").mapInArrow(near, "w string").distinct().collect())
@@ -265,7 +267,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, ws: Worksp
     """The columns of docs (the text only if asked for), the four counts and score. learned: which rows' labels may be used."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("i"), "toxic")
     rows = docs.where(learned) if learned is not None else docs
-    learn = ws.save(rows.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("i")).select("text", "toxic"), "learn")
+    learn = ws.save(rows.select("doc_id", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("i")).select("text", "toxic"), "learn")
     terms, ordinary, b = learn_model(learn)
     ws.drop("learn")
     return hit_counts(docs, terms, ordinary, keep_text).withColumn("score", probability(b))
