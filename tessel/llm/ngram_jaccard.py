@@ -36,6 +36,7 @@ from tessel.llm._store import Workspace, table
 BUCKETS, CHUNK, FAN_IN = 1 << 20, 4096, 256
 BITS, FANOUT, FIRST, BLOCK_ONE, BLOCK_TWO = 2048, 8, 3, 256, 512
 _WORDS = BITS // 64
+FILTER_BITS, _FILTER_PART = 1 << 25, 1 << 14
 
 
 def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -238,21 +239,74 @@ def candidates(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     return cols.repartition("g").sortWithinPartitions("g", "n", "rep").mapInArrow(walk, "a long, b long").distinct()
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over longs; every task that has ids sends the parts that it has set."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for at in _filter_places(batch.column(0).to_numpy()):
+                bits[at] = True
+        parts = np.packbits(bits, bitorder="little").reshape(-1, _FILTER_PART)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.record_batch({"chunk": pa.array(some), "n": pa.array([parts[k].tobytes() for k in some], pa.binary())})
+
+    def join(rows: pa.Table) -> pa.Table:
+        total = np.zeros(_FILTER_PART, np.uint8)
+        for b in rows.column("n"):
+            total |= np.frombuffer(b.as_buffer(), np.uint8)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+    found = np.zeros((FILTER_BITS // 8 // _FILTER_PART, _FILTER_PART), np.uint8)
+    for r in ids.mapInArrow(mark, "chunk long, n binary").groupBy("chunk").applyInArrow(join, "chunk long, n binary").collect():
+        found[r["chunk"]] = np.frombuffer(bytes(r["n"]), np.uint8)
+    return found.reshape(-1)
+
+
+def _filter_places(ids: np.ndarray) -> list[np.ndarray]:
+    h = _text.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    step = _text.mix(h) | np.uint64(1)
+    return [((h + np.uint64(k) * step) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for k in range(4)]
+
+
+def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs whose sets are similar enough.
+
+    Only sets of documents in a pair are sent: a filter of fixed size over their keys lets the others go where they are read (and at most some
+    that aren't in a pair pass). Hashes are sent with 48 bits, of which two of a pair's sets meet by chance once in 10**8 pairs.
+    """
+    ids = pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct()
+    wanted = pairs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            ok = np.ones(len(keys), bool)
+            for at in _filter_places(keys):
+                ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            batch = batch.take(pa.array(np.flatnonzero(ok)))
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                short = [np.ascontiguousarray((s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for s in sets_of(part.column(1), k)]
+                yield pa.record_batch({"doc_id": part.column(0), "s": pa.array(short, pa.binary())})
+
+    def unpack(b: pa.Scalar) -> np.ndarray:
+        out = np.zeros((len(b.as_buffer()) // 6, 8), np.uint8)
+        out[:, :6] = np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, 6)
+        return out.reshape(-1).view("<u8")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = len(x) + len(y)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                keep.append(common * den >= num * (both - common))
-            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                x, y = unpack(x), unpack(y)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common * den >= num * (len(x) + len(y) - common))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    sets = texts.mapInArrow(keep, "doc_id long, s binary").where(F.octet_length("s") > 0)
     x, y = sets.select(F.col("doc_id").alias("i"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("j"), F.col("s").alias("sb"))
     return pairs.join(x, F.col("a") == F.col("i")).join(y, F.col("b") == F.col("j")).select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
 
@@ -292,37 +346,31 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 def ngram_components(spark: SparkSession, docs: DataFrame, ws: Workspace, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
     ranks = bucket_ranks(docs, k)
-    sig = ws.save(signatures(docs, k, num, den, ranks), "signatures")
-    known = sig.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    full = ws.save(signatures(docs, k, num, den, ranks), "signatures")
+    sig = ws.save(full.select("doc_id", "n", "key"), "keys")
+    known = full.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     m = known.groupBy("key").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("m"))
     reps = ws.save(m.select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.prefix", "m.bits"), "classes")
+    ws.drop("signatures")
     token = Window.partitionBy("token")
     spread = reps.select("rep", F.explode("prefix").alias("token")).select("rep", F.count(F.lit(1)).over(token).alias("cnt"), F.expr("bit_xor(xxhash64(rep)) OVER (PARTITION BY token)").alias("members"))
     groups = ws.save(spread.where("cnt > 1").select(F.xxhash64("members", "cnt").alias("gid"), "rep", "cnt").distinct(), "groups")
-    need = groups.select(F.col("rep").alias("i")).distinct()
-
-    def keep_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                yield pa.record_batch({"doc_id": part.column(0), "s": pa.array([s.astype("<u8").tobytes() for s in sets_of(part.column(1), k)], pa.binary())})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    sets = ws.save(texts.join(need, F.col("doc_id") == F.col("i"), "left_semi").mapInArrow(keep_sets, "doc_id long, s binary").where(F.octet_length("s") > 0), "sets", "lz4")
     trees = reps.select(F.col("rep").alias("r"), "n", "bits")
 
     few = groups.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("gid")))).where(F.col("nth") <= FIRST)
     block = F.pmod(F.xxhash64("rep", "gid"), F.ceil(F.col("cnt") / BLOCK_ONE))
     one = few.select(F.xxhash64("gid", block).alias("g"), "rep", F.col("rep").alias("comp")).join(trees, F.col("rep") == F.col("r"))
-    links = ws.save(verify(candidates(one, num, den, forest=True), sets, num, den), "links-one")
+    pairs = ws.save(candidates(one, num, den, forest=True), "pairs-one")
+    links = ws.save(verify(pairs, docs, k, num, den), "links-one")
     comps = components(links, ws, "one")
 
     label = groups.join(comps, F.col("rep") == F.col("v"), "left").select("gid", "rep", "cnt", F.coalesce("c", "rep").alias("comp"))
     mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("gid").alias("mg"))
     rest = ws.save(label.join(mixed, F.col("gid") == F.col("mg"), "left_semi"), "mixed")
     two = _blocks(rest, BLOCK_TWO).join(trees, F.col("rep") == F.col("r"))
-    more = ws.save(verify(candidates(two, num, den, forest=False), sets, num, den), "links-two")
-    ws.drop("sets", "groups", "mixed")
+    pairs = ws.save(candidates(two, num, den, forest=False), "pairs-two")
+    more = ws.save(verify(pairs, docs, k, num, den), "links-two")
+    ws.drop("groups", "mixed")
     comps = components(links.union(more), ws, "two") if not more.isEmpty() else comps
 
     classes = reps.select(F.col("key").alias("k"), "rep").join(comps, F.col("rep") == F.col("v"), "left").select("k", F.coalesce("c", "rep").alias("component"))
