@@ -20,8 +20,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; all labels are learned from."""
-    scored = toxicity.toxicity(spark, docs, table(spark, sf_dir, "labels"), Workspace(spark, "p-toxicity"), keep_text=True)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    held = {c: f"_{j}" for j, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # no column of docs gives way to a score
+    scored = toxicity.toxicity(spark, docs.withColumnsRenamed(held), table(spark, sf_dir, "labels"), Workspace(spark, "p-toxicity"), keep_text=True)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +32,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first text stays.
     """
     groups = ngram_jaccard.ngram_components(spark, docs.select("doc_id", "text"), Workspace(spark, "p-copies"), k=5, num=4, den=5)
-    gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("i")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("i"), "left_anti")
-    twice = groups.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("j"))
-    repeated = left.join(twice, F.col("doc_id") == F.col("j"), "left_semi")
+    gone = groups.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_i")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_i"), "left_anti")
+    twice = groups.where(F.col("n_shingles") > 0).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_j"))
+    repeated = left.join(twice, F.col("doc_id") == F.col("_j"), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    once = repeated.withColumn("nth", nth).where("nth = 1").drop("nth")
-    return left.join(twice, F.col("doc_id") == F.col("j"), "left_anti").unionByName(once)
+    once = repeated.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return left.join(twice, F.col("doc_id") == F.col("_j"), "left_anti").unionByName(once)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     found = decontamination.leaks(spark, docs, table(spark, sf_dir, "benchmark"), Workspace(spark, "p-leaks"))
-    return docs.join(found.select(F.col("doc_id").alias("i")).distinct(), F.col("doc_id") == F.col("i"), "left_anti")
+    return docs.join(found.select(F.col("doc_id").alias("_i")).distinct(), F.col("doc_id") == F.col("_i"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     taken, _ = mixing.mix(spark, docs, Workspace(spark, "p-mixing"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
-    times = taken.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.max(times).alias("times"))
-    rows = docs.withColumn("size", mixing.word_count(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(times["i"]) & rows["source"].eqNullSafe(times["s"]) & (rows["size"] == times["z"])
-    return rows.join(times, same).withColumn("copy", F.explode(F.expr("sequence(1, greatest(times, 1))"))).where("times > 0").select(*docs.columns)
+    times = taken.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.max(times).alias("_times"))
+    rows = docs.withColumn("_size", mixing.word_count(F.col("text")))
+    same = rows["doc_id"].eqNullSafe(times["_i"]) & rows["source"].eqNullSafe(times["_s"]) & (rows["_size"] == times["_z"])
+    return rows.join(times, same).withColumn("_copy", F.explode(F.expr("sequence(1, greatest(_times, 1))"))).where("_times > 0").select(*docs.columns)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,12 +126,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, langs: list[str], bundles: np.ndarray, text: str = "text", dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """The columns of docs but the text, lang_pred and score (the cosine, at least 0)."""
+    """The columns of docs but the text, lang_pred and score (the cosine, at least 0). Columns of docs with these two names give way."""
     prototypes = _unit(bundles)
     mean = prototypes.mean(axis=0) if len(langs) > 1 else np.zeros(dim)
     mean = mean / (np.linalg.norm(mean) or 1)
     centred = _unit(prototypes - np.outer(prototypes @ mean, mean)).astype(np.float32)
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    held = [f"k{j}" for j in range(len(others))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, axis = Space(dim, seed), mean.astype(np.float32)
@@ -153,10 +154,11 @@ def predict(docs: DataFrame, langs: list[str], bundles: np.ndarray, text: str =
                 known = letters & bool(langs)
                 names += [langs[j] if k else UNKNOWN for j, k in zip(best.tolist(), known)]
                 scores += np.where(known, np.clip(cosine[np.arange(b - a), best], 0, 1), 0).tolist()
-            yield pa.record_batch([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*others, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*held, "lang_pred", "score"])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(text, *others).mapInArrow(score, f"{kept}, lang_pred string, score double")
+    kept = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for k, c in zip(held, others))
+    out = docs.select(text, *(F.col(c).alias(k) for k, c in zip(held, others))).mapInArrow(score, f"{kept}lang_pred string, score double")
+    return out.withColumnsRenamed(dict(zip(held, others)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,8 +211,8 @@ def _near_words(learn: DataFrame, terms: list[tuple[str, bool, bool]]) -> frozen
 
 
 def hit_counts(docs: DataFrame, terms: list[tuple[str, bool, bool]], ordinary: frozenset, keep_text: bool = False) -> DataFrame:
-    """The columns of docs (the text only if asked for) and the four counts."""
-    others = [c for c in docs.columns if c != "text" or keep_text]
+    """The columns of docs (the text only if asked for) and the four counts. Columns of docs with their names, or ``score``, give way."""
+    others = [c for c in docs.columns if c not in (*COUNTS, "score") and (c != "text" or keep_text)]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(terms, ordinary)
