@@ -17,7 +17,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
-_CUT = 1 << 21
+_CUT = 1 << 17
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,11 +48,13 @@ def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[off[0] : off[-1]], off - off[0]
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and for each text the number of words before it (one more than texts)."""
+def word_spans(data: np.ndarray, off: np.ndarray, marks: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and for each text the number of words before it (one more than texts). Marks (ASCII) part words too."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_SPACE[data]
+    between = _SPACE.copy()
+    between[[ord(c) for c in marks]] = True
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -65,9 +67,10 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, marks: str = "") -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
-    values = _BYTE[_LOWER] if lower else _BYTE
+    values = _BYTE[_LOWER] if lower else _BYTE.copy()
+    values[[ord(c) for c in marks]] = 0
     power = _powers(int((ends - starts).max()) + 1) if len(starts) else _powers(1)
     i = 0
     while i < len(starts):
@@ -76,7 +79,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         part = data[base : ends[j - 1]]
         at = starts[i:j] - base
         place = np.arange(len(part), dtype=np.int64) - np.repeat(at, np.diff(np.append(at, len(part))))
-        np.minimum(place, len(power) - 1, out=place)  # only white space lies beyond, and it counts 0
+        np.minimum(place, len(power) - 1, out=place)  # only what parts words lies beyond, and it counts 0
         out[i:j] = np.add.reduceat(values[part] * power[place], at)
         i = j
     return mix(out)

@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words are counted over all documents; words in more than ``STOP_SHARE`` of them weigh nothing.
+1. Document frequencies of hashed words are counted over all documents; words in more than ``STOP_SHARE`` of them weigh nothing, but for the
+   rarest of a benchmark passage that has fewer than ``LEAST_OWN`` others.
 2. Passages (``PASSAGE`` words, every ``PASSAGE`` words) of all documents are TF-IDF rows over the benchmark's words, scaled by the
    length of the whole passage vector. Their leading directions come from a distributed randomised SVD in one pass: tasks add up
    the Gram matrix times a random matrix, the driver finishes it (Nystroem's method).
 3. The latent space is these directions, damped by their strength, and what the benchmark passages add to them, since a passage that leaked
    once leaves no trace in leading directions. Overlapping windows of all documents are compared with the benchmark passages by cosine
-   in this space. Windows whose share of benchmark words is too small for the cosine are left out first; the bound allows for words
-   that stand twice in the window.
+   in this space; words that no benchmark passage has weigh ``OUTSIDE`` in a window's squared length, as a leak often stands among
+   rarer words. Windows whose share of benchmark words is too small for the cosine are left out first (the bound is exact for words
+   that stand once in the window).
 4. Around each candidate the longest common subsequence of words is computed. A text is a leak if it has ``SURE`` of the benchmark passage
    in order, or ``LIKELY`` of it and ``ANSWER`` of the words of its last sentence.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,31 +33,18 @@ from pyspark.sql import functions as F
 from tessel.llm import _text
 from tessel.llm._store import Workspace, table
 
-BUCKETS, STOP_SHARE, PASSAGE, STRIDE = 1 << 18, 0.1, 32, 16
-RANK, ITEMS, SEED, COSINE = 32, 256, 3, 0.3
+BUCKETS, STOP_SHARE, LEAST_OWN, PASSAGE, STRIDE = 1 << 18, 0.03, 8, 32, 16
+RANK, ITEMS, SEED, COSINE, OUTSIDE = 32, 256, 3, 0.4, 0.25
 SURE, LIKELY, ANSWER = 0.7, 0.6, 0.6
+MARKS = ".,;:!?\"'()[]"
 _CHUNK, _FAN, _SLICE = 8192, 256, 256
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased words without marks at their ends, and the words before each text."""
-    data, off = _text.raw_bytes(texts)
-    starts, ends, first = _text.word_spans(data, off)
-    edge = np.zeros(256, bool)
-    edge[[ord(c) for c in ".,;:!?\"'()[]"]] = True
-    for _ in range(3):
-        if len(starts):
-            ends = ends - (edge[data[ends - 1]] & (ends - starts > 1))
-            starts = starts + (edge[data[starts]] & (ends - starts > 1))
-    return _text.word_hashes(_blank(data, starts, ends), starts, ends), first
-
-
-def _blank(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The bytes with everything outside the spans made white space, so that it counts nothing in hashes."""
-    step = np.zeros(len(data) + 1, np.int8)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
-    return np.where(np.cumsum(step[:-1]) > 0, data, 32).astype(np.uint8)
+    """Hashes of lower-cased words, which marks part as white space does, and the words before each text."""
+    data, off = _text.raw_bytes(pc.utf8_lower(texts))
+    starts, ends, first = _text.word_spans(data, off, MARKS)
+    return _text.word_hashes(data, starts, ends, marks=MARKS), first
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -78,8 +68,8 @@ def _chunks(flat: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"chunk": pa.array(range(len(rows)), pa.int64()), "salt": pa.array([TaskContext.get().partitionId() // _FAN] * len(rows), pa.int64()), "v": pa.array(rows, pa.binary())})
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """Weight of each of BUCKETS word buckets."""
+def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of each of BUCKETS word buckets, and which of them are too common."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS + 1)
@@ -87,17 +77,18 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             for i in range(0, batch.num_rows, _SLICE):
                 part = batch.column(0).slice(i, _SLICE)
                 w, first = words_of(part)
-                owner = np.repeat(np.arange(len(part)), np.diff(first))
-                n[:-1] += np.bincount(np.unique(owner * BUCKETS + _bucket(w)) % BUCKETS, minlength=BUCKETS)
+                place = _bucket(w).astype(np.int32)
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                    own = np.sort(place[a:b])
+                    n[own[np.append(True, own[1:] != own[:-1])] if b > a else own] += 1
                 n[-1] += len(part)
         yield _chunks(n)
 
     n = _sum_chunks(docs.select("text").mapInArrow(count, "chunk long, salt long, v binary"))
     if not len(n):
-        return np.zeros(BUCKETS, np.float32)
+        return np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool)
     df, total = n[:-1], max(float(n[-1]), 1.0)
-    weight = np.log((1 + total) / (1 + df))
-    return np.where(df > max(STOP_SHARE * total, 3), 0, weight).astype(np.float32)
+    return np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(1e-3), df > max(STOP_SHARE * total, 3)
 
 
 def _windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,10 +103,17 @@ def _windows(first: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np
 class Block:
     """A block of benchmark passages: words, weighted vectors and the latent space."""
 
-    def __init__(self, items: list[tuple[int, str]], weight: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], inverse: np.ndarray, common: np.ndarray):
         hashes, first = words_of(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
+        common = common.copy()
+        for w in self.words:
+            own = np.unique(_bucket(w))
+            rarest = own[np.argsort(-inverse[own], kind="stable")][:LEAST_OWN]
+            if (~common[own]).sum() < LEAST_OWN:
+                common[rarest] = False
+        self.weight = weight = np.where(common, 0, inverse).astype(np.float32)
         self.answers = [words_of(pa.array([_last_sentence(t)]))[0] for _, t in items]
         self.vocabulary = np.unique(hashes[weight[_bucket(hashes)] > 0])
         rows = np.zeros((len(items), len(self.vocabulary)), np.float32)
@@ -148,7 +146,8 @@ class Block:
             damp = 1 / np.sqrt(1 + strength / (10 * np.median(strength)))
         rest = self.rows.T - directions @ (directions.T @ self.rows.T)
         own, r = np.linalg.qr(rest) if rest.size else (rest, rest)
-        self.space = np.concatenate([directions * damp, own], axis=1).astype(np.float32)
+        space = np.concatenate([directions * damp, own], axis=1).astype(np.float32)
+        self.space = np.where(np.abs(space) < 1e-6, np.float32(0), space)  # products of tiny numbers would be slow
 
 
 def _last_sentence(text: str) -> str:
@@ -156,14 +155,15 @@ def _last_sentence(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def leading_directions(docs: DataFrame, block: Block, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def leading_directions(docs: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """The Gram matrix of all passages times a random orthonormal matrix, and that matrix."""
     m = len(block.vocabulary)
     omega = np.linalg.qr(np.random.default_rng(SEED).normal(size=(m, min(RANK, m))))[0]
-    held = docs.sparkSession.sparkContext.broadcast((block, weight, omega.astype(np.float32)))
+    held = docs.sparkSession.sparkContext.broadcast((block, omega.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weight, omega = held.value
+        block, omega = held.value
+        weight = block.weight
         padded = np.vstack([omega, np.zeros((1, omega.shape[1]), np.float32)])
         y = np.zeros((m + 1, omega.shape[1]))
         for batch in batches:
@@ -217,18 +217,19 @@ def _best_part(item: np.ndarray, words: np.ndarray, at: int) -> tuple[float, int
     return best
 
 
-def search(docs: DataFrame, block: Block, weight: np.ndarray, cosine: float = COSINE) -> DataFrame:
+def search(docs: DataFrame, block: Block, cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each leak."""
-    held = docs.sparkSession.sparkContext.broadcast((block, weight))
+    held = docs.sparkSession.sparkContext.broadcast(block)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, weight = held.value
+        block = held.value
+        weight = block.weight
         m = len(block.vocabulary)
-        space = np.vstack([block.space, np.zeros((1, block.space.shape[1]), np.float32)])
         queries = block.rows @ block.space
         length = np.linalg.norm(queries, axis=1)
         queries = queries / np.maximum(length, 1e-9)[:, None]
+        queries = np.where(np.abs(queries) < 1e-6, np.float32(0), queries)
         for batch in batches:
             found = []
             for i in range(0, batch.num_rows, _SLICE):
@@ -239,15 +240,15 @@ def search(docs: DataFrame, block: Block, weight: np.ndarray, cosine: float = CO
                 all_, own = np.concatenate([[0], np.cumsum(x**2)]), np.concatenate([[0], np.cumsum(np.where(at < m, x**2, 0))])
                 size = all_[end] - all_[begin]
                 inside = own[end] - own[begin]
-                keep = np.flatnonzero((inside > 0) & (2 * inside >= cosine**2 * size))
+                size = OUTSIDE * size + (1 - OUTSIDE) * inside
+                keep = np.flatnonzero((inside > 0) & (inside >= cosine**2 * size))
                 for a in range(0, len(keep), 512):
                     k = keep[a : a + 512]
                     places = begin[k][:, None] + np.arange(PASSAGE)
-                    ok = places < end[k][:, None]
-                    places = np.minimum(places, len(w) - 1)
-                    v = np.where(ok, at[places], m)
-                    value = np.where(ok & (v < m), x[places], 0).astype(np.float32)
-                    z = np.einsum("ij,ijk->ik", value, space[v]) if space.shape[1] else np.zeros((len(k), 0), np.float32)
+                    known = np.flatnonzero((places < end[k][:, None]) & (at[np.minimum(places, len(w) - 1)] < m))
+                    places, row = places.reshape(-1)[known], known // PASSAGE
+                    cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every window here has a known word
+                    z = np.add.reduceat(block.space[at[places]] * x[places].astype(np.float32)[:, None], cut, axis=0)
                     score = (z @ queries.T) / np.sqrt(size[k])[:, None]
                     for r, q in zip(*(y.tolist() for y in np.nonzero(score >= cosine))):
                         d = int(owner[k[r]])
@@ -274,14 +275,14 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ws: Worksp
     """One row for each document and benchmark passage that it leaks."""
     known = benchmark.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("item_id", "text").distinct()
     blocks = max(1, math.ceil(known.count() / (items * 0.8)))
-    weight = inverse_frequencies(docs)
+    weights = inverse_frequencies(docs)
     out = None
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        block = Block(rows, weight)
+        block = Block(rows, *weights)
         if len(block.vocabulary):
-            block.finish(*leading_directions(docs, block, weight))
-        found = ws.save(search(docs, block, weight), f"leaks-{b}")
+            block.finish(*leading_directions(docs, block))
+        found = ws.save(search(docs, block), f"leaks-{b}")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -25,7 +25,9 @@ _CHUNK = 1 << 16
 
 
 def word_count(text: Column) -> Column:
-    blank = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
+    blank = F.coalesce(text, F.lit(""))
+    for c in "\n\t\x0b\x0c\r":
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
     return F.size(F.array_remove(F.split(blank, " "), "")).cast("long")
 
 
@@ -66,7 +68,7 @@ def schedule(sources: DataFrame, bits: int) -> DataFrame:
     sizes = slots.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(F.col("sid").alias("s"), F.col("chunk").alias("c"), (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("position"))
-    ranked = slots.withColumn("nth", nth).join(before, (F.col("sid") == F.col("s")) & (F.col("chunk") == F.col("c"))).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    ranked = slots.withColumn("nth", nth).join(before.hint("merge"), (F.col("sid") == F.col("s")) & (F.col("chunk") == F.col("c"))).withColumn("rank", F.col("before") + F.col("nth") - 1)
     return ranked.select("position", "sid", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch"))
 
 
@@ -95,14 +97,14 @@ def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, weights: tuple = WE
     before = sums.select(F.col("sid").alias("s1"), F.col("part").alias("p1"), (F.sum("words").over(Window.partitionBy("sid").orderBy("part")) - F.col("words")).alias("before"))
     order = Window.partitionBy("sid", "part").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(order)).withColumn("nth", F.row_number().over(Window.partitionBy("sid", "part").orderBy("h", "k", "size")))
-    placed = placed.join(before, (F.col("sid") == F.col("s1")) & (F.col("part") == F.col("p1"))).withColumn("at", F.col("before") + F.col("upto") - F.col("size"))
+    placed = placed.join(before.hint("merge"), (F.col("sid") == F.col("s1")) & (F.col("part") == F.col("p1"))).withColumn("at", F.col("before") + F.col("upto") - F.col("size"))
     placed = ws.save(placed.select("k", "source", "sid", "h", "part", "nth", "size", "source_size", "target", "n_blocks", "at"), "placed")
     pieces = placed.where("size > 0").select("*", F.explode(F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))).alias("block"))
     words = F.least(F.col("at") + F.col("size"), _start_of(F.col("block") + 1)) - F.greatest(F.col("at"), _start_of(F.col("block")))
     visits = plan.groupBy(F.col("sid").alias("vs"), F.col("block").alias("vb")).agg(F.count(F.lit(1)).alias("visits"))
-    parts = pieces.select("sid", "part", "nth", "block", words.alias("words")).join(visits, (F.col("sid") == F.col("vs")) & (F.col("block") == F.col("vb")))
+    parts = pieces.select("sid", "part", "nth", "block", words.alias("words")).join(visits.hint("merge"), (F.col("sid") == F.col("vs")) & (F.col("block") == F.col("vb")))
     taken = parts.groupBy(F.col("sid").alias("ts"), F.col("part").alias("tp"), F.col("nth").alias("tn")).agg(F.sum(F.col("words") * F.col("visits")).alias("taken"))
-    out = placed.join(taken, (F.col("sid") == F.col("ts")) & (F.col("part") == F.col("tp")) & (F.col("nth") == F.col("tn")), "left")
+    out = placed.join(taken.hint("merge"), (F.col("sid") == F.col("ts")) & (F.col("part") == F.col("tp")) & (F.col("nth") == F.col("tn")), "left")
     return out.select(F.col("k").alias(key), "source", "h", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), plan
 
 

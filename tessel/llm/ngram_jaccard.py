@@ -8,11 +8,12 @@
    shingles, an inner node the OR of the bitmaps, the range of sizes and the largest number of shingles that share a bit. A tree is
    traversed against itself; a pair of nodes is dropped if the largest possible overlap, the common bits of both bitmaps plus the
    shared ones, is too small for any two sizes of their ranges.
-4. First round: a few groups of each document; from the pairs that the traversal leaves only a spanning forest is kept, and these
-   are compared exactly. This joins groups of copies by as many comparisons as they have members.
-5. Second round: every group that still holds documents of two components is traversed in full, pairs within a component left out
-   (also for whole nodes), and all pairs that are left are compared exactly. Large groups are cut into blocks by component, and
-   pairs of blocks of one component are left out. So no link between different components is missed.
+4. First rounds: a few groups of each document, among those that hold several components; of the pairs that the traversal leaves, those that
+   look most similar are taken as a spanning forest of the components, and these are compared exactly. This joins groups of copies by about as many
+   comparisons as they have members.
+5. Last round: every group that still holds documents of two components is traversed in full, pairs within a component left out
+   (also for whole nodes), and all pairs that are left and not yet compared are compared exactly. Large groups are cut into blocks by
+   component, and pairs of blocks of one component are left out. So no link between different components is missed.
 
 A null or empty text has an empty set and is linked with nothing. A text of fewer words has its whole sequence as its one shingle.
 Rows with the same key are one node: each of their texts may link it. A row without key is linked with nothing and its component
@@ -34,7 +35,7 @@ from tessel.llm import _text
 from tessel.llm._store import Workspace, table
 
 BUCKETS, CHUNK, FAN_IN = 1 << 20, 4096, 256
-BITS, FANOUT, FIRST, BLOCK_ONE, BLOCK_TWO = 2048, 8, 3, 256, 512
+BITS, FANOUT, FIRST, ROUNDS, BLOCK_ONE, BLOCK_TWO = 2048, 8, 3, 3, 256, 512
 _WORDS = BITS // 64
 FILTER_BITS, _FILTER_PART = 1 << 25, 1 << 14
 
@@ -150,24 +151,26 @@ class Tree:
         if top == 0:
             return p[:0], q[:0]
         p, q = self._kept(0, p, q, num, den, step)
-        bits, n = self.levels[0][0], self.levels[0][1]
-        keep = []
-        for a in range(0, len(p), step):
-            x, y = p[a : a + step], q[a : a + step]
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
-            keep.append((n[x] + n[y] - apart) * (num + den) >= 2 * num * (n[x] + n[y]))
-        ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+        n, apart = self.levels[0][1], self.apart(p, q, step)
+        ok = (n[p] + n[q] - apart) * (num + den) >= 2 * num * (n[p] + n[q])
         return p[ok], q[ok]
 
+    def apart(self, p: np.ndarray, q: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """Bits in which documents differ: at most as many as shingles that only one of them has."""
+        bits = self.levels[0][0]
+        return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[p[a : a + step]] ^ bits[q[a : a + step]]).sum(axis=1).astype(np.int64) for a in range(0, len(p), step))])
+
     def _kept(self, level, p, q, num, den, step):
         ok = [self._possible(level, p[a : a + step], q[a : a + step], num, den) for a in range(0, len(p), step)]
         ok = np.concatenate(ok) if ok else np.zeros(0, bool)
         return p[ok], q[ok]
 
 
-def _forest(p: np.ndarray, q: np.ndarray, m: int) -> list[int]:
-    """Numbers of pairs that join what the earlier ones don't."""
-    up, kept, left = list(range(m)), [], m - 1
+def _forest(p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Numbers of pairs, in their order, that join what the earlier ones don't."""
+    distinct, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    p, q = at[: len(p)], at[len(p) :]
+    up, kept, left = list(range(len(distinct))), [], len(distinct) - 1
 
     def top(x):
         while up[x] != x:
@@ -208,9 +211,12 @@ def candidates(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
                 out_b.append(rep[y[ok]])
             for s, e in zip(cuts.tolist(), ends.tolist()):
                 if e - s > 2:
-                    p, q = Tree(n[s:e], bits[s:e], comp[s:e]).pairs(num, den)
+                    tree = Tree(n[s:e], bits[s:e], comp[s:e])
+                    p, q = tree.pairs(num, den)
                     if forest and len(p):
-                        k = _forest(p, q, e - s)
+                        best = np.argsort(tree.apart(p, q) / (n[s:e][p] + n[s:e][q]), kind="stable")
+                        p, q = p[best], q[best]
+                        k = _forest(comp[s:e][p], comp[s:e][q])
                         p, q = p[k], q[k]
                     out_a.append(rep[s:e][p])
                     out_b.append(rep[s:e][q])
@@ -357,21 +363,33 @@ def ngram_components(spark: SparkSession, docs: DataFrame, ws: Workspace, k: int
     groups = ws.save(spread.where("cnt > 1").select(F.xxhash64("members", "cnt").alias("gid"), "rep", "cnt").distinct(), "groups")
     trees = reps.select(F.col("rep").alias("r"), "n", "bits")
 
-    few = groups.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("gid")))).where(F.col("nth") <= FIRST)
-    block = F.pmod(F.xxhash64("rep", "gid"), F.ceil(F.col("cnt") / BLOCK_ONE))
-    one = few.select(F.xxhash64("gid", block).alias("g"), "rep", F.col("rep").alias("comp")).join(trees, F.col("rep") == F.col("r"))
-    pairs = ws.save(candidates(one, num, den, forest=True), "pairs-one")
-    links = ws.save(verify(pairs, docs, k, num, den), "links-one")
-    comps = components(links, ws, "one")
-
-    label = groups.join(comps, F.col("rep") == F.col("v"), "left").select("gid", "rep", "cnt", F.coalesce("c", "rep").alias("comp"))
-    mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("gid").alias("mg"))
-    rest = ws.save(label.join(mixed, F.col("gid") == F.col("mg"), "left_semi"), "mixed")
-    two = _blocks(rest, BLOCK_TWO).join(trees, F.col("rep") == F.col("r"))
-    pairs = ws.save(candidates(two, num, den, forest=False), "pairs-two")
-    more = ws.save(verify(pairs, docs, k, num, den), "links-two")
-    ws.drop("groups", "mixed")
-    comps = components(links.union(more), ws, "two") if not more.isEmpty() else comps
+    tried = links = None
+    comps = spark.createDataFrame([], "v long, c long")
+    for turn in range(ROUNDS + 1):
+        label = groups.join(comps, F.col("rep") == F.col("v"), "left").select("gid", "rep", "cnt", F.coalesce("c", "rep").alias("comp"))
+        mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("gid").alias("mg"))
+        rest = ws.save(label.join(mixed, F.col("gid") == F.col("mg"), "left_semi"), f"mixed-{turn}")
+        if turn < ROUNDS:
+            mix = F.xxhash64("gid", F.lit(turn))
+            few = rest.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(mix))).where(F.col("nth") <= FIRST)
+            blocks = few.select(F.xxhash64("gid", F.pmod(F.xxhash64("rep", mix), F.ceil(F.col("cnt") / BLOCK_ONE))).alias("g"), "rep", "comp")
+        else:
+            blocks = _blocks(rest, BLOCK_TWO)
+        found = candidates(blocks.join(trees, F.col("rep") == F.col("r")), num, den, forest=turn < ROUNDS)
+        if tried is not None:
+            found = found.join(tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+        pairs = ws.save(found, f"pairs-{turn}")
+        ws.drop(f"mixed-{turn}")
+        if pairs.isEmpty():
+            if turn < ROUNDS:
+                continue
+            break
+        new = ws.save(verify(pairs, docs, k, num, den), f"links-{turn}")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = new if links is None else links.unionByName(new)
+        if not new.isEmpty():
+            comps = components(links, ws, f"comps-{turn}")
+    ws.drop("groups")
 
     classes = reps.select(F.col("key").alias("k"), "rep").join(comps, F.col("rep") == F.col("v"), "left").select("k", F.coalesce("c", "rep").alias("component"))
     out = sig.select("doc_id", "n", "key").join(classes, F.col("key") == F.col("k"), "left")

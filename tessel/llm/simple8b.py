@@ -33,10 +33,16 @@ for _s, _c, _w in SELECTORS:
 _COUNT[ESCAPE] = 1
 
 
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, 0 for 0."""
+    if ids.size == 0 or int(ids.max()) < len(_SHORT):
+        return _SHORT[ids]
     bits = np.zeros(ids.shape, np.uint8)
     for k in range(1, 65):
-        over = ids >= np.uint64(1 << (k - 1))
+        over = ids >= ids.dtype.type(1 << (k - 1)) if k <= 8 * ids.itemsize else np.False_
         if not over.any():
             break
         bits += over
@@ -49,8 +55,10 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     blocks, span = -(-n // block), block + 64
-    grid = np.zeros((blocks, span), np.uint64)
-    grid.reshape(-1)[(np.arange(n) // block) * span + np.arange(n) % block] = ids
+    grid = np.zeros((blocks, span), ids.dtype)
+    whole = n // block
+    grid[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    grid[whole:, : n - whole * block] = ids[whole * block :]
     bits = _widths(grid)
     choice = np.full((blocks, span), ESCAPE, np.uint8)
     widest, reach = bits.copy(), 1
@@ -81,7 +89,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
         if len(own):
             word = np.full(len(own), selector << 60, np.uint64)
             for j in range(count):
-                word |= flat[places[own] + j] << np.uint64(j * width)
+                word |= flat[places[own] + j].astype(np.uint64) << np.uint64(j * width)
             words[to[own]] = word
     own = np.flatnonzero(s == ESCAPE)
     words[to[own]] = np.uint64(ESCAPE << 60)
@@ -126,7 +134,7 @@ def unpack_blocks(words: np.ndarray, starts: np.ndarray, n: int, block: int = BL
 
 
 def to_file(keys: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    words, starts = pack(ids.astype(np.uint64), block)
+    words, starts = pack(ids, block)
     null = np.array([k is None for k in keys], np.uint8)
     known = np.array([k or 0 for k in keys], "<i8")
     return b"".join([_HEAD.pack(b"S8BT", block, len(keys), len(ids), len(starts) - 1), known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
