@@ -41,6 +41,14 @@ def node_kind(spark, d):
     return op.node_kind(ids, families, processes, e)
 
 
+def node_kind_whole(spark, d):
+    """The kind of every node: families, processes and both ends of all edges."""
+    e = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.lit("order").alias("source_kind"), (F.col("l_partkey") + 100000).alias("target"), F.lit("part").alias("target_kind"))
+    families, processes = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("family")), _t(spark, d, "nation").select(F.col("n_nationkey").alias("process"))
+    ids = e.select(F.col("source").cast("long").alias("node")).distinct().union(e.select(F.col("target").cast("long")).distinct()).union(families.select(F.col("family").cast("long"))).union(processes.select(F.col("process").cast("long"))).where("node IS NOT NULL").distinct()
+    return op.node_kind(ids, families, processes, e)
+
+
 def edge_first_wins(spark, d):
     e = _edges(spark, d)
     return op.first_wins(e, ["source", "target", "type"], [F.col("pos"), F.col("line")]).select("source", "target", "type", "status", "pos")
@@ -92,7 +100,7 @@ _ADJ = "SELECT source AS node, target AS other, * FROM e UNION ALL SELECT target
 _MERGE = f"WITH e AS ({_E}), o AS ({_FIRST.format('WHERE pos % 2 = 0')}), n AS ({_FIRST.format('WHERE pos % 2 = 1')}) SELECT source, target, type, {{}} AS status, coalesce(n.pos, o.pos) AS pos FROM o FULL JOIN n USING (source, target, type)"
 _REF = "SELECT DISTINCT o_custkey AS family, o_orderkey % 997 AS number, year(o_orderdate) AS year, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS suffix FROM orders"
 
-QUERIES = {f.__name__: f for f in (graph_neighbors, graph_degree, graph_both_ends, node_kind, edge_first_wins, edge_merge_keep_status, edge_merge_overwrite, edges_by_type, ref_extract, ref_resolve_unique, related_reasons)}
+QUERIES = {f.__name__: f for f in (graph_neighbors, graph_degree, graph_both_ends, node_kind, node_kind_whole, edge_first_wins, edge_merge_keep_status, edge_merge_overwrite, edges_by_type, ref_extract, ref_resolve_unique, related_reasons)}
 ORACLE = {
     "graph_neighbors": f"WITH e AS ({_E}) SELECT node, other, type, count(*) AS n FROM ({_ADJ}) WHERE node < 5 GROUP BY ALL",
     "graph_degree": f"WITH e AS ({_E}) SELECT node, type, count(DISTINCT other) AS others FROM ({_ADJ}) GROUP BY ALL",
@@ -100,6 +108,10 @@ ORACLE = {
     "node_kind": """SELECT range AS node, CASE WHEN range IN (SELECT s_suppkey FROM supplier) THEN 'family' WHEN range IN (SELECT n_nationkey FROM nation) THEN 'process'
   WHEN range IN (SELECT l_orderkey FROM lineitem) AND range IN (SELECT l_partkey + 100000 FROM lineitem) THEN 'order' WHEN range IN (SELECT l_orderkey FROM lineitem) THEN 'order'
   WHEN range IN (SELECT l_partkey + 100000 FROM lineitem) THEN 'part' END AS kind FROM range(0, 101000, 7)""",
+    "node_kind_whole": """WITH s AS (SELECT DISTINCT s_suppkey AS i FROM supplier), n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT DISTINCT l_orderkey AS i FROM lineitem), p AS (SELECT DISTINCT l_partkey + 100000 AS i FROM lineitem),
+  x AS (SELECT i FROM s UNION SELECT i FROM n UNION SELECT i FROM o UNION SELECT i FROM p)
+SELECT CAST(x.i AS BIGINT) AS node, CASE WHEN s.i IS NOT NULL THEN 'family' WHEN n.i IS NOT NULL THEN 'process' WHEN o.i IS NOT NULL THEN 'order' ELSE 'part' END AS kind
+  FROM x LEFT JOIN s ON x.i = s.i LEFT JOIN n ON x.i = n.i LEFT JOIN o ON x.i = o.i LEFT JOIN p ON x.i = p.i WHERE x.i IS NOT NULL""",
     "edge_first_wins": f"WITH e AS ({_E}) " + _FIRST.format(""),
     "edge_merge_keep_status": _MERGE.format("coalesce(o.status, n.status)"),
     "edge_merge_overwrite": _MERGE.format("coalesce(n.status, o.status)"),
