@@ -1,8 +1,8 @@
 """Toxicity by a learned lexicon whose trie is intersected with Levenshtein automata.
 
 Learning. From labelled texts the document frequencies of words and of word beginnings ("stems" of 3 to 7 letters) are counted
-apart for toxic and other texts. Terms are those with a log-likelihood ratio of at least ``LEAST_G2``, a toxic share of at least
-``LEAST_SHARE`` and no broader term beside them; at most ``MOST_TERMS`` are kept, the strongest. Terms whose share is below
+apart for toxic and other texts, a text once however often it is copied. Terms are all with a log-likelihood ratio of at least
+``LEAST_G2``, a toxic share of at least ``LEAST_SHARE`` and no broader term beside them. Terms whose share is below
 ``SURE_SHARE`` are weak. Misspellings are words within one edit of a sure term of ``FUZZY`` letters or more. Words that match so but
 stand in harmless learned texts are ordinary words and are excepted. A logistic regression is fitted on four counts of a text: hits,
 hits of weak terms, misspelled hits, and hits in quotation. For the fit the lexicon comes from one half of the learned texts and the
@@ -11,8 +11,8 @@ counts from the other, so that it sees how the lexicon does on texts that it was
 Scoring. Every distinct word runs through the automaton once per worker. Each hit is judged in a window of ``WINDOW`` words: between
 quotation marks, or behind a word of reporting, it counts as quoted. The score is the fitted probability.
 
-Null and empty texts have no hits and get the score of such texts. Rows that repeat count each; a null label teaches nothing; no
-toxic label at all gives an empty lexicon and a constant score. Labels, languages, sources and keys are not read when scoring.
+Null and empty texts have no hits and get the score of such texts. Rows that repeat count each in the regression and once in the
+lexicon (once on either side if they are labelled both ways); a null label teaches nothing; no toxic label at all gives an empty lexicon and a constant score. Labels, languages, sources and keys are not read when scoring.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm._store import Workspace, table
 
-LEAST_G2, LEAST_SHARE, SURE_SHARE, LEAST_DOCS, MOST_TERMS = 20.0, 0.35, 0.9, 4, 512
+LEAST_G2, LEAST_SHARE, SURE_SHARE, LEAST_DOCS = 20.0, 0.35, 0.9, 4
 STEMS, FUZZY, WINDOW, CUT, THRESHOLD, RIDGE = (3, 4, 5, 6, 7), 5, 8, 4, 0.7, 0.05
 PRIOR = (4.0, 1.0, 2.0, 0.5)
 COUNTS = ("n_hits", "n_weak", "n_misspelled", "n_quoted")
@@ -131,26 +131,45 @@ def count_features(learn: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def strongest(features: DataFrame, n_toxic: int, n_other: int, most: int = MOST_TERMS) -> list[tuple[str, bool, bool]]:
-    """The terms, strongest first: (letters, is a stem, is sure)."""
+def _uncovered(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """rows: feature, toxic and other, strongest first, with the same first letters. Those without a broader term beside them."""
+    chosen: dict[str, tuple[int, int]] = {}
+    below: Counter = Counter()  # toxic texts of the chosen by their beginnings
+
+    def add(feature: str, sign: int) -> None:
+        name = feature.removesuffix("*")
+        below.update({name[:n]: sign * chosen[feature][0] for n in STEMS if n <= len(name)})
+
+    for feature, toxic, other in rows:
+        is_stem, name = feature.endswith("*"), feature.removesuffix("*")
+        if any(f"{name[:n]}*" in chosen for n in STEMS if n <= len(name)):
+            continue
+        if is_stem and below[name] * 1.5 >= toxic:
+            continue
+        for x in [x for x in chosen if x.startswith(name)] if is_stem else ():
+            add(x, -1)
+            del chosen[x]
+        chosen[feature] = toxic, other
+        add(feature, 1)
+    return [(x, *n) for x, n in chosen.items()]
+
+
+def strongest(features: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str, bool, bool]]:
+    """All terms, strongest first: (letters, is a stem, is sure). Features that a stem can cover share its first three letters and so are judged together."""
     a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
     share = n_toxic / max(n_toxic + n_other, 1)
     term = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
     g2 = 2 * (term(a, max(share, 1e-9)) + term(b, max(1 - share, 1e-9)))
     kept = features.where((a >= LEAST_DOCS) & (a / (a + b) >= LEAST_SHARE)).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2)
-    rows = kept.orderBy(F.desc("g2"), F.desc(~F.col("feature").endswith("*")), F.desc(F.length("feature")), "feature").limit(most * 8).collect()
-    chosen: dict[tuple[str, bool], tuple[int, int]] = {}
-    for r in rows:
-        is_stem = r["feature"].endswith("*")
-        name = r["feature"].rstrip("*") if is_stem else r["feature"]
-        if any(s and name.startswith(t) for t, s in chosen):
-            continue
-        if is_stem and sum(n for (t, s), (n, _) in chosen.items() if t.startswith(name)) * 1.5 >= r["toxic"]:
-            continue
-        chosen = {k: n for k, n in chosen.items() if not (is_stem and k[0].startswith(name))} | {(name, is_stem): (r["toxic"], r["other"])}
-        if len(chosen) >= most:
-            break
-    return [(t, s, a >= SURE_SHARE * (a + b)) for (t, s), (a, b) in chosen.items()]
+
+    def judge(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (-r["g2"], r["feature"].endswith("*"), -len(r["feature"]), r["feature"]))
+        strength = {r["feature"]: r["g2"] for r in rows}
+        return pa.Table.from_pylist([{"feature": x, "toxic": n, "other": m, "g2": strength[x]} for x, n, m in _uncovered([(r["feature"], r["toxic"], r["other"]) for r in rows])], pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("other", pa.int64()), ("g2", pa.float64())]))
+
+    chosen = kept.groupBy(F.substring("feature", 1, min(STEMS)).alias("head")).applyInArrow(lambda t: judge(t.select(["feature", "toxic", "other", "g2"])), "feature string, toxic long, other long, g2 double")
+    rows = sorted(chosen.collect(), key=lambda r: (-r["g2"], r["feature"].endswith("*"), -len(r["feature"]), r["feature"]))
+    return [(r["feature"].removesuffix("*"), r["feature"].endswith("*"), r["toxic"] >= SURE_SHARE * (r["toxic"] + r["other"])) for r in rows]
 
 
 class Reader:
@@ -255,19 +274,24 @@ def _lexicon(learn: DataFrame) -> tuple[list[tuple[str, bool, bool]], frozenset]
 
 
 def learn_model(learn: DataFrame) -> tuple[list[tuple[str, bool, bool]], frozenset, list[float]]:
-    """learn: text, toxic. The terms, the ordinary words near them, and the coefficients."""
+    """learn: text, toxic, n (rows of the text). The terms, the ordinary words near them, and the coefficients."""
     half = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2))
     held = [F.least(F.col(c), F.lit(CUT)).alias(c) for c in COUNTS]
-    cells = hit_counts(learn.where(half == 1).select("text", "toxic"), *_lexicon(learn.where(half == 0))).groupBy(*held).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") > 0).cast("long")).alias("y"))
+    cells = hit_counts(learn.where(half == 1).select("text", "toxic", "n"), *_lexicon(learn.where(half == 0))).groupBy(*held).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("y"))
     b = fit(sorted((tuple(r[c] for c in COUNTS), r["n"], r["y"]) for r in cells.collect()))
     return *_lexicon(learn), b
 
 
+def distinct_texts(learn: DataFrame) -> DataFrame:
+    """learn: text, toxic. One row for each text and kind: text, toxic (0 or 1) and n, its rows."""
+    return learn.groupBy(F.sha2("text", 256).alias("h"), (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")).select("text", "toxic", "n")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, ws: Workspace, learned: Column | None = None, keep_text: bool = False) -> DataFrame:
     """The columns of docs (the text only if asked for), the four counts and score. learned: which rows' labels may be used."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("i"), "toxic")
     rows = docs.where(learned) if learned is not None else docs
-    learn = ws.save(rows.select("doc_id", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("i")).select("text", "toxic"), "learn")
+    learn = ws.save(distinct_texts(rows.select("doc_id", "text").join(marks.hint("merge"), F.col("doc_id") == F.col("i")).select("text", "toxic")), "learn")
     terms, ordinary, b = learn_model(learn)
     ws.drop("learn")
     return hit_counts(docs, terms, ordinary, keep_text).withColumn("score", probability(b))

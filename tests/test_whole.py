@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessel import catalogue
+from tessel.llm import toxicity
 from tessel.operators import search
 
 
@@ -57,3 +58,16 @@ def test_kinds_of_all_nodes(spark, tmp_path):
     spark.createDataFrame([(2,), (3,)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
     got = catalogue.queries()["node_kind_whole"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, "family"), (2, "family"), (3, "process"), (100005, "part"), (100006, "part"), (250001, "order")]
+
+
+def test_copies_do_not_fill_the_lexicon(spark):
+    r = np.random.default_rng(3)
+    letters = lambda n: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(n)]
+    plain = letters(300)
+    rows = [(" ".join(r.choice(plain, 30)) + (" moronix" if i % 20 == 0 else ""), int(i % 20 == 0)) for i in range(400)]
+    rows += [(" ".join(letters(600)), 1)] * 50
+    learn = toxicity.distinct_texts(spark.createDataFrame(rows, "text string, toxic int"))
+    assert learn.agg({"n": "sum"}).first()[0] == len(rows)
+    assert [t for t, _, _ in toxicity._lexicon(learn)[0]] == ["moronix"]
+    many = spark.createDataFrame([(x, 30, 0) for x in letters(5000)], "feature string, toxic long, other long")
+    assert len(toxicity.strongest(many, 1000, 100000)) == many.distinct().count()
