@@ -5,15 +5,16 @@
 2. Passages (``PASSAGE`` words, every ``PASSAGE`` words) of all documents are TF-IDF rows over the benchmark's words, scaled by the
    length of the whole passage vector. Their leading directions come from a distributed randomised SVD in one pass: tasks add up
    the Gram matrix times a random matrix, the driver finishes it (Nystroem's method).
-3. The latent space is these directions, damped by their strength, and what the benchmark passages add to them, since a passage that leaked
+3. Benchmark items of more than ``WHOLE`` words are cut into overlapping passages of ``PASSAGE`` words; shorter ones are a passage each. The
+   latent space is these directions, damped by their strength, and what the benchmark passages add to them, since a passage that leaked
    once leaves no trace in leading directions. Overlapping windows of all documents are compared with the benchmark passages by cosine
    in this space; words that no benchmark passage has weigh ``OUTSIDE`` in a window's squared length, as a leak often stands among
    rarer words. Windows whose share of benchmark words is too small for the cosine are left out first (the bound is exact for words
    that stand once in the window).
-4. Around each candidate the longest common subsequence of words is computed. A text is a leak if it has ``SURE`` of the benchmark passage
-   in order, or ``LIKELY`` of it and ``ANSWER`` of the words of its last sentence.
+4. Around each candidate the longest common subsequence of words is computed, with the whole item. A text is a leak if it has ``SURE`` of
+   the benchmark item in order, or ``LIKELY`` of it and ``ANSWER`` of the words of its last sentence.
 
-Benchmark passages are taken in blocks of ``ITEMS`` (each block is one pass over the documents). Empty and null texts of either table match
+Benchmark items are taken in blocks of about ``ITEMS`` passages (each block is one pass over the documents). Empty and null texts of either table match
 nothing. A benchmark passage of a few words only matches texts that hold it whole. Rows that repeat are compared each, and each (document,
 passage) is returned once. Extra columns are ignored.
 """
@@ -36,6 +37,7 @@ from tessel.llm._store import Workspace, table
 BUCKETS, STOP_SHARE, LEAST_OWN, PASSAGE, STRIDE = 1 << 18, 0.03, 8, 32, 16
 RANK, ITEMS, SEED, COSINE, OUTSIDE = 32, 256, 3, 0.4, 0.25
 SURE, LIKELY, ANSWER = 0.7, 0.6, 0.6
+WHOLE = 2 * PASSAGE
 MARKS = ".,;:!?\"'()[]"
 _CHUNK, _FAN, _SLICE = 8192, 256, 256
 
@@ -116,8 +118,11 @@ class Block:
         self.weight = weight = np.where(common, 0, inverse).astype(np.float32)
         self.answers = [words_of(pa.array([_last_sentence(t)]))[0] for _, t in items]
         self.vocabulary = np.unique(hashes[weight[_bucket(hashes)] > 0])
-        rows = np.zeros((len(items), len(self.vocabulary)), np.float32)
-        for r, w in zip(rows, self.words):
+        parts = [(i, a) for i, w in enumerate(self.words) for a in _starts(len(w))]
+        self.owner, self.begin = [i for i, _ in parts], [a for _, a in parts]
+        rows = np.zeros((len(parts), len(self.vocabulary)), np.float32)
+        for r, (i, a) in zip(rows, parts):
+            w = self.words[i] if len(self.words[i]) <= WHOLE else self.words[i][a : a + PASSAGE]
             w = w[weight[_bucket(w)] > 0]
             np.add.at(r, np.searchsorted(self.vocabulary, w), weight[_bucket(w)])
         self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
@@ -150,6 +155,11 @@ class Block:
         self.space = np.where(np.abs(space) < 1e-6, np.float32(0), space)  # products of tiny numbers would be slow
 
 
+def _starts(n: int) -> list[int]:
+    """Where the passages of an item of n words begin; the last one ends with the item."""
+    return [0] if n <= WHOLE else [*range(0, n - PASSAGE, STRIDE), n - PASSAGE]
+
+
 def _last_sentence(text: str) -> str:
     parts = [p for p in text.replace("?", ".").replace("!", ".").split(".") if p.strip()]
     return parts[-1] if parts else ""
@@ -210,7 +220,8 @@ def _best_part(item: np.ndarray, words: np.ndarray, at: int) -> tuple[float, int
     n = len(item)
     size, step = math.ceil(1.25 * n), max(1, n // 8)
     best = (0.0, 0, 0)
-    for a in range(max(0, at - size), min(len(words), at + PASSAGE), step):
+    places = range(max(0, at - size), min(len(words), at + PASSAGE), step)
+    for a in places if n <= WHOLE else (*places, min(at, len(words))):
         share = common_subsequence(item, words[a : a + size]) / n
         if share > best[0]:
             best = (share, a, min(a + size, len(words)))
@@ -250,14 +261,20 @@ def search(docs: DataFrame, block: Block, cosine: float = COSINE) -> DataFrame:
                     cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every window here has a known word
                     z = np.add.reduceat(block.space[at[places]] * x[places].astype(np.float32)[:, None], cut, axis=0)
                     score = (z @ queries.T) / np.sqrt(size[k])[:, None]
-                    for r, q in zip(*(y.tolist() for y in np.nonzero(score >= cosine))):
-                        d = int(owner[k[r]])
-                        found.append((i + d, q, float(score[r, q]), int(begin[k[r]] - first[d]), w[first[d] : first[d + 1]]))
+                    for r, p in zip(*(y.tolist() for y in np.nonzero(score >= cosine))):
+                        d, q = int(owner[k[r]]), block.owner[p]
+                        place, n = int(begin[k[r]] - first[d]), len(block.words[q])
+                        if n > WHOLE:  # where the item would begin; hits of other passages that say about the same are tried once
+                            grid = max(1, n // 8)
+                            place = max(0, round((place - block.begin[p]) / grid) * grid)
+                        found.append((i + d, q, float(score[r, p]), place, w[first[d] : first[d + 1]]))
             rows: dict[tuple, tuple] = {}
+            tried = set()
             for d, q, score, place, words in found:
                 item = block.words[q]
-                if not len(item) or rows.get((d, q), (0, 0.0))[1] >= 1.0:
+                if not len(item) or rows.get((d, q), (0, 0.0))[1] >= 1.0 or (len(item) > WHOLE and (d, q, place) in tried):
                     continue
+                tried.add((d, q, place))
                 share, a, b = _best_part(item, words, place)
                 answer = float(np.isin(block.answers[q], words[a:b]).mean()) if len(block.answers[q]) else 1.0
                 if (share >= SURE or (share >= LIKELY and answer >= ANSWER)) and share > rows.get((d, q), (0, 0.0))[1]:
@@ -274,7 +291,9 @@ def search(docs: DataFrame, block: Block, cosine: float = COSINE) -> DataFrame:
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ws: Workspace, items: int = ITEMS) -> DataFrame:
     """One row for each document and benchmark passage that it leaks."""
     known = benchmark.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("item_id", "text").distinct()
-    blocks = max(1, math.ceil(known.count() / (items * 0.8)))
+    size = F.size(F.split("text", r"[\x20\x09-\x0D]+"))  # about: marks part words too
+    passages = F.when(size > WHOLE, F.ceil(size / STRIDE)).otherwise(1)
+    blocks = max(1, math.ceil((known.agg(F.sum(passages)).first()[0] or 0) / (items * 0.8)))
     weights = inverse_frequencies(docs)
     out = None
     for b in range(blocks):

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tessel import catalogue
-from tessel.llm import toxicity
+from tessel.llm import decontamination, toxicity
+from tessel.llm._store import Workspace
 from tessel.operators import search
 
 
@@ -71,3 +72,19 @@ def test_copies_do_not_fill_the_lexicon(spark):
     assert [t for t, _, _ in toxicity._lexicon(learn)[0]] == ["moronix"]
     many = spark.createDataFrame([(x, 30, 0) for x in letters(5000)], "feature string, toxic long, other long")
     assert len(toxicity.strongest(many, 1000, 100000)) == many.distinct().count()
+
+
+def test_long_items_leak(spark):
+    r = np.random.default_rng(4)
+    words = lambda n: [f"t{x}" for x in r.integers(0, 20000, n)]
+    items = [words(400), words(1500), words(30)]
+    rows = [words(900) for _ in range(40)]
+    for i, w in enumerate(rows[:6]):
+        w[100 + 7 * i : 100 + 7 * i] = items[i % 3]
+    rows[6][50:50] = items[0][:200]  # half of an item is no leak
+    rows[7][300:300] = [x for j, x in enumerate(items[0]) if j % 6]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["lcs_share"] for x in decontamination.leaks(spark, d, b, Workspace(spark, "t")).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 1), (5, 2), (7, 0)}
+    assert min(got[i, i % 3] for i in range(6)) > 0.99
