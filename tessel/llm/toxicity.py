@@ -3,8 +3,9 @@
 Learning. From labelled texts the document frequencies of words and of word beginnings ("stems" of 3 to 7 letters) are counted
 apart for toxic and other texts, a text once however often it is copied. Terms are all with a log-likelihood ratio of at least
 ``LEAST_G2``, a toxic share of at least ``LEAST_SHARE`` and no broader term beside them. Terms whose share is below
-``SURE_SHARE`` are weak. Misspellings are words within one edit of a sure term of ``FUZZY`` letters or more. Words that match so but
-stand in harmless learned texts are ordinary words and are excepted. A logistic regression is fitted on four counts of a text: hits,
+``SURE_SHARE`` are weak. Misspellings are words within one edit of a sure word of ``FUZZY`` letters or more, also of one that a stem
+covers. Words that match so but stand in ``LEAST_DOCS`` learned texts or more, with a toxic share below ``LEAST_SHARE``, are ordinary
+words and are excepted. A logistic regression is fitted on four counts of a text: hits,
 hits of weak terms, misspelled hits, and hits in quotation. For the fit the lexicon comes from one half of the learned texts and the
 counts from the other, so that it sees how the lexicon does on texts that it was not made of; the final lexicon is made of all.
 
@@ -41,11 +42,11 @@ class Automaton:
     """The words within an edit distance of a lexicon, read letter by letter.
 
     A state is a set of pairs (trie node, edits so far); states are made when first reached and kept. A stem's last node accepts
-    whatever follows.
+    whatever follows, if it was reached without edits; words that go on behind it or end there have their own edits.
     """
 
     def __init__(self, terms: list[tuple[str, bool, bool]], fuzzy: int = FUZZY):
-        self.next, self.end, self.stem, self.edits = [{}], {}, set(), [0]
+        self.next, self.end, self.stem, self.edits = [{}], {}, {}, [0]
         for number, (term, is_stem, sure) in enumerate(terms):
             node, most = 0, int(len(term) >= fuzzy and sure and not is_stem)
             for c in term:
@@ -57,8 +58,9 @@ class Automaton:
                 node = self.next[node][c]
             self.edits[node] = max(self.edits[node], most)
             if is_stem:
-                self.stem.add(node)
-            self.end.setdefault(node, (number, most))
+                self.stem.setdefault(node, number)
+            else:
+                self.end.setdefault(node, (number, most))
         self.made: dict[frozenset, list] = {}
         self.start = self._state({(0, 0)})
 
@@ -76,7 +78,7 @@ class Automaton:
         key = frozenset(held)
         if key not in self.made:
             found = min(((k, self.end[n][0]) for n, k in held if n in self.end and k <= self.end[n][1]), default=None)
-            stuck = min(((k, self.end[n][0]) for n, k in held if n in self.stem), default=None)
+            stuck = min(((k, self.stem[n]) for n, k in held if n in self.stem and k == 0), default=None)
             self.made[key] = [found, {}, key, stuck]
         return self.made[key]
 
@@ -132,7 +134,8 @@ def count_features(learn: DataFrame) -> DataFrame:
 
 
 def _uncovered(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """rows: feature, toxic and other, strongest first, with the same first letters. Those without a broader term beside them."""
+    """rows: feature, toxic and other, strongest first, with the same first letters. Those without a broader term beside them, and covered
+    words that can be misspelled."""
     chosen: dict[str, tuple[int, int]] = {}
     below: Counter = Counter()  # toxic texts of the chosen by their beginnings
 
@@ -151,7 +154,8 @@ def _uncovered(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
             del chosen[x]
         chosen[feature] = toxic, other
         add(feature, 1)
-    return [(x, *n) for x, n in chosen.items()]
+    fuzzy = [x for x in rows if x[0] not in chosen and not x[0].endswith("*") and len(x[0]) >= FUZZY and x[1] >= SURE_SHARE * (x[1] + x[2])]
+    return [(x, *n) for x, n in chosen.items()] + fuzzy
 
 
 def strongest(features: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str, bool, bool]]:
@@ -212,21 +216,18 @@ class Reader:
         return opened % 2 == 1 and closed > 0
 
 
-def _near_words(learn: DataFrame, terms: list[tuple[str, bool, bool]]) -> frozenset:
-    """Words of harmless learned texts that are a misspelling of a term: at most what lies within one edit of the terms."""
+def _near_words(features: DataFrame, terms: list[tuple[str, bool, bool]]) -> frozenset:
+    """Ordinary words that look like a misspelling of a term: at most what lies within one edit of the terms."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, seen, out = Automaton(terms), set(), set()
+        automaton = Automaton(terms)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                new = set((text or "").lower().split()).difference(seen)
-                out.update(b for b in (w.strip(_EDGE) for w in new) if (m := automaton.match(b)) and m[0])
-                if len(seen) > 600_000:
-                    seen.clear()
-                seen.update(new)
-        yield pa.record_batch({"w": pa.array(sorted(out), pa.string())})
+            found = [w for w in batch.column(0).to_pylist() if (m := automaton.match(w)) and m[0]]
+            yield pa.record_batch({"w": pa.array(found, pa.string())})
 
-    return frozenset(r["w"] for r in learn.where(F.col("toxic") == 0).select("text").mapInArrow(near, "w string").distinct().collect())
+    n = F.col("toxic") + F.col("other")
+    ordinary = features.where(~F.col("feature").endswith("*") & (n >= LEAST_DOCS) & (F.col("toxic") < LEAST_SHARE * n))
+    return frozenset(r["w"] for r in ordinary.select("feature").mapInArrow(near, "w string").collect())
 
 
 def hit_counts(docs: DataFrame, terms: list[tuple[str, bool, bool]], ordinary: frozenset, keep_text: bool = False) -> DataFrame:
@@ -269,8 +270,14 @@ def probability(b: list[float]) -> Column:
 
 def _lexicon(learn: DataFrame) -> tuple[list[tuple[str, bool, bool]], frozenset]:
     totals = {r["toxic"]: r["n"] for r in learn.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    terms = strongest(count_features(learn), totals.get(True, 0), totals.get(False, 0)) if totals.get(True) else []
-    return terms, _near_words(learn, terms) if terms else frozenset()
+    if not totals.get(True):
+        return [], frozenset()
+    ws = Workspace(learn.sparkSession, "features")
+    features = ws.save(count_features(learn).where(F.col("toxic") + F.col("other") >= LEAST_DOCS), "features")  # fewer texts decide nothing
+    terms = strongest(features, totals[True], totals.get(False, 0))
+    ordinary = _near_words(features, terms) if terms else frozenset()
+    ws.drop("features")
+    return terms, ordinary
 
 
 def learn_model(learn: DataFrame) -> tuple[list[tuple[str, bool, bool]], frozenset, list[float]]:

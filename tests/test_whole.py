@@ -88,3 +88,21 @@ def test_long_items_leak(spark):
     got = {(x["doc_id"], x["item_id"]): x["lcs_share"] for x in decontamination.leaks(spark, d, b, Workspace(spark, "t")).collect()}
     assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 1), (5, 2), (7, 0)}
     assert min(got[i, i % 3] for i in range(6)) > 0.99
+
+
+def test_one_quotation_excepts_no_misspelling(spark):
+    r = np.random.default_rng(6)
+    plain = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(300)]
+    rows = [(" ".join(r.choice(plain, 30)) + (f" moronix grubby{'xyz'[i // 20 % 3]} grubby" if i % 10 == 0 else " motonix" if i % 10 == 1 else ""), int(i % 10 == 0)) for i in range(400)]
+    rows.append(("someone called him moronlx", 0))
+    terms, ordinary = toxicity._lexicon(toxicity.distinct_texts(spark.createDataFrame(rows, "text string, toxic int")))
+    assert "moronlx" not in ordinary and "motonix" in ordinary
+    reader = toxicity.Reader(terms, ordinary)
+    assert reader.counts("you moronlx") == (0, 0, 1, 0) and reader.counts("the motonix") == (0, 0, 0, 0)
+
+
+def test_covered_words_keep_their_edits():
+    rows = [("lowei*", 60, 0), ("loweing", 40, 0), ("loweind", 10, 9)]
+    assert toxicity._uncovered(rows) == rows[:2]
+    a = toxicity.Automaton([("lowei", True, True), ("loweing", False, True)])
+    assert a.match("loweixx") == (0, 0) and a.match("lxweing") == (1, 1) and a.match("lxweixx") is None and a.match("lxwei") is None
