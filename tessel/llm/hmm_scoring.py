@@ -1,13 +1,15 @@
 """Language-model scores by a hidden Markov model over words, beside a unigram base score.
 
-Tokens are the words of a text (A-Z lower-cased) and one end. Training counts come from all training texts. Words that occur often are
-symbols of their own (at most ``HEAD`` of them, a bounded table that every task holds); any other word is the symbol of its last two bytes
+Tokens are the words of a text (A-Z lower-cased) and one end. Training counts come from all training texts and are exact, so that scores
+don't depend on how the texts lie. Words that occur often are symbols of their own (all words from some count on, the least count for which
+they are at most ``HEAD``, a bounded table that every task holds); any other word is the symbol of its last two bytes
 and, within that symbol, has its own add-half unigram share, unseen words together that of one word. So the model is a proper
 distribution over words, and its likelihood of a text is exact: a scaled forward recursion over the symbols plus the shares.
 
 ``STATES`` hidden states are trained by Baum-Welch: in each round tasks run forward and backward over their texts (long ones cut into
 runs of ``RUN`` tokens, all of them used), expected counts are added up across partitions by a shuffle, and the driver divides them.
-Counts of rare words never reach the driver: words and the documents that hold them meet in a shuffle by word.
+Counts of rare words never reach the driver: words and the documents that hold them meet in a shuffle by word, in as many parts as keep a
+part at about ``PART_TOKENS`` training tokens.
 
 Null and empty texts are one end token. Rows that repeat count and are scored each; a null key is a training row. With no training
 rows at all every count is 0. Extra columns are ignored.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tessel.llm import _text
 from tessel.llm._store import Workspace, table
 
-HEAD, STATES, ROUNDS, RUN, SEED, STRENGTH = 1 << 17, 6, 4, 512, 5, 200.0
+HEAD, STATES, ROUNDS, RUN, SEED, STRENGTH, PART_TOKENS = 1 << 17, 6, 4, 512, 5, 200.0, 1 << 21
 _SUFFIXES, _CHUNK, _TOKENS, _FAN = 1 << 16, 8192, 400_000, 256
 
 
@@ -42,35 +44,36 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, before * 256 + low[ends - 1], first
 
 
-def frequent_words(train: DataFrame, most: int = HEAD) -> np.ndarray:
-    """Sorted hashes of at most ``most`` words that are the most frequent, by counts of the words that a task meets twice or more."""
+def word_counts(train: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """w (a word's hash) and c, how often it stands in the texts: exact, with counts of ``most`` words at a time added up in each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            w, n = np.unique(_text.words_of(batch.column(0))[0], return_counts=True)
-            both, at = np.unique(np.concatenate([held[0], w]), return_inverse=True)
-            held = both, np.bincount(at, np.concatenate([held[1], n]), len(both)).astype(np.int64)
-            if len(held[0]) > 4_000_000:
-                keep = held[1] > 1
-                held = held[0][keep], held[1][keep]
-        keep = held[1] > 1
-        yield pa.record_batch({"w": pa.array(held[0][keep].view(np.int64)), "c": pa.array(held[1][keep])})
-
-    counts = train.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).persist()
-    try:
-        by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c"))
-        total, least = 0, None
-        for r in by_count.toLocalIterator():  # from the most frequent on, until the table is full
-            if total + r["n"] > most:
-                break
-            total, least = total + r["n"], r["c"]
-        if least is None:
-            return np.zeros(0, np.uint64)
-        found = counts.where(F.col("c") >= least).select("w").toArrow().column("w").to_numpy()
-    finally:
-        counts.unpersist()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+            for i in range(0, batch.num_rows, 2048):
+                w, n = np.unique(_text.words_of(batch.column(0).slice(i, 2048))[0], return_counts=True)
+                both, at = np.unique(np.concatenate([held[0], w]), return_inverse=True)
+                held = both, np.bincount(at, np.concatenate([held[1], n]), len(both)).astype(np.int64)
+                if len(held[0]) > most:
+                    yield pa.record_batch({"w": pa.array(held[0].view(np.int64)), "c": pa.array(held[1])})
+                    held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        yield pa.record_batch({"w": pa.array(held[0].view(np.int64)), "c": pa.array(held[1])})
+
+    return train.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def frequent_words(counts: DataFrame, most: int = HEAD) -> tuple[np.ndarray, int]:
+    """Sorted hashes of all words that occur at least so often that at most ``most`` words do; and how many tokens the other words have."""
+    by_count = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most + 1).collect()
+    total, least = 0, None
+    for r in by_count:  # from the most frequent on, until the table is full
+        if total + r["n"] > most:
+            break
+        total, least = total + r["n"], r["c"]
+    if least is None:
+        return np.zeros(0, np.uint64), int(counts.agg(F.sum("c")).first()[0] or 0)
+    found = counts.where(F.col("c") >= least).select("w").toArrow().column("w").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64)), int(counts.where(F.col("c") < least).agg(F.sum("c")).first()[0] or 0)
 
 
 def encode(docs: DataFrame, head: np.ndarray, parts: int) -> DataFrame:
@@ -157,8 +160,8 @@ def rare_words(blocks: DataFrame, parts: int) -> DataFrame:
             distinct, at = np.unique(ids, return_inverse=True)
             yield pa.record_batch({"kind": pa.array([kind] * len(distinct), pa.string()), "id": pa.array(distinct), "x": pa.array(np.bincount(at, x, len(distinct))), "y": pa.array(np.bincount(at, y, len(distinct)))})
 
-    rows = blocks.select("part", "rid", F.col("symbols").alias("b")).repartition(parts, "part").select("rid", "b")
-    sums = rows.mapInArrow(run, "to long, kind string, b binary").repartition(parts, "to").select("kind", "b")
+    rows = blocks.select("part", "rid", F.col("symbols").alias("b")).repartitionById(parts, F.col("part").cast("int")).select("rid", "b")
+    sums = rows.mapInArrow(run, "to long, kind string, b binary").repartitionById(parts, F.col("to").cast("int")).select("kind", "b")
     return sums.mapInArrow(add, "kind string, id long, x double, y double")
 
 
@@ -265,11 +268,11 @@ def baum_welch(train: DataFrame, model: Model, unigram: np.ndarray, strength: fl
         if seen:
             flat = np.concatenate([first, moves.reshape(-1), emit.reshape(-1)])
             chunks = [flat[i : i + _CHUNK] for i in range(0, len(flat), _CHUNK)]
-            yield pa.record_batch({"chunk": pa.array(range(len(chunks)), pa.int64()), "salt": pa.array([TaskContext.get().partitionId() // _FAN] * len(chunks), pa.int64()), "v": pa.array([c.astype("<f4").tobytes() for c in chunks], pa.binary())})
+            yield pa.record_batch({"chunk": pa.array(range(len(chunks)), pa.int64()), "salt": pa.array([TaskContext.get().partitionId() // _FAN] * len(chunks), pa.int64()), "v": pa.array([c.astype("<f8").tobytes() for c in chunks], pa.binary())})
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_buffer(), "<f4").astype(np.float64) for b in rows.column("v"))
-        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "salt": pa.array([0], pa.int64()), "v": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+        total = sum(np.frombuffer(b.as_buffer(), "<f8").astype(np.float64) for b in rows.column("v"))
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "salt": pa.array([0], pa.int64()), "v": pa.array([total.astype("<f8").tobytes()], pa.binary())})
 
     schema = "chunk long, salt long, v binary"
     parts = train.select("symbols").mapInArrow(run, schema).groupBy("chunk", "salt").applyInArrow(add, schema)
@@ -277,7 +280,7 @@ def baum_welch(train: DataFrame, model: Model, unigram: np.ndarray, strength: fl
     spread.unpersist()
     if not rows:
         return model
-    flat = np.concatenate([np.frombuffer(bytes(r["v"]), "<f4") for r in sorted(rows, key=lambda r: r["chunk"])]).astype(np.float64)
+    flat = np.concatenate([np.frombuffer(bytes(r["v"]), "<f8") for r in sorted(rows, key=lambda r: r["chunk"])]).astype(np.float64)
     first, moves, emit = flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(k, width)
     emit = emit + strength * unigram
     moves = moves + 0.5
@@ -286,8 +289,9 @@ def baum_welch(train: DataFrame, model: Model, unigram: np.ndarray, strength: fl
 
 def score(spark: SparkSession, docs: DataFrame, ws: Workspace, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """docs: doc_id, text, train. doc_id, train, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    head = frequent_words(docs.where("train"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head, rare_tokens = frequent_words(ws.save(word_counts(docs.where("train")), "words"))
+    ws.drop("words")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rare_tokens // PART_TOKENS))
     coded = ws.save(encode(docs, head, parts), "encoded")
     rows, blocks = coded.where(F.col("part").isNull()).drop("part"), coded.where(F.col("part").isNotNull())
     rare = ws.save(rare_words(blocks, parts), "rare")
