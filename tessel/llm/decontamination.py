@@ -1,22 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words are counted over all documents; words in more than ``STOP_SHARE`` of them weigh nothing, but for the
-   rarest of a benchmark passage that has fewer than ``LEAST_OWN`` others.
-2. Passages (``PASSAGE`` words, every ``PASSAGE`` words) of all documents are TF-IDF rows over the benchmark's words, scaled by the
+   rarest of a benchmark item that has fewer than ``LEAST_OWN`` others.
+2. Benchmark items of more than ``WHOLE`` words are cut into overlapping passages of ``PASSAGE`` words; shorter ones are a passage each.
+3. Passages (``PASSAGE`` words, every ``PASSAGE`` words) of all documents are TF-IDF rows over the benchmark's words, scaled by the
    length of the whole passage vector. Their leading directions come from a distributed randomised SVD in one pass: tasks add up
-   the Gram matrix times a random matrix, the driver finishes it (Nystroem's method).
-3. Benchmark items of more than ``WHOLE`` words are cut into overlapping passages of ``PASSAGE`` words; shorter ones are a passage each. The
-   latent space is these directions, damped by their strength, and what the benchmark passages add to them, since a passage that leaked
-   once leaves no trace in leading directions. Overlapping windows of all documents are compared with the benchmark passages by cosine
-   in this space; words that no benchmark passage has weigh ``OUTSIDE`` in a window's squared length, as a leak often stands among
-   rarer words. Windows whose share of benchmark words is too small for the cosine are left out first (the bound is exact for words
-   that stand once in the window).
-4. Around each candidate the longest common subsequence of words is computed, with the whole item. A text is a leak if it has ``SURE`` of
+   the Gram matrix times a random matrix, the driver finishes it (Nystroem's method). A truncated SVD of what the benchmark passages have beside
+   these directions gives ``RANK_SHARE`` times as many more as there are passages, and a passage of which less than ``KEPT`` lies in all of them
+   gets one of its own: leading directions alone would lose a passage that leaked once.
+4. Overlapping windows of all documents are folded into this space and compared with the benchmark passages there. The products are
+   divided by the share of the passage that the space keeps, so that they are estimates of the cosine of the full vectors and exact for a
+   copy. Words that no benchmark passage has weigh ``OUTSIDE`` in a window's squared length, as a leak often stands among rarer words. Windows
+   that by their benchmark words can't reach the least cosine are left out first, by a bound that is never too low.
+5. Around each candidate the longest common subsequence of words is computed, with the whole item. A text is a leak if it has ``SURE`` of
    the benchmark item in order, or ``LIKELY`` of it and ``ANSWER`` of the words of its last sentence.
 
-Benchmark items are taken in blocks of about ``ITEMS`` passages (each block is one pass over the documents). Empty and null texts of either table match
-nothing. A benchmark passage of a few words only matches texts that hold it whole. Rows that repeat are compared each, and each (document,
-passage) is returned once. Extra columns are ignored.
+Benchmark items are taken in blocks of about ``ITEMS`` passages with a space each, and ``GROUP`` blocks share the two passes over the documents. Empty
+and null texts of either table match nothing. A benchmark item of a few words only matches texts that hold it whole. Rows that repeat are compared
+each, and each (document, item) is returned once. An empty table of either kind gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tessel.llm import _text
 from tessel.llm._store import Workspace, table
 
 BUCKETS, STOP_SHARE, LEAST_OWN, PASSAGE, STRIDE = 1 << 18, 0.03, 8, 32, 16
-RANK, ITEMS, SEED, COSINE, OUTSIDE = 32, 256, 3, 0.4, 0.25
+RANK, RANK_SHARE, KEPT, ITEMS, GROUP, SEED, COSINE, OUTSIDE = 32, 0.5, 0.4, 256, 12, 3, 0.4, 0.25
 SURE, LIKELY, ANSWER = 0.7, 0.6, 0.6
 WHOLE = 2 * PASSAGE
 MARKS = ".,;:!?\"'()[]"
@@ -109,13 +110,12 @@ class Block:
         hashes, first = words_of(pa.array([t for _, t in items], pa.string()))
         self.ids = [i for i, _ in items]
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        common = common.copy()
+        silent = common.copy()
         for w in self.words:
             own = np.unique(_bucket(w))
-            rarest = own[np.argsort(-inverse[own], kind="stable")][:LEAST_OWN]
             if (~common[own]).sum() < LEAST_OWN:
-                common[rarest] = False
-        self.weight = weight = np.where(common, 0, inverse).astype(np.float32)
+                silent[own[np.argsort(-inverse[own], kind="stable")][:LEAST_OWN]] = False
+        self.weight = weight = np.where(silent, 0, inverse).astype(np.float32)
         self.answers = [words_of(pa.array([_last_sentence(t)]))[0] for _, t in items]
         self.vocabulary = np.unique(hashes[weight[_bucket(hashes)] > 0])
         parts = [(i, a) for i, w in enumerate(self.words) for a in _starts(len(w))]
@@ -126,7 +126,6 @@ class Block:
             w = w[weight[_bucket(w)] > 0]
             np.add.at(r, np.searchsorted(self.vocabulary, w), weight[_bucket(w)])
         self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-        self.space = np.zeros((len(self.vocabulary), 0), np.float32)
 
     def find(self, w: np.ndarray) -> np.ndarray:
         """Numbers of words in the vocabulary, its size for all others."""
@@ -136,8 +135,8 @@ class Block:
         return np.where(self.vocabulary[at] == w, at, len(self.vocabulary))
 
     def finish(self, y: np.ndarray, omega: np.ndarray) -> None:
-        """From the Gram matrix times omega: leading directions, damped, and the passages' own."""
-        directions, damp = np.zeros((len(self.vocabulary), 0)), np.zeros(0)
+        """From the Gram matrix times omega: leading directions, and those that the passages add. Sets space, queries and least."""
+        directions = np.zeros((len(self.vocabulary), 0))
         size = np.linalg.norm(y)
         if size > 0:
             nu = 1e-6 * size
@@ -146,13 +145,23 @@ class Block:
             lower = np.linalg.cholesky((middle + middle.T) / 2 + 1e-9 * size * np.eye(len(middle)))
             u, s, _ = np.linalg.svd(np.linalg.solve(lower, shifted.T).T, full_matrices=False)
             strength = np.maximum(s**2 - nu, 0)
-            kept = strength > 1e-6 * strength.max()
-            directions, strength = u[:, kept], strength[kept]
-            damp = 1 / np.sqrt(1 + strength / (10 * np.median(strength)))
+            directions = u[:, strength > 1e-6 * strength.max()]
         rest = self.rows.T - directions @ (directions.T @ self.rows.T)
-        own, r = np.linalg.qr(rest) if rest.size else (rest, rest)
-        space = np.concatenate([directions * damp, own], axis=1).astype(np.float32)
+        u, s, _ = np.linalg.svd(rest, full_matrices=False)
+        rank = min(max(RANK, math.ceil(RANK_SHARE * len(self.rows))), int((s > 1e-5).sum()))
+        own = u[:, :rank]
+        held = ((self.rows @ directions) ** 2).sum(axis=1) + ((self.rows @ own) ** 2).sum(axis=1)
+        lost = rest[:, held < KEPT]
+        lost = lost - own @ (own.T @ lost)
+        extra, r = np.linalg.qr(lost)
+        extra = extra[:, np.abs(np.diag(r)) > 1e-5] if extra.size else extra
+        space = np.concatenate([directions, own, extra], axis=1).astype(np.float32)
         self.space = np.where(np.abs(space) < 1e-6, np.float32(0), space)  # products of tiny numbers would be slow
+        queries = self.rows @ self.space
+        share = (queries**2).sum(axis=1)
+        self.queries = np.where(share[:, None] > 1e-6, queries / np.maximum(share, 1e-6)[:, None], 0).astype(np.float32)
+        self.least = float(share[share > 1e-6].min()) if (share > 1e-6).any() else 1.0
+        self.rows = None
 
 
 def _starts(n: int) -> list[int]:
@@ -165,41 +174,60 @@ def _last_sentence(text: str) -> str:
     return parts[-1] if parts else ""
 
 
-def leading_directions(docs: DataFrame, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The Gram matrix of all passages times a random orthonormal matrix, and that matrix."""
-    m = len(block.vocabulary)
-    omega = np.linalg.qr(np.random.default_rng(SEED).normal(size=(m, min(RANK, m))))[0]
-    held = docs.sparkSession.sparkContext.broadcast((block, omega.astype(np.float32)))
+def _known(blocks: list[Block]) -> np.ndarray:
+    """The buckets that hold words of the blocks' vocabularies."""
+    out = np.zeros(BUCKETS, bool)
+    for block in blocks:
+        out[_bucket(block.vocabulary)] = True
+    return out
+
+
+def leading_directions(docs: DataFrame, blocks: list[Block]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block the Gram matrix of all passages times a random orthonormal matrix, and that matrix."""
+    omegas = [np.linalg.qr(np.random.default_rng(SEED).normal(size=(len(b.vocabulary), min(RANK, len(b.vocabulary)))))[0] for b in blocks]
+    held = docs.sparkSession.sparkContext.broadcast(([b.weight for b in blocks], [b.vocabulary for b in blocks], [o.astype(np.float32) for o in omegas]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, omega = held.value
-        weight = block.weight
-        padded = np.vstack([omega, np.zeros((1, omega.shape[1]), np.float32)])
-        y = np.zeros((m + 1, omega.shape[1]))
+        weights, vocabularies, omegas = held.value
+        some = np.zeros(BUCKETS, bool)
+        for v in vocabularies:
+            some[_bucket(v)] = True
+        padded = [np.vstack([o, np.zeros((1, o.shape[1]), np.float32)]) for o in omegas]
+        sums = [np.zeros((len(o), o.shape[1])) for o in padded]
         for batch in batches:
             for i in range(0, batch.num_rows, _SLICE):
                 w, first = words_of(batch.column(0).slice(i, _SLICE))
                 owner, begin, end = _windows(first, PASSAGE)
-                x, at = weight[_bucket(w)], block.find(w)
-                upto = np.concatenate([[0], np.cumsum(x.astype(np.float64) ** 2)])
-                size = np.sqrt(np.maximum(upto[end] - upto[begin], 1e-12))
-                own = np.flatnonzero(at < m)
-                if not len(own):
-                    continue
-                passage = np.searchsorted(begin, own, side="right") - 1
-                value = (x[own] / size[passage]).astype(np.float32)
-                cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                u = np.add.reduceat(padded[at[own]] * value[:, None], cut, axis=0)
-                back = np.cumsum(np.append(True, passage[1:] != passage[:-1])) - 1
-                order = np.argsort(at[own], kind="stable")
-                ranked = at[own][order]
-                begin_of = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-                y[ranked[begin_of]] += np.add.reduceat(u[back[order]] * value[order, None], begin_of, axis=0)
-        yield _chunks(y[:m].reshape(-1))
-
-    flat = _sum_chunks(docs.select("text").mapInArrow(run, "chunk long, salt long, v binary"))
+                place = _bucket(w)
+                near = np.flatnonzero(some[place])
+                for weight, v, table_, y in zip(weights, vocabularies, padded, sums):
+                    if not len(v) or not len(near):
+                        continue
+                    at = np.minimum(np.searchsorted(v, w[near]), len(v) - 1)
+                    ok = v[at] == w[near]
+                    at, own = at[ok], near[ok]
+                    if not len(own):
+                        continue
+                    upto = np.concatenate([[0], np.cumsum(weight[place].astype(np.float64) ** 2)])
+                    size = np.sqrt(np.maximum(upto[end] - upto[begin], 1e-12))
+                    passage = np.searchsorted(begin, own, side="right") - 1
+                    value = (weight[place[own]] / size[passage]).astype(np.float32)
+                    cut = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+                    u = np.add.reduceat(table_[at] * value[:, None], cut, axis=0)
+                    back = np.cumsum(np.append(True, passage[1:] != passage[:-1])) - 1
+                    order = np.argsort(at, kind="stable")
+                    ranked = at[order]
+                    begin_of = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+                    y[ranked[begin_of]] += np.add.reduceat(u[back[order]] * value[order, None], begin_of, axis=0)
+        yield _chunks(np.concatenate([y[:-1].reshape(-1) for y in sums]))
+
+    flat = _sum_chunks(docs.select("text").mapInArrow(run, "chunk long, salt long, v binary")).astype(np.float64)
     held.unpersist()
-    return (flat.astype(np.float64).reshape(m, -1) if len(flat) else np.zeros(omega.shape)), omega
+    out = []
+    for o in omegas:
+        out.append((flat[: o.size].reshape(o.shape) if len(flat) else np.zeros(o.shape), o))
+        flat = flat[o.size :]
+    return out
 
 
 def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
@@ -228,80 +256,104 @@ def _best_part(item: np.ndarray, words: np.ndarray, at: int) -> tuple[float, int
     return best
 
 
-def search(docs: DataFrame, block: Block, cosine: float = COSINE) -> DataFrame:
+def _candidates(block: Block, w: np.ndarray, place: np.ndarray, near: np.ndarray, begin: np.ndarray, end: np.ndarray, cosine: float) -> Iterator[tuple[int, int, float]]:
+    """Windows, passages and estimated cosines of at least ``cosine``. place: the words' buckets; near: where words that may be the block's stand."""
+    at = block.find(w[near])
+    ok = at < len(block.vocabulary)
+    at, own = at[ok], near[ok]
+    if not len(own):
+        return
+    x = block.weight[place].astype(np.float64)
+    all_, value = np.concatenate([[0], np.cumsum(x**2)]), x[own]
+    a, b = np.searchsorted(own, begin), np.searchsorted(own, end)
+    upto = np.concatenate([[0], np.cumsum(value**2)])
+    key = at * (len(w) + 2 * PASSAGE) + own  # how often a word may stand in one window: its places less than a window away
+    order = np.argsort(key, kind="stable")
+    often = np.empty(len(own), np.int64)
+    often[order] = np.searchsorted(key[order], key[order] + PASSAGE, side="left") - np.searchsorted(key[order], key[order] - PASSAGE, side="right")
+    most = np.concatenate([[0], np.cumsum(often * value**2)])
+    inside = upto[b] - upto[a]
+    size = OUTSIDE * (all_[end] - all_[begin]) + (1 - OUTSIDE) * inside
+    keep = np.flatnonzero((b > a) & (most[b] - most[a] >= 0.999 * cosine**2 * block.least * size))
+    for i in range(0, len(keep), 1024):
+        k = keep[i : i + 1024]
+        n = b[k] - a[k]
+        cut = np.cumsum(n) - n
+        p = np.arange(n.sum()) + np.repeat(a[k] - cut, n)
+        z = np.add.reduceat(block.space[at[p]] * value[p].astype(np.float32)[:, None], cut, axis=0)
+        score = (z @ block.queries.T) / np.sqrt(size[k])[:, None]
+        for r, q in zip(*(y.tolist() for y in np.nonzero(score >= cosine))):
+            yield int(k[r]), q, min(float(score[r, q]), 1.0)
+
+
+def search(docs: DataFrame, blocks: list[Block], cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each leak."""
-    held = docs.sparkSession.sparkContext.broadcast(block)
+    held = docs.sparkSession.sparkContext.broadcast(blocks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def test(block: Block, found: Iterator[tuple]) -> dict[tuple, tuple]:
+        """found: row, item, cosine, place and the text's words. The best of each (row, item) that is a leak."""
+        rows: dict[tuple, tuple] = {}
+        tried = set()
+        for d, q, score, place, words in found:
+            item = block.words[q]
+            if not len(item) or rows.get((d, q), (0, 0.0))[1] >= 1.0 or (len(item) > WHOLE and (d, q, place) in tried):
+                continue
+            tried.add((d, q, place))
+            share, a, b = _best_part(item, words, place)
+            answer = float(np.isin(block.answers[q], words[a:b]).mean()) if len(block.answers[q]) else 1.0
+            if (share >= SURE or (share >= LIKELY and answer >= ANSWER)) and share > rows.get((d, q), (0, 0.0))[1]:
+                rows[d, q] = (score, share, answer)
+        return rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
-        weight = block.weight
-        m = len(block.vocabulary)
-        queries = block.rows @ block.space
-        length = np.linalg.norm(queries, axis=1)
-        queries = queries / np.maximum(length, 1e-9)[:, None]
-        queries = np.where(np.abs(queries) < 1e-6, np.float32(0), queries)
+        blocks = held.value
+        some = _known(blocks)
         for batch in batches:
-            found = []
             for i in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(i, _SLICE)
                 w, first = words_of(part.column(1))
                 owner, begin, end = _windows(first, STRIDE)
-                x, at = weight[_bucket(w)].astype(np.float64), block.find(w)
-                all_, own = np.concatenate([[0], np.cumsum(x**2)]), np.concatenate([[0], np.cumsum(np.where(at < m, x**2, 0))])
-                size = all_[end] - all_[begin]
-                inside = own[end] - own[begin]
-                size = OUTSIDE * size + (1 - OUTSIDE) * inside
-                keep = np.flatnonzero((inside > 0) & (inside >= cosine**2 * size))
-                for a in range(0, len(keep), 512):
-                    k = keep[a : a + 512]
-                    places = begin[k][:, None] + np.arange(PASSAGE)
-                    known = np.flatnonzero((places < end[k][:, None]) & (at[np.minimum(places, len(w) - 1)] < m))
-                    places, row = places.reshape(-1)[known], known // PASSAGE
-                    cut = np.flatnonzero(np.append(True, row[1:] != row[:-1]))  # every window here has a known word
-                    z = np.add.reduceat(block.space[at[places]] * x[places].astype(np.float32)[:, None], cut, axis=0)
-                    score = (z @ queries.T) / np.sqrt(size[k])[:, None]
-                    for r, p in zip(*(y.tolist() for y in np.nonzero(score >= cosine))):
-                        d, q = int(owner[k[r]]), block.owner[p]
-                        place, n = int(begin[k[r]] - first[d]), len(block.words[q])
-                        if n > WHOLE:  # where the item would begin; hits of other passages that say about the same are tried once
-                            grid = max(1, n // 8)
-                            place = max(0, round((place - block.begin[p]) / grid) * grid)
-                        found.append((i + d, q, float(score[r, p]), place, w[first[d] : first[d + 1]]))
-            rows: dict[tuple, tuple] = {}
-            tried = set()
-            for d, q, score, place, words in found:
-                item = block.words[q]
-                if not len(item) or rows.get((d, q), (0, 0.0))[1] >= 1.0 or (len(item) > WHOLE and (d, q, place) in tried):
-                    continue
-                tried.add((d, q, place))
-                share, a, b = _best_part(item, words, place)
-                answer = float(np.isin(block.answers[q], words[a:b]).mean()) if len(block.answers[q]) else 1.0
-                if (share >= SURE or (share >= LIKELY and answer >= ANSWER)) and share > rows.get((d, q), (0, 0.0))[1]:
-                    rows[d, q] = (score, share, answer)
-            if rows:
-                ids = batch.column(0).take(pa.array([d for d, _ in rows], pa.int64()))
-                cols = [pa.array([block.ids[q] for _, q in rows], pa.int64()), *(pa.array([v[j] for v in rows.values()], pa.float64()) for j in range(3))]
-                yield pa.record_batch([ids, *cols], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
+                place = _bucket(w)
+                near = np.flatnonzero(some[place])
+                for block in blocks:
+
+                    def hits():
+                        for k, p, score in _candidates(block, w, place, near, begin, end, cosine):
+                            d, q = int(owner[k]), block.owner[p]
+                            at, n = int(begin[k] - first[d]), len(block.words[q])
+                            if n > WHOLE:  # where the item would begin; hits of other passages that say about the same are tried once
+                                grid = max(1, n // 8)
+                                at = max(0, round((at - block.begin[p]) / grid) * grid)
+                            yield d, q, score, at, w[first[d] : first[d + 1]]
+
+                    rows = test(block, hits())
+                    if rows:
+                        ids = part.column(0).take(pa.array([d for d, _ in rows], pa.int64()))
+                        cols = [pa.array([block.ids[q] for _, q in rows], pa.int64()), *(pa.array([v[j] for v in rows.values()], pa.float64()) for j in range(3))]
+                        yield pa.record_batch([ids, *cols], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
     hits = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, cosine double, lcs_share double, answer_share double")
     return hits.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")))
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ws: Workspace, items: int = ITEMS) -> DataFrame:
-    """One row for each document and benchmark passage that it leaks."""
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ws: Workspace, items: int = ITEMS, group: int = GROUP) -> DataFrame:
+    """One row for each document and benchmark item that it leaks."""
     known = benchmark.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("item_id", "text").distinct()
     size = F.size(F.split("text", r"[\x20\x09-\x0D]+"))  # about: marks part words too
     passages = F.when(size > WHOLE, F.ceil(size / STRIDE)).otherwise(1)
-    blocks = max(1, math.ceil((known.agg(F.sum(passages)).first()[0] or 0) / (items * 0.8)))
-    weights = inverse_frequencies(docs)
+    n = max(1, math.ceil((known.agg(F.sum(passages)).first()[0] or 0) / (items * 0.8)))
+    inverse, common = inverse_frequencies(docs)
+
+    def block_of(k: int) -> list[tuple[int, str]]:
+        return [(r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+
     out = None
-    for b in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()]
-        block = Block(rows, *weights)
-        if len(block.vocabulary):
-            block.finish(*leading_directions(docs, block))
-        found = ws.save(search(docs, block), f"leaks-{b}")
+    for g in range(0, n, group):
+        blocks = [Block(block_of(k), inverse, common) for k in range(g, min(g + group, n))]
+        for block, found in zip(blocks, leading_directions(docs, blocks)):
+            block.finish(*found)
+        found = ws.save(search(docs, blocks), f"leaks-{g}")
         out = found if out is None else out.unionByName(found)
     return out
 
