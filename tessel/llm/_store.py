@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -9,20 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset (tests), a new local folder."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset: on one machine (tests) a new local folder, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessel-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 class Workspace:
-    """A folder of written tables; each cuts the lineage and survives the loss of executors."""
+    """A folder of written tables; each cuts the lineage and survives the loss of executors. Deleted when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._end)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -33,10 +38,16 @@ class Workspace:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(self.path(name))
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _end(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # the session still runs
+            self._delete(self.base)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
