@@ -1,11 +1,11 @@
 """Quality rules over the form of a text, and the divergence of its histograms from its language. DataFrame functions only.
 
 For each language (a null one included) two references are learned from all its documents: how characters fall into classes, and
-how words fall on the language's ``COMMON`` most frequent short words and the rest. A document is compared with both by the
+how words fall on the language's ``COMMON`` most frequent words and the rest. A document is compared with both by the
 Jensen-Shannon distance (root of the divergence to base 2). The verdict counts only if the document has ``LEAST_WORDS`` words and the
 reference ``LEAST_REFERENCE``; otherwise, and for empty texts, distances are null and only the base rules speak.
 
-Rows that repeat are judged each; a null text has no words and fails the base rules; extra columns are ignored.
+Rows that repeat are judged each; a null text has no words and fails the base rules; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm._store import Workspace, table
 
-LEAST_WORDS, LEAST_REFERENCE, COMMON, SHORT = 50, 20_000, 24, 4
+LEAST_WORDS, LEAST_REFERENCE, COMMON = 50, 20_000, 24
 MOST_CLASS, MOST_WORD = 0.31, 0.45
 CLASSES = ("lower", "space", "upper", "digit", "break", "mark", "sign", "wide")
 
@@ -54,8 +54,9 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     pairs = F.col("pairs")
     again = F.filter(pairs, lambda x, j: (F.get(pairs, j - 1)["h"] == x["h"]) | (F.get(pairs, j + 1)["h"] == x["h"]))
     inside = F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
-    short = F.filter("w", lambda x: F.length(x) <= SHORT)
-    p = F.concat(F.lit(" "), F.lower(F.array_join(short, "  ")), F.lit(" "))
+    d = d.join(common.select(F.col("lang").alias("l"), "words"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    d = d.withColumn("common", words).withColumn("hits", F.filter(F.transform("w", lambda x: F.lower(x)), lambda x: F.array_contains("common", x)))
     d = d.select(
         "doc_id",
         "lang",
@@ -64,10 +65,9 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
         F.length(F.replace("b", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("dup"), inside).otherwise(0).cast("long").alias("n_repeat_words"),
-        p.alias("p"),
+        F.transform("common", lambda c: F.size(F.filter("hits", lambda x: x == c)).cast("long")).alias("counts"),
+        F.size("hits").cast("long").alias("used"),
     )
-    d = d.join(common.select(F.col("lang").alias("l"), "words"), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")
-    count = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda c: ((F.octet_length("p") - F.octet_length(F.replace(F.col("p"), F.concat(F.lit(" "), c, F.lit(" "))))) / (F.octet_length(c) + 2)).cast("long"))
     d = d.withColumn("rest", F.regexp_replace("t", "[a-z]+", "")).withColumn("rest2", F.regexp_replace("rest", " +", ""))
     size = lambda x: F.length(x).cast("long")
     without = lambda rx: size(F.col("rest2")) - size(F.regexp_replace("rest2", rx, ""))
@@ -76,16 +76,14 @@ def features(docs: DataFrame, common: DataFrame) -> DataFrame:
     sign = size(F.col("rest2")) - upper - digit - line - mark - wide
     classes = F.array(size(F.col("t")) - size(F.col("rest")), size(F.col("rest")) - size(F.col("rest2")), upper, digit, line, mark, sign, wide)
     symbols = size(F.col("rest2")) - size(F.translate("rest2", "#*$%&|<>", ""))  # the rest has all of them
-    d = d.withColumn("classes", classes).withColumn("counts", count).withColumn("n_symbols", symbols)
-    used = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    d = d.withColumn("counts", F.concat("counts", F.array(F.col("n_words") - used)))
-    return d.drop("t", "p", "words", "rest", "rest2")
+    d = d.withColumn("classes", classes).withColumn("n_symbols", symbols)
+    d = d.withColumn("counts", F.concat("counts", F.array(F.col("n_words") - F.col("used"))))
+    return d.drop("t", "used", "rest", "rest2")
 
 
 def common_words(docs: DataFrame, count: int = COMMON) -> DataFrame:
-    """lang and its most frequent words of at most SHORT characters (ties by the word), counted over all documents."""
-    short = F.filter(_words(F.coalesce(F.col("text"), F.lit(""))), lambda x: F.length(x) <= SHORT)
-    n = docs.select("lang", F.explode(short).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    """lang and its most frequent words, lower-cased (ties by the word), counted over all documents."""
+    n = docs.select("lang", F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     n = n.groupBy("lang", F.lower("w").alias("w")).agg(F.sum("n").alias("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
     top = n.withColumn("nth", nth).where(F.col("nth") <= count)
