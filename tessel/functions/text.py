@@ -11,18 +11,27 @@ _TYPE_NUMBER = r"(?iu)(\s+(?:n[º°o]\.?\s*)?[\d./-]+(?:\s*-\s*[a-zçãõáéí
 _MARKED, _PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
 
 
+#: The characters that count as white space at the ends of a string.
+_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(s: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.btrim(s, F.lit(_SPACE))
+
+
 def normalize_type(name: Column) -> Column:
-    return F.regexp_replace(F.trim(name), _TYPE_NUMBER, "")
+    return F.regexp_replace(strip(name), _TYPE_NUMBER, "")
 
 
 def collapse_space(s: Column) -> Column:
     """Every run of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def solid_length(s: Column) -> Column:
     """Characters that are no white space."""
-    return F.length(F.regexp_replace(s, r"(?U)\s", ""))
+    return F.length(F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]", ""))
 
 
 def process_number(directory: Column) -> Column:
@@ -52,7 +61,7 @@ def macro_theme(s: Column) -> Column:
 
 def title_of(kind: Column) -> Column:
     """snake_case as Title Case."""
-    return F.array_join(F.transform(F.split(kind, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    return F.array_join(F.transform(F.split(kind, "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
 
 
 def escape_cell(s: Column) -> Column:
@@ -76,7 +85,7 @@ def page_marker(line: Column) -> Column:
 
 def is_heading(line: Column) -> Column:
     """At most 120 characters, no column gap, three letters or more, four fifths of them upper case."""
-    s = F.trim(line)
+    s = strip(line)
     letters, upper = F.length(F.regexp_replace(s, r"[^\p{L}]", "")), F.length(F.regexp_replace(s, r"[^\p{Lu}]", ""))
     return (F.length(s) > 0) & (F.length(s) <= 120) & ~s.rlike(r"\S {2,}\S") & (letters >= 3) & (upper >= 0.8 * letters)
 

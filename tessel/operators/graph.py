@@ -31,6 +31,11 @@ def node_kind(ids: DataFrame, families: DataFrame, processes: DataFrame, edges:
     return ids.join(f, "node", "left").join(p, "node", "left").join(e, "node", "left").select("node", F.coalesce("k1", "k2", "k3").alias("kind"))
 
 
+def labelled(ids: DataFrame, names: DataFrame) -> DataFrame:
+    """ids: node; names: node, label. The label of each node, its id where there is none."""
+    return ids.join(names.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", F.col("node").cast("string")))
+
+
 def first_wins(edges: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first edge of each key, as an aggregation."""
     return edges.groupBy(*keys).agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*edges.columns).alias("row"))).alias("m")).select("m.row.*")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The closed vocabulary of notification events.
-EVENTS = ("notification_generated", "notification_delivered", "notification_suppressed", "notification_opened", "digest_generated", "digest_delivered")
+EVENTS = ("notification_generated", "notification_delivered", "notification_suppressed", "notification_opened", "email_digest_generated", "notification_delivered_email")
 
 
-def fan_out(preferences: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every user with every ingested document. Preferences are one row a user; a job's documents are the small side."""
-    return preferences.crossJoin(documents)
+def fan_out(preferences: DataFrame, documents: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every user with every document of one job. Preferences are one row a user; the job's documents are held by every task and so must be few:
+    more than ``most`` are an error, to be split over several jobs."""
+    if documents.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} documents in a job")
+    return preferences.crossJoin(F.broadcast(documents))
 
 
 def split_new(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +39,35 @@ def digests(generated: DataFrame, user: str, job: str, line: Column, order: Colu
     return out.select(user, job, digest_id(F.col(user), F.col(job)).alias("email_id"), "n", F.array_join(F.transform("x", lambda r: r["l"]), "\n").alias("body"))
 
 
+def digest_events(made: DataFrame) -> DataFrame:
+    """Two events for each digest: generated, and delivered by the preview mailer."""
+    return made.select("user_id", "email_id", F.explode(F.array(F.lit(EVENTS[4]), F.lit(EVENTS[5]))).alias("event"))
+
+
+def send_once(made: DataFrame, sent: DataFrame) -> DataFrame:
+    """Digests that have not been sent, by email_id."""
+    return made.join(sent.select("email_id"), "email_id", "left_anti")
+
+
+def digest_order(sent: DataFrame) -> DataFrame:
+    """Digests of each user, the newest first, ties by the larger email_id."""
+    return sent.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("email_id"))))
+
+
+def for_display(notifications: DataFrame, versions: DataFrame, opened: DataFrame) -> DataFrame:
+    """notifications: id, version, ...; versions: version, document_id, document_type; opened: id. Each notification with what is known of its version,
+    and whether it was opened."""
+    seen = opened.select("id").distinct().withColumn("opened", F.lit(True))
+    out = notifications.join(versions.select("version", "document_id", "document_type"), "version", "left").join(seen, "id", "left")
+    return out.withColumn("opened", F.coalesce("opened", F.lit(False)))
+
+
+def reason_text(reasons: Column) -> Column:
+    """reasons: array of structs (type, relation_type)."""
+    one = lambda r: F.when(r["type"] == "novo_documento", "Novo documento").otherwise(F.concat(F.lit("Correlato: "), F.coalesce(r["relation_type"], F.lit(""))))
+    return F.array_join(F.transform(reasons, one), " · ")
+
+
 def open_once(openings: DataFrame, opened: DataFrame, key: str) -> DataFrame:
     """Openings of notifications that are not opened yet, each once."""
     return openings.dropDuplicates([key]).join(opened.select(key), key, "left_anti")

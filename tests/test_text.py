@@ -33,11 +33,20 @@ def test_small_functions(spark):
 
 def test_line_rules(spark):
     text = "48500.123456/2026-01\n\n\n\nTexto\n(Assinado digitalmente)\nNOME\nCARGO\n\nDocumento assinado digitalmente\nfim"
-    f = op.LineFilter()
-    assert f.kept(["Texto", "(Assinado digitalmente)", "NOME", "CARGO", "", "fim"]) == ["Texto", "", "fim"]
-    assert f.kept(["Documento", "Documentoassinado", "x", "Consulte a autenticidade de", "fim"]) == ["fim"]
-    assert f.kept(["Documento assinado eletronicamente por A", "b", "", "A autenticidade deste documento pode ser conferida", "x", "", "Referência: Processo nº 1", "fim"]) == ["fim"]
-    assert op.LineFilter(rubrics=["AB"]).kept(["texto" + " " * 8 + "AB"]) == ["texto"]
+    kept = lambda lines, **rules: one(spark, "\n".join(lines), lambda c: op.filter_lines(c, **rules)).split("\n")
+    assert kept(["Texto", "(Assinado digitalmente)", "NOME", "CARGO", "", "fim"]) == ["Texto", "", "fim"]
+    assert kept(["(Assinado digitalmente)", "a", "b", "c", "d"]) == ["d"]
+    assert kept(["Documento", "Documentoassinado", "x", "Consulte a autenticidade de", "fim"]) == ["fim"]
+    assert kept(["a", "Documento", " documentoASSINADO ", "x", "(Assinado digital)", "y"]) == ["a"]
+    assert kept(["Documento", "x"]) == ["Documento", "x"]
+    assert kept(["Documento assinado eletronicamente por A", "b", "", "A autenticidade deste documento pode ser conferida", "x", "", "Referência: Processo nº 1", "fim"]) == ["fim"]
+    assert kept(["Documento assinado eletronicamente por A", "b", "", "", "Referência: Processo nº 1", "fim"]) == ["fim"]
+    assert kept(["Documento assinado eletronicamente por A", "(Assinado digitalmente)", "", "fim"]) == ["fim"]
+    assert kept(["p", "Documento assinado eletronicamente por A"]) == ["p"]
+    assert kept(["texto" + " " * 8 + "AB", "AB"], rubrics=("AB",)) == ["texto", "AB"]
+    assert kept(["x", " y ", "z"], literals=("y",), contains=("z",)) == ["x"]
+    assert kept(["Documento\u00a0assinado digitalmente", "fim"]) == ["fim"]
+    assert one(spark, None, op.filter_lines) is None and one(spark, "", op.filter_lines) == ""
     assert one(spark, text, op.drop_first_stamp).startswith("\n\n\nTexto")
     assert one(spark, "a\n\n\nb", op.collapse_blank_runs) == "a\n\nb"
     assert "Documento assinado" not in one(spark, text, op.filter_lines)
