@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: a trailing number of a document type, repeated as often as it occurs.
 _TYPE_NUMBER = r"(?iu)(\s+(?:n[º°o]\.?\s*)?[\d./-]+(?:\s*-\s*[a-zçãõáéíóúâêô]+)?)+$"
-#: Letters with marks and their plain letters, for slugs.
-_MARKED, _PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
-
-
+_FORMS = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0x80, 0x3000))} | {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in map(chr, range(0xFB00, 0xFF70))}
+_MARKED, _PLAIN = ("".join(x) for x in zip(*((c, p) for c, p in _FORMS.items() if len(p) == 1)))
+_LONGER = [(c, p) for c, p in _FORMS.items() if len(p) > 1 and (c < "\u0250" or "\ufb00" <= c < "\ufb07")]
 #: The characters that count as white space at the ends of a string.
 _SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -49,9 +51,36 @@ def iso_date(day: Column) -> Column:
     return F.when(day.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.regexp_replace(day, r"^(\d{2})/(\d{2})/(\d{4})$", "$3-$2-$1")).otherwise(day)
 
 
-def slug(s: Column, mark: str = "-") -> Column:
-    plain = F.translate(F.lower(s), _MARKED, _PLAIN)
-    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", mark), f"^{mark}+|{mark}+$", "")
+def plain_ascii(s: Column) -> Column:
+    """Letters without their marks, compatibility forms spelled out, and nothing beyond ASCII."""
+    return F.regexp_replace(F.translate(reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), _LONGER, s), _MARKED, _PLAIN), r"[^\x00-\x7F]", "")
+
+
+def slug(s: Column, mark: str = "-", empty: str = "") -> Column:
+    """Lower-case ASCII letters and digits with ``mark`` between them; ``empty`` if nothing is left."""
+    out = F.btrim(F.regexp_replace(F.lower(plain_ascii(s)), "[^a-z0-9]+", mark), F.lit(mark))
+    return F.when(out == "", empty).otherwise(out) if empty else out
+
+
+def index_name(model: Column, prefix: str) -> Column:
+    """A prefix and the model's name in lower case, with hyphens for all but letters, digits, dots, hyphens and underscores."""
+    return F.concat(F.lit(prefix), F.regexp_replace(F.lower(model), "[^a-z0-9._-]", "-"))
+
+
+def word_slug(s: Column) -> Column:
+    """Letters and digits of any script stay, each other character is a hyphen, none at the ends."""
+    return F.btrim(F.regexp_replace(F.lower(strip(s)), r"[^\p{L}\p{N}]", "-"), F.lit("-"))
+
+
+def file_name(s: Column) -> Column:
+    """A name for a file: letters, digits, dots, hyphens and underscores stay, each other character is a hyphen; ``item`` if nothing is left."""
+    out = F.btrim(F.regexp_replace(strip(s), r"[^\p{L}\p{N}._-]", "-"), F.lit(".-"))
+    return F.when(out == "", "item").otherwise(out)
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounds ties to the even neighbour, on the decimal text of a number."""
+    return F.bround(x, digits)
 
 
 def macro_theme(s: Column) -> Column:

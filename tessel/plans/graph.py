@@ -17,8 +17,9 @@ def _edges(spark, d):
 
 
 def graph_neighbors(spark, d):
-    nodes = spark.range(5).select(F.col("id").alias("node"))
-    a = op.adjacent(_edges(spark, d), nodes)
+    """Neighbours of all nodes."""
+    e = _edges(spark, d)
+    a = op.adjacent(e, e.select(F.col("source").alias("node")).union(e.select("target")).distinct())
     return a.groupBy("node", "other", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -30,18 +31,12 @@ def graph_degree(spark, d):
 
 
 def graph_both_ends(spark, d):
-    members = spark.range(10).select(F.col("id").alias("node"))
+    """Edges between two suppliers' numbers."""
+    members = _t(spark, d, "supplier").where("s_nationkey < 12").select((F.col("s_suppkey") % 100).alias("node")).distinct()
     return op.both_ends(_edges(spark, d), members).groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def node_kind(spark, d):
-    e = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.lit("order").alias("source_kind"), (F.col("l_partkey") + 100000).alias("target"), F.lit("part").alias("target_kind"))
-    families, processes = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("family")), _t(spark, d, "nation").select(F.col("n_nationkey").alias("process"))
-    ids = spark.range(0, 101000, 7).select(F.col("id").alias("node"))
-    return op.node_kind(ids, families, processes, e)
-
-
-def node_kind_whole(spark, d):
     """The kind of every node: families, processes and both ends of all edges."""
     e = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.lit("order").alias("source_kind"), (F.col("l_partkey") + 100000).alias("target"), F.lit("part").alias("target_kind"))
     families, processes = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("family")), _t(spark, d, "nation").select(F.col("n_nationkey").alias("process"))
@@ -100,15 +95,12 @@ _ADJ = "SELECT source AS node, target AS other, * FROM e UNION ALL SELECT target
 _MERGE = f"WITH e AS ({_E}), o AS ({_FIRST.format('WHERE pos % 2 = 0')}), n AS ({_FIRST.format('WHERE pos % 2 = 1')}) SELECT source, target, type, {{}} AS status, coalesce(n.pos, o.pos) AS pos FROM o FULL JOIN n USING (source, target, type)"
 _REF = "SELECT DISTINCT o_custkey AS family, o_orderkey % 997 AS number, year(o_orderdate) AS year, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS suffix FROM orders"
 
-QUERIES = {f.__name__: f for f in (graph_neighbors, graph_degree, graph_both_ends, node_kind, node_kind_whole, edge_first_wins, edge_merge_keep_status, edge_merge_overwrite, edges_by_type, ref_extract, ref_resolve_unique, related_reasons)}
+QUERIES = {f.__name__: f for f in (graph_neighbors, graph_degree, graph_both_ends, node_kind, edge_first_wins, edge_merge_keep_status, edge_merge_overwrite, edges_by_type, ref_extract, ref_resolve_unique, related_reasons)}
 ORACLE = {
-    "graph_neighbors": f"WITH e AS ({_E}) SELECT node, other, type, count(*) AS n FROM ({_ADJ}) WHERE node < 5 GROUP BY ALL",
+    "graph_neighbors": f"WITH e AS ({_E}) SELECT node, other, type, count(*) AS n FROM ({_ADJ}) GROUP BY ALL",
     "graph_degree": f"WITH e AS ({_E}) SELECT node, type, count(DISTINCT other) AS others FROM ({_ADJ}) GROUP BY ALL",
-    "graph_both_ends": f"WITH e AS ({_E}) SELECT source, target, count(*) AS n FROM e WHERE source < 10 AND target < 10 GROUP BY ALL",
-    "node_kind": """SELECT range AS node, CASE WHEN range IN (SELECT s_suppkey FROM supplier) THEN 'family' WHEN range IN (SELECT n_nationkey FROM nation) THEN 'process'
-  WHEN range IN (SELECT l_orderkey FROM lineitem) AND range IN (SELECT l_partkey + 100000 FROM lineitem) THEN 'order' WHEN range IN (SELECT l_orderkey FROM lineitem) THEN 'order'
-  WHEN range IN (SELECT l_partkey + 100000 FROM lineitem) THEN 'part' END AS kind FROM range(0, 101000, 7)""",
-    "node_kind_whole": """WITH s AS (SELECT DISTINCT s_suppkey AS i FROM supplier), n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT DISTINCT l_orderkey AS i FROM lineitem), p AS (SELECT DISTINCT l_partkey + 100000 AS i FROM lineitem),
+    "graph_both_ends": f"WITH e AS ({_E}), m AS (SELECT DISTINCT s_suppkey % 100 AS node FROM supplier WHERE s_nationkey < 12) SELECT source, target, count(*) AS n FROM e WHERE source IN (SELECT node FROM m) AND target IN (SELECT node FROM m) GROUP BY ALL",
+    "node_kind": """WITH s AS (SELECT DISTINCT s_suppkey AS i FROM supplier), n AS (SELECT DISTINCT n_nationkey AS i FROM nation), o AS (SELECT DISTINCT l_orderkey AS i FROM lineitem), p AS (SELECT DISTINCT l_partkey + 100000 AS i FROM lineitem),
   x AS (SELECT i FROM s UNION SELECT i FROM n UNION SELECT i FROM o UNION SELECT i FROM p)
 SELECT CAST(x.i AS BIGINT) AS node, CASE WHEN s.i IS NOT NULL THEN 'family' WHEN n.i IS NOT NULL THEN 'process' WHEN o.i IS NOT NULL THEN 'order' ELSE 'part' END AS kind
   FROM x LEFT JOIN s ON x.i = s.i LEFT JOIN n ON x.i = n.i LEFT JOIN o ON x.i = o.i LEFT JOIN p ON x.i = p.i WHERE x.i IS NOT NULL""",
@@ -122,3 +114,5 @@ SELECT r.family, r.number, r.year, r.suffix, min(t.family) AS target FROM r JOIN
 GROUP BY ALL HAVING count(DISTINCT t.family) = 1 AND min(t.family) <> r.family""",
     "related_reasons": f"WITH e AS (SELECT DISTINCT source, target, type FROM ({_E}) WHERE status = 'F' AND type IN ('A', 'R')) SELECT DISTINCT node, other, type FROM ({_ADJ})",
 }
+#: An older name of the same.
+QUERIES["node_kind_whole"], ORACLE["node_kind_whole"] = node_kind, ORACLE["node_kind"]

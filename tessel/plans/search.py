@@ -1,17 +1,12 @@
 """Search queries. Stand-ins: vectors with a label below 8 are catalogued versions.
 
-Queries named ``_whole`` answer all requests: every vector whose id is divisible by 50, and in ``exact_query_whole`` every document whose id
-is. Those without answer what their SQL states: vectors 0 to 4, documents 0 to 19.
+Requests are all vectors whose id is divisible by 50, and in ``exact_query`` all documents whose id is. Names with ``_whole`` are older names of the same.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessel.functions.vectors import dot
 from tessel.operators import search as op
 
 
@@ -19,33 +14,28 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _hits(spark, d, whole):
-    """Twenty nearest vectors of each request vector: of all, or of vectors 0 to 4."""
+def _hits(spark, d):
+    """Twenty nearest vectors of each request vector."""
     e = _t(spark, d, "embeddings")
-    if whole:
-        v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("label"))
-        near = op.nearest(v, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("request"), F.col("embedding").alias("q")), 20)
-        return near.select("request", F.col("id").alias("version"), (F.col("id") % 7).alias("chunk"), "score", F.col("rank").alias("hit_pos"))
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("request"), F.col("embedding").alias("q"))
-    s = e.crossJoin(F.broadcast(q)).select("request", F.col("vec_id").alias("version"), (F.col("vec_id") % 7).alias("chunk"), F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
-    w = Window.partitionBy("request").orderBy(F.desc("score"), "version")
-    return s.withColumn("hit_pos", F.row_number().over(w)).where("hit_pos <= 20")
+    v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("label"))
+    near = op.nearest(v, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("request"), F.col("embedding").alias("q")), 20)
+    return near.select("request", F.col("id").alias("version"), (F.col("id") % 7).alias("chunk"), "score", F.col("rank").alias("hit_pos"))
 
 
 def _catalogue(spark, d):
     return _t(spark, d, "embeddings").where("label < 8").select(F.col("vec_id").alias("version"), F.concat(F.lit("f"), F.col("label")).alias("family"), F.when(F.col("label") < 5, F.concat(F.lit("p"), F.col("label") % 3)).alias("process"))
 
 
-def _results(spark, d, whole):
-    return op.resolve_hits(_hits(spark, d, whole), _catalogue(spark, d))
+def _results(spark, d):
+    return op.resolve_hits(_hits(spark, d), _catalogue(spark, d))
 
 
-def search_resolve_order(spark, d, whole=False):
-    return _results(spark, d, whole).select("request", "pos", "version", "chunk", "score", "family")
+def search_resolve_order(spark, d):
+    return _results(spark, d).select("request", "pos", "version", "chunk", "score", "family")
 
 
-def search_page(spark, d, whole=False):
-    return op.page(_results(spark, d, whole), 5, 5).select("request", "pos", "version", "score")
+def search_page(spark, d):
+    return op.page(_results(spark, d), 5, 5).select("request", "pos", "version", "score")
 
 
 def cursor_roundtrip(spark, d):
@@ -55,18 +45,18 @@ def cursor_roundtrip(spark, d):
     return c.select("cursor", request.alias("request"), offset.alias("offset"))
 
 
-def search_by_process(spark, d, whole=False):
-    return op.by_process(_results(spark, d, whole)).select("request", "group", "place", "hits", "coverage", "best")
+def search_by_process(spark, d):
+    return op.by_process(_results(spark, d)).select("request", "group", "place", "hits", "coverage", "best")
 
 
-def search_frozen(spark, d, whole=False):
-    return op.freeze(_results(spark, d, whole)).select("request", "total", F.array_join(F.transform("raw_hits", lambda x: x["version"].cast("string")), ",").alias("versions"))
+def search_frozen(spark, d):
+    return op.freeze(_results(spark, d)).select("request", "total", F.array_join(F.transform("raw_hits", lambda x: x["version"].cast("string")), ",").alias("versions"))
 
 
-def replay_match(spark, d, whole=False):
+def replay_match(spark, d):
     """Replay against a catalogue that has lost family f0."""
-    frozen = op.freeze(_results(spark, d, whole))
-    now = op.resolve_hits(_hits(spark, d, whole), _catalogue(spark, d).where("family <> 'f0'"))
+    frozen = op.freeze(_results(spark, d))
+    now = op.resolve_hits(_hits(spark, d), _catalogue(spark, d).where("family <> 'f0'"))
     return op.replay(frozen, now)
 
 
@@ -78,22 +68,22 @@ def stale_flag(spark, d):
     return seen.crossJoin(F.broadcast(last)).select("year", (F.col("seen") != F.col("now")).alias("stale"))
 
 
-def exact_query(spark, d, whole=False):
+def exact_query(spark, d):
     """Exact text match, no fuzzy match; unknown texts give nothing."""
-    docs, wanted = _t(spark, d, "documents"), _t(spark, d, "documents").where("doc_id % 50 = 0" if whole else "doc_id < 20").select(F.sha2("text", 256).alias("h"), F.col("text").alias("q")).distinct()
+    docs, wanted = _t(spark, d, "documents"), _t(spark, d, "documents").where("doc_id % 50 = 0").select(F.sha2("text", 256).alias("h"), F.col("text").alias("q")).distinct()
     found = docs.withColumn("h", F.sha2("text", 256)).join(wanted, "h").where("text = q")
     return found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
 
 
 _H = """h0 AS (SELECT a.request, b.vec_id AS version, b.vec_id % 7 AS chunk, round(sum(CAST(a.x AS DOUBLE) * CAST(b.x AS DOUBLE)), 6) AS score
-  FROM (SELECT vec_id AS request, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 5) a
+  FROM (SELECT vec_id AS request, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id % 50 = 0) a
   JOIN (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) b ON a.i = b.i GROUP BY 1, 2, 3),
 h AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, version) AS hit_pos FROM h0 QUALIFY hit_pos <= 20),
 c AS (SELECT vec_id AS version, 'f' || label AS family, CASE WHEN label < 5 THEN 'p' || (label % 3) END AS process FROM embeddings WHERE label < 8),
 r AS (SELECT h.*, family, process, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, version, chunk, hit_pos) - 1 AS INTEGER) AS pos FROM h JOIN c USING (version))"""
 
 QUERIES = {f.__name__: f for f in (search_resolve_order, search_page, cursor_roundtrip, search_by_process, search_frozen, replay_match, stale_flag, exact_query)}
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (search_resolve_order, search_page, search_by_process, search_frozen, replay_match, exact_query)}
+QUERIES |= {f"{f.__name__}_whole": f for f in (search_resolve_order, search_page, search_by_process, search_frozen, replay_match, exact_query)}
 ORACLE = {
     "search_resolve_order": f"WITH {_H} SELECT request, pos, version, chunk, score, family FROM r",
     "search_page": f"WITH {_H} SELECT request, pos, version, score FROM r WHERE pos >= 5 AND pos < 10",
@@ -104,6 +94,6 @@ SELECT request, "group", CAST(row_number() OVER (PARTITION BY request ORDER BY f
     "search_frozen": f"WITH {_H} SELECT request, count(*) AS total, string_agg(version, ',' ORDER BY pos) AS versions FROM r GROUP BY 1",
     "replay_match": f"WITH {_H} SELECT request, count(*) FILTER (WHERE family = 'f0') = 0 AS matches FROM r GROUP BY 1",
     "stale_flag": "SELECT year(o_orderdate) AS year, arg_max(o_orderkey, (o_orderdate, o_orderkey)) <> (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders) AS stale FROM orders GROUP BY 1",
-    "exact_query": "SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id < 20) GROUP BY 1",
+    "exact_query": "SELECT sha256(text) AS h, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 50 = 0) GROUP BY 1",
 }
-ORACLE |= {f"{n}_whole": ORACLE[n].replace("vec_id < 5", "vec_id % 50 = 0").replace("doc_id < 20", "doc_id % 50 = 0") for n in ("search_resolve_order", "search_page", "search_by_process", "search_frozen", "replay_match", "exact_query")}
+ORACLE |= {f"{n}_whole": ORACLE[n] for n in ("search_resolve_order", "search_page", "search_by_process", "search_frozen", "replay_match", "exact_query")}

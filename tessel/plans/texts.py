@@ -1,12 +1,10 @@
 """Text queries: line rules, pages, blocks, HTML, chunks and highlights.
 
-Queries named ``_whole`` take all documents; those without keep to the documents that their SQL names.
+Names with ``_whole`` are older names of the same queries.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -53,10 +51,10 @@ def html_blocks(spark, d):
     return p.select("page_id", F.posexplode("b").alias("pos", "block"))
 
 
-def page_carry_forward(spark, d, whole=False):
+def page_carry_forward(spark, d):
     """Every line with the last page marker above it."""
     t = F.split(F.concat(F.lit("<!-- page:1 -->\n"), F.regexp_replace("text", r"\n", "\n<!-- page:9 -->\n")), "\n")
-    x = _docs(spark, d).where("true" if whole else "doc_id % 5 = 0").select("doc_id", F.posexplode(t).alias("pos", "line")).withColumn("m", fn.page_marker(F.col("line")))
+    x = _docs(spark, d).select("doc_id", F.posexplode(t).alias("pos", "line")).withColumn("m", fn.page_marker(F.col("line")))
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("page", F.last("m", ignorenulls=True).over(w)).where("m IS NULL")
     return x.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
@@ -71,8 +69,8 @@ def block_split(spark, d):
     return x.groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("lines"), F.min("pos").alias("first"))
 
 
-def heading_lines(spark, d, whole=False):
-    x = _docs(spark, d).where("true" if whole else "lang <> 'de'").select("doc_id", F.explode(F.split(F.upper("text"), "\n")).alias("line"))
+def heading_lines(spark, d):
+    x = _docs(spark, d).select("doc_id", F.explode(F.split(F.upper(F.replace("text", F.lit("ß"), F.lit("ss"))), "\n")).alias("line"))
     return x.where(fn.is_heading(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -97,7 +95,7 @@ def highlight_segments(spark, d):
 
 _X = "SELECT doc_id, unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS pos FROM documents"
 QUERIES = {f.__name__: f for f in (line_filter, blank_collapse, first_line_stamp, percent_removed, html_paragraphs, html_blocks, page_carry_forward, block_split, heading_lines, sentence_counts, chunks, highlight_segments)}
-QUERIES |= {f"{f.__name__}_whole": partial(f, whole=True) for f in (page_carry_forward, heading_lines)}
+QUERIES |= {f"{f.__name__}_whole": f for f in (page_carry_forward, heading_lines)}
 ORACLE = {
     "line_filter": """WITH x AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: NOT (regexp_matches(l, '(?i)licen[cs]e') OR contains(l, 'copyright') OR contains(l, '@'))) AS l FROM documents)
 SELECT doc_id, sha256(array_to_string(l, chr(10))) AS h, CAST(greatest(len(l), 1) AS INTEGER) AS lines FROM x""",
@@ -106,12 +104,12 @@ SELECT doc_id, sha256(array_to_string(l, chr(10))) AS h, CAST(greatest(len(l), 1
     "percent_removed": """WITH x AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n, CAST(len(list_filter(string_split(text, chr(10)), lambda l: NOT contains(l, 'e') AND l <> '')) AS INTEGER) AS m FROM documents)
 SELECT doc_id, n, m, CAST(floor(100 * (n - m) / n) AS BIGINT) AS percent FROM x""",
     "html_paragraphs": "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[ >]')) AS INTEGER) AS n_{t}" for t in ("p", "a", "div")) + " FROM pages",
-    "page_carry_forward": "WITH x AS (" + _X.format("text") + ") SELECT doc_id, CASE WHEN pos = 1 THEN 1 ELSE 9 END AS page, count(*) AS n FROM x WHERE doc_id % 5 = 0 GROUP BY 1, 2",
+    "page_carry_forward": "WITH x AS (" + _X.format("text") + ") SELECT doc_id, CASE WHEN pos = 1 THEN 1 ELSE 9 END AS page, count(*) AS n FROM x GROUP BY 1, 2",
     "block_split": "WITH x AS (" + _X.format("replace(text, '.' || chr(10), '.' || chr(10) || chr(10))") + """), y AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS run FROM x)
 SELECT doc_id, run, count(*) AS lines, CAST(min(pos) - 1 AS INTEGER) AS first FROM y WHERE trim(line) <> '' GROUP BY 1, 2""",
-    "heading_lines": "WITH x AS (" + _X.format("upper(text)") + """ WHERE lang <> 'de') SELECT doc_id, count(*) AS n FROM x WHERE length(trim(line)) BETWEEN 1 AND 120 AND NOT regexp_matches(trim(line), '\\S {2,}\\S')
+    "heading_lines": "WITH x AS (" + _X.format("upper(replace(text, 'ß', 'ss'))") + """) SELECT doc_id, count(*) AS n FROM x WHERE length(trim(line)) BETWEEN 1 AND 120 AND NOT regexp_matches(trim(line), '\\S {2,}\\S')
   AND length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) >= 3 AND length(regexp_replace(trim(line), '[^\\p{Lu}]', '', 'g')) >= 0.8 * length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) GROUP BY 1""",
     "sentence_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[.;:!?]\\s+')) + 1 AS INTEGER) AS n FROM documents",
 }
-#: ``heading_lines_whole`` has no SQL, as the SQL's upper() leaves the sharp s.
-ORACLE["page_carry_forward_whole"] = ORACLE["page_carry_forward"].replace(" WHERE doc_id % 5 = 0", "")
+ORACLE["heading_lines_whole"] = ORACLE["heading_lines"]
+ORACLE["page_carry_forward_whole"] = ORACLE["page_carry_forward"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.functions.vectors import dot, unit
+from tessel.operators.search import nearest
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,11 +22,10 @@ def family_vectors(chunks: DataFrame, family: str, vector: str) -> DataFrame:
 
 
 def neighbors(families: DataFrame, k: int) -> DataFrame:
-    """The k nearest other families of each family; ties by family."""
-    a, b = families.select(F.col("family").alias("src"), F.col("v").alias("va")), families.select(F.col("family").alias("dst"), F.col("v").alias("vb"))
-    pairs = a.join(b, F.col("src") != F.col("dst")).select("src", "dst", dot(F.col("va"), F.col("vb")).alias("score"))
-    w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k nearest other families of each family; ties by family. Blocks of families are compared with all, with a top-k in each task."""
+    vectors = families.select(F.col("family").alias("id"), "v", F.lit(0).alias("label"))
+    near = nearest(vectors, families.select(F.col("family").alias("request"), F.col("v").alias("q")), k, digits=9, own=False)
+    return near.select(F.col("request").alias("src"), F.col("id").alias("dst"), "score", "rank")
 
 
 def family_neighbors(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,8 @@ def similarity_pairs(spark, d):
 
 
 def similarity_matrix(spark, d):
-    out = neighbors(_fam(spark, d), 1_000_000)
+    fam = _fam(spark, d)
+    out = neighbors(fam, fam.count())
     return out.select("src", "dst", F.round("score", 6).alias("score"))
 
 
