@@ -22,7 +22,7 @@ from tessel.llm._files import write_file
 from tessel.llm._store import Workspace, table
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
-BLOCK, FILE_IDS = 4096, 1 << 22
+BLOCK, FILE_IDS, _GROUP = 4096, 1 << 22, 64
 _HEAD = struct.Struct("<4sIQQQ")
 #: Fixed values of the Simple-8b format: selector, ids in a word, bits of an id; densest first.
 SELECTORS = ((2, 60, 1), (3, 30, 2), (4, 20, 3), (5, 15, 4), (6, 12, 5), (7, 10, 6), (8, 8, 7), (9, 7, 8), (10, 6, 10), (11, 5, 12), (12, 4, 15), (13, 3, 20), (14, 2, 30), (15, 1, 60))
@@ -125,22 +125,55 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def unpack_blocks(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    out = np.empty(n, np.uint64)
+def unpack_blocks(words: np.ndarray, starts: np.ndarray, n: int, block: int = BLOCK, kind: str = "<u8") -> np.ndarray:
+    out = np.empty(n, kind)
     for b in range(len(starts) - 1):
         size = min(block, n - b * block)
         out[b * block : b * block + size] = unpack(words[starts[b] : starts[b + 1]], size)
     return out
 
 
+class TokenFile:
+    """A file in the making. Ids are packed as soon as ``_GROUP`` blocks are full, so what is held is about as large as the file."""
+
+    def __init__(self, block: int = BLOCK):
+        self.block, self.keys, self.sizes, self.words, self.starts, self.open, self.ids = block, [], [], [], [np.zeros(1, np.int64)], [], 0
+        self.waiting = 0
+
+    def add(self, keys: list, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.keys += keys
+        self.sizes.append(sizes)
+        self.open.append(ids)
+        self.ids += len(ids)
+        self.waiting += len(ids)
+        while self.waiting >= (full := self.block * _GROUP):
+            flat = np.concatenate(self.open)
+            self._pack(flat[:full])
+            self.open, self.waiting = [flat[full:]], len(flat) - full
+
+    def _pack(self, ids: np.ndarray) -> None:
+        words, starts = pack(ids, self.block)
+        self.words.append(words.astype("<u8").tobytes())
+        self.starts.append(starts[1:] + self.starts[-1][-1])
+
+    def data(self) -> bytes:
+        if self.waiting:
+            self._pack(np.concatenate(self.open))
+            self.open, self.waiting = [], 0
+        null = np.array([k is None for k in self.keys], np.uint8)
+        known = np.array([k or 0 for k in self.keys], "<i8")
+        sizes, starts = np.concatenate([np.zeros(0, np.int64), *self.sizes]), np.concatenate(self.starts)
+        head = _HEAD.pack(b"S8BT", self.block, len(self.keys), self.ids, len(starts) - 1)
+        return b"".join([head, known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *self.words])
+
+
 def to_file(keys: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    words, starts = pack(ids, block)
-    null = np.array([k is None for k in keys], np.uint8)
-    known = np.array([k or 0 for k in keys], "<i8")
-    return b"".join([_HEAD.pack(b"S8BT", block, len(keys), len(ids), len(starts) - 1), known.tobytes(), null.tobytes(), sizes.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
+    file = TokenFile(block)
+    file.add(list(keys), np.asarray(sizes), ids)
+    return file.data()
 
 
-def from_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+def from_file(data: bytes, kind: str = "<u8") -> tuple[list, np.ndarray, np.ndarray]:
     """Keys, ids of each document, and all ids."""
     magic, block, docs, n, blocks = _HEAD.unpack_from(data)
     if magic != b"S8BT":
@@ -151,44 +184,59 @@ def from_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(data, "<u4", docs, at := at + docs).astype(np.int64)
     starts = np.frombuffer(data, "<u8", blocks + 1, at := at + 4 * docs).astype(np.int64)
     words = np.frombuffer(data, "<u8", int(starts[-1]), at + 8 * (blocks + 1))
-    return [None if z else int(k) for k, z in zip(known, null)], sizes, unpack_blocks(words, starts, n, block)
+    return [None if z else int(k) for k, z in zip(known, null)], sizes, unpack_blocks(words, starts, n, block, kind)
+
 
+def _encoded(texts: pa.Array, words: _bpe.Words, end_id: int, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For ``step`` texts at a time the ids of all, each text with the end, and how many each text has."""
+    flat, begin, size, pieces, off = _bpe.coded(_bpe.byte_level_pieces(texts), words)
+    for a in range(0, len(texts), step):
+        bounds = off[a : a + step + 1]
+        own = pieces[bounds[0] : bounds[-1]]
+        ids, upto = _bpe.ranges(flat, begin[own], size[own]), np.concatenate([[0], np.cumsum(size[own], dtype=np.int64)])
+        ends = upto[bounds - bounds[0]]
+        yield np.insert(ids, ends[1:], np.uint32(end_id)), np.diff(ends) + 1
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, block: int = BLOCK) -> DataFrame:
+
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, block: int = BLOCK, stored_order: bool = False) -> DataFrame:
     """Writes files ``part-<partition>-<number>.s8b`` in ascending order of the key (nulls first, ties by text), and returns one row
-    for each: file, first_key, docs, n_ids. Null texts are empty; each document ends with ``end_id``. Nothing is written until the
-    result is used; use it once."""
+    for each: file, docs, n_ids. With ``stored_order`` (docs as read from Parquet) documents keep the order of their files, by name, and
+    rows. Keys are cast to long. Null texts are empty; each document ends with ``end_id``; rows that repeat are written each; an empty
+    table gives no file; extra columns are not written. Nothing is written until the result is used; use it once."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _bpe.Pieces(_bpe.load(tokenizer_path), _bpe.byte_level_words, _bpe.as_bytes)
-        end, part, number = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        keys, sizes, got, held = [], [], [], 0
+        words, part, number, file = _bpe.byte_level(tokenizer_path), TaskContext.get().partitionId(), 0, TokenFile(block)
 
         def close():
-            nonlocal keys, sizes, got, held, number
+            nonlocal file, number
             name = f"part-{part:06d}-{number:05d}.s8b"
-            write_file(folder, name, to_file(keys, np.array(sizes, np.int64), np.frombuffer(b"".join(got), "<u4"), block))
-            row = pa.record_batch({"file": [name], "docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([held], pa.int64())})
-            keys, sizes, got, held, number = [], [], [], 0, number + 1
+            write_file(folder, name, file.data())
+            row = pa.record_batch({"file": [name], "docs": pa.array([len(file.keys)], pa.int64()), "n_ids": pa.array([file.ids], pa.int64())})
+            file, number = TokenFile(block), number + 1
             return row
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                cut = batch.slice(i, 256)
-                split = [_bpe.spaced_pieces(x or "") for x in cut.column(1).to_pylist()]
-                known = pieces.learn(set().union(*split)).__getitem__
-                for k, p in zip(cut.column(0).to_pylist(), split):
-                    data = b"".join(map(known, p)) + end
-                    keys.append(k)
-                    sizes.append(len(data) // 4)
-                    got.append(data)
-                    held += len(data) // 4
-                    if held >= file_ids:
-                        yield close()
-        if keys:
+            for cut in _bpe.slices(batch, 1):
+                keys, done = cut.column(0).to_pylist(), 0
+                for ids, sizes in _encoded(cut.column(1), words, end_id):
+                    ends, a, b = np.cumsum(sizes), 0, 0
+                    while a < len(sizes):  # a file ends with the document that fills it
+                        before = ends[a - 1] if a else 0
+                        b = min(len(sizes), int(np.searchsorted(ends, before + file_ids - file.ids)) + 1)
+                        file.add(keys[done + a : done + b], sizes[a:b], ids[before : ends[b - 1]])
+                        if file.ids >= file_ids:
+                            yield close()
+                        a = b
+                    done += len(sizes)
+        if file.keys:
             yield close()
 
-    rows = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t")).repartitionByRange("k").sortWithinPartitions("k", "t")
+    cols = [docs[key].cast("long").alias("k"), docs[text].alias("t")]
+    if stored_order:
+        rows, order = docs.select(*cols, F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r")), ["f", "r"]
+    else:
+        rows, order = docs.select(*cols), ["k"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "t").select("k", "t")
     return rows.mapInArrow(write, "file string, docs long, n_ids long")
 
 
@@ -198,8 +246,8 @@ def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0), batch.column(1)):
-                keys, sizes, ids = from_file(data.as_buffer())
-                ids, ends = ids.astype("<u4"), np.cumsum(sizes)
+                keys, sizes, ids = from_file(data.as_buffer(), "<u4")
+                ends = np.cumsum(sizes)
                 crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), sizes.tolist())]
                 yield pa.record_batch(
                     {
@@ -216,10 +264,10 @@ def read_tokens(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFr
     return files.mapInArrow(read, "file string, k long, place long, at long, n_tokens long, ids_crc32 long").withColumnRenamed("k", key)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, stored_order: bool = False) -> DataFrame:
     """Writes the token files to the shared folder, reads them back, and returns doc_id, start, n_tokens and ids_crc32."""
     ws = Workspace(spark, "tokens")
-    written = ws.save(write_tokens(docs, ws.path("ids"), tokenizer_path, end_id), "manifest")
+    written = ws.save(write_tokens(docs, ws.path("ids"), tokenizer_path, end_id, stored_order=stored_order), "manifest")
     before = written.select("file", (F.sum("n_ids").over(Window.orderBy("file")) - F.col("n_ids")).alias("before"))
     if written.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
