@@ -6,7 +6,8 @@ apart for toxic and other texts, a text once however often it is copied. Terms a
 ``SURE_SHARE`` are weak. Misspellings are words within one edit of a sure word of ``FUZZY`` letters or more, also of one that a stem
 covers. Words that match so but stand in ``LEAST_DOCS`` learned texts or more, with a toxic share below ``LEAST_SHARE``, are ordinary
 words and are excepted. A logistic regression is fitted on four counts of a text: hits,
-hits of weak terms, misspelled hits, and hits in quotation. For the fit the lexicon comes from one half of the learned texts and the
+hits of weak terms, misspelled hits, and hits in quotation; each speaks by its logarithm, which stops rising at ``CUT`` hits (all hits are
+counted). For the fit the lexicon comes from one half of the learned texts and the
 counts from the other, so that it sees how the lexicon does on texts that it was not made of; the final lexicon is made of all.
 
 Scoring. Every distinct word runs through the automaton once per worker. Each hit is judged in a window of ``WINDOW`` words: between
@@ -119,13 +120,16 @@ def count_features(learn: DataFrame) -> DataFrame:
             kinds[0].clear(), kinds[1].clear()
             return rows
 
+        held = 0
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = {w for w in (x.strip(_EDGE) for x in set((text or "").lower().split())) if 2 < len(w) <= 40}
+                words = {w for w in (x.strip(_EDGE) for x in set((text or "").lower().split())) if w}
                 kinds[bool(toxic)].update(words)
                 kinds[bool(toxic)].update({f"{w[:n]}*" for w in words for n in STEMS if len(w) > n})
-                if len(kinds[0]) + len(kinds[1]) > 400_000:
+                held += sum(map(len, words))
+                if len(kinds[0]) + len(kinds[1]) > 150_000 or held > 16 << 20:
                     yield out()
+                    held = 0
         if kinds[0] or kinds[1]:
             yield out()
 
@@ -177,23 +181,29 @@ def strongest(features: DataFrame, n_toxic: int, n_other: int) -> list[tuple[str
 
 
 class Reader:
-    """Finds the hits of texts; remembers words that are none."""
+    """Finds the hits of texts; remembers the lately met words that are none, up to ``most`` characters twice over."""
 
-    def __init__(self, terms: list[tuple[str, bool, bool]], ordinary: frozenset):
-        self.terms, self.automaton, self.ordinary, self.none, self.hits = terms, Automaton(terms), ordinary, set(), {}
+    def __init__(self, terms: list[tuple[str, bool, bool]], ordinary: frozenset, most: int = 1 << 20):
+        self.terms, self.automaton, self.ordinary, self.hits = terms, Automaton(terms), ordinary, {}
+        self.none, self.before, self.held, self.most = set(), set(), 0, most
 
     def counts(self, text: str | None) -> tuple[int, int, int, int]:
         """Hits, hits of weak terms, misspelled hits and quoted hits."""
         words = (text or "").lower().split()
+        if len(self.hits) > 50_000:
+            self.hits = {}
         new = set(words).difference(self.none)
         own = new.intersection(self.hits)
-        if len(self.none) > 600_000:
-            self.none = set()
+        if self.held > self.most:
+            self.none, self.before, self.held = set(), self.none, 0
         for w in new.difference(own):
-            bare = w.strip(_EDGE)
-            found = self.automaton.match(bare) if bare not in self.ordinary else None
+            found = None
+            if w not in self.before:
+                bare = w.strip(_EDGE)
+                found = self.automaton.match(bare) if bare not in self.ordinary else None
             if found is None:
                 self.none.add(w)
+                self.held += len(w)
             else:
                 self.hits[w] = found
                 own.add(w)
