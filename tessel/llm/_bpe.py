@@ -41,10 +41,10 @@ class Words:
     taken apart, and the word goes straight to the tokenizer's model; any other piece goes through the whole tokenizer.
 
     Ids of short pieces are remembered under two hashes, of 64 and 32 bits, in arrays. Beyond ``most`` pieces those that were met least
-    (long ago counting less) are forgotten; with that, a worker holds some 60 MB.
+    (long ago counting less) are forgotten; with that, a worker holds some 30 MB.
     """
 
-    def __init__(self, tokenizer, lower: bool, most: int = 1 << 20):
+    def __init__(self, tokenizer, lower: bool, most: int = 1 << 19):
         self.t, self.lower, self.most = tokenizer, lower, most
         self.simple = f"^{'' if lower else ' ?'}[A-Za-z{_LATIN}]+$"
         self.key, self.check, self.begin, self.size, self.met, self.ids = (np.zeros(0, k) for k in ("u8", "u4", "i8", "i4", "i4", "u4"))
@@ -164,7 +164,7 @@ def coded(pieces: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.nd
     return *words.encode(flat.dictionary), flat.indices.to_numpy(), off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text; a longer text is a slice of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto, a = np.cumsum(size, dtype=np.int64), 0

@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILE_ROWS = 20_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Where it is unset: on one machine (tests) a new local folder, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -32,8 +35,11 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "zstd", most_rows: int | None = None) -> DataFrame:
+        """Writes and reads back. most_rows: about how many (narrow) rows there may be, so that they don't become a file for each of many partitions."""
         schema = df.schema
+        if most_rows is not None:
+            df = df.coalesce(most_rows // FILE_ROWS + 4)
         df.write.option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 

@@ -17,7 +17,7 @@
 
 A null or empty text has an empty set and is linked with nothing. A text of fewer words has its whole sequence as its one shingle.
 Rows with the same key are one node: each of their texts may link it. A row without key is linked with nothing and its component
-is null. Extra columns are ignored.
+is null. Keys are cast to long; others are an error. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessel.llm import _text
 from tessel.llm._store import Workspace, table
 
-BUCKETS, CHUNK, FAN_IN = 1 << 20, 4096, 256
+BUCKETS, CHUNK, FAN_IN, SALTS = 1 << 20, 4096, 256, 8
 BITS, FANOUT, FIRST, ROUNDS, BLOCK_ONE, BLOCK_TWO = 2048, 8, 3, 3, 256, 512
 _WORDS = BITS // 64
 FILTER_BITS, _FILTER_PART = 1 << 25, 1 << 14
@@ -319,15 +319,16 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
 
 def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """v, c: the smallest node that each linked node reaches. Labels spread along links and jump to their label's label."""
-    both = ws.save(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), f"{name}-links")
-    labels = ws.save(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), f"{name}-0")
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    n = both.count()
+    labels = ws.save(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("c")), f"{name}-0", most_rows=n)
     k = 0
     while True:
         k += 1
         near = both.join(labels.withColumnRenamed("v", "w"), F.col("u") == F.col("w")).groupBy("v").agg(F.min("c").alias("m"))
         step = labels.join(near.withColumnRenamed("v", "w"), F.col("v") == F.col("w"), "left").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         far = labels.select(F.col("v").alias("w"), F.col("c").alias("cc"))
-        new = ws.save(step.join(far, F.col("c") == F.col("w"), "left").select("v", "old", F.least("c", "cc").alias("c")), f"{name}-{k}")
+        new = ws.save(step.join(far, F.col("c") == F.col("w"), "left").select("v", "old", F.least("c", "cc").alias("c")), f"{name}-{k}", most_rows=n)
         changed = new.where(F.col("c") != F.col("old")).limit(1).count()
         ws.drop(f"{name}-{k - 1}")
         labels = new.select("v", "c")
@@ -358,17 +359,22 @@ def ngram_components(spark: SparkSession, docs: DataFrame, ws: Workspace, k: int
     m = known.groupBy("key").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("m"))
     reps = ws.save(m.select("key", F.col("m.doc_id").alias("rep"), "m.n", "m.prefix", "m.bits"), "classes")
     ws.drop("signatures")
+    spread = reps.select("rep", F.explode("prefix").alias("token"))
     token = Window.partitionBy("token")
-    spread = reps.select("rep", F.explode("prefix").alias("token")).select("rep", F.count(F.lit(1)).over(token).alias("cnt"), F.expr("bit_xor(xxhash64(rep)) OVER (PARTITION BY token)").alias("members"))
+    spread = spread.select("rep", F.count(F.lit(1)).over(token).alias("cnt"), F.expr("bit_xor(xxhash64(rep)) OVER (PARTITION BY token)").alias("members"))
     groups = ws.save(spread.where("cnt > 1").select(F.xxhash64("members", "cnt").alias("gid"), "rep", "cnt").distinct(), "groups")
+    n = groups.count()
     trees = reps.select(F.col("rep").alias("r"), "n", "bits")
 
     tried = links = None
     comps = spark.createDataFrame([], "v long, c long")
     for turn in range(ROUNDS + 1):
         label = groups.join(comps, F.col("rep") == F.col("v"), "left").select("gid", "rep", "cnt", F.coalesce("c", "rep").alias("comp"))
-        mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("gid").alias("mg"))
-        rest = ws.save(label.join(mixed, F.col("gid") == F.col("mg"), "left_semi"), f"mixed-{turn}")
+        if links is not None:  # before that each document is a component, and all groups have several
+            mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            mixed = mixed.select(F.col("gid").alias("mg"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("ms"))  # a group's rows meet it in several tasks
+            label = label.join(mixed, (F.col("gid") == F.col("mg")) & (F.pmod(F.xxhash64("rep"), F.lit(SALTS)) == F.col("ms")), "left_semi")
+        rest = ws.save(label, f"mixed-{turn}", most_rows=n)
         if turn < ROUNDS:
             mix = F.xxhash64("gid", F.lit(turn))
             few = rest.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy(mix))).where(F.col("nth") <= FIRST)
@@ -378,18 +384,18 @@ def ngram_components(spark: SparkSession, docs: DataFrame, ws: Workspace, k: int
         found = candidates(blocks.join(trees, F.col("rep") == F.col("r")), num, den, forest=turn < ROUNDS)
         if tried is not None:
             found = found.join(tried.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        pairs = ws.save(found, f"pairs-{turn}")
+        pairs = ws.save(found, f"pairs-{turn}", most_rows=n if turn < ROUNDS else None)  # a forest has fewer pairs than its groups have rows
         ws.drop(f"mixed-{turn}")
         if pairs.isEmpty():
             if turn < ROUNDS:
                 continue
             break
-        new = ws.save(verify(pairs, docs, k, num, den), f"links-{turn}")
+        new = ws.save(verify(pairs, docs, k, num, den), f"links-{turn}", most_rows=pairs.count())
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             comps = components(links, ws, f"comps-{turn}")
-    ws.drop("groups")
+    ws.drop("groups", *(f"{x}-{turn}" for x in ("pairs", "links") for turn in range(ROUNDS + 1)))
 
     classes = reps.select(F.col("key").alias("k"), "rep").join(comps, F.col("rep") == F.col("v"), "left").select("k", F.coalesce("c", "rep").alias("component"))
     out = sig.select("doc_id", "n", "key").join(classes, F.col("key") == F.col("k"), "left")
