@@ -11,7 +11,7 @@ differ from it while the structure rules do not. Each document is read by one fu
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,6 +36,7 @@ class Block:
     first: int | None
     last: int | None
     text: str = field(init=False)
+    n: int = 0  # tokens, as soon as a chunker has counted them
 
     def __post_init__(self):
         self.text = "\n".join(self.lines)
@@ -71,44 +72,63 @@ def blocks_of(markdown: str) -> list[Block]:
 
 
 class Chunker:
-    def __init__(self, tokens: Callable[[str], list[tuple[int, int]]] = spans, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP):
+    """``additive``: the tokens of texts joined by white space are those of the texts, so that every token is counted once; for tokenizers that
+    join across white space joined texts are counted anew."""
+
+    def __init__(self, tokens: Callable[[str], list[tuple[int, int]]] = spans, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, additive: bool | None = None):
         self.tokens, self.target, self.most, self.overlap = tokens, target, most, overlap
+        self.additive = tokens is spans if additive is None else additive
 
     def count(self, text: str) -> int:
         return len(self.tokens(text))
 
+    def _sum(self, counts: Iterable[int], text: Callable[[], str]) -> int:
+        return sum(counts) if self.additive else self.count(text())
+
     def tail(self, text: str) -> str:
         found = self.tokens(text)
         return text if len(found) <= self.overlap else text[found[-self.overlap][0] :]
 
+    def _block(self, lines: list[str], kind: str, first: int | None, last: int | None) -> Block:
+        block = Block(lines, kind, first, last)
+        block.n = self.count(block.text)
+        return block
+
     def fitting(self, block: Block) -> Iterator[Block]:
         """The block, or its parts if it is too large. A single sentence or row can stay too large."""
-        if self.count(block.text) <= self.most:
+        block.n = self.count(block.text)
+        if block.n <= self.most:
             yield block
             return
         made = self._rows(block.lines) if block.kind == "table" else self._sentences(block.text)
         kind = "table" if block.kind == "table" else "paragraph"
-        parts = [Block(lines, kind, block.first, block.last) for lines in made]
+        parts = [self._block(lines, kind, block.first, block.last) for lines in made]
         yield from parts or [block]
 
     def _rows(self, lines: list[str]) -> Iterator[list[str]]:
-        held = lines[:1]
+        head = self.count(lines[0])
+        held, n = lines[:1], head
         for row in lines[1:]:
-            if len(held) > 1 and self.count("\n".join([*held, row])) > self.most:
+            own = self.count(row)
+            if len(held) > 1 and self._sum((n, own), lambda: "\n".join([*held, row])) > self.most:  # noqa: B023
                 yield held
-                held = lines[:1]
-            held = [*held, row]
+                held, n = lines[:1], head
+            held.append(row)
+            n += own
         if len(held) > 1:
             yield held
 
     def _sentences(self, text: str) -> Iterator[list[str]]:
-        held = ""
+        held, n = "", 0
         for sentence in _SENTENCE.split(text):
+            own = self.count(sentence)
             longer = f"{held} {sentence}".strip() if held else sentence
-            if held and self.count(longer) > self.most:
+            if held and self._sum((n, own), lambda: longer) > self.most:  # noqa: B023
                 yield held.split("\n")
-                longer = f"{self.tail(held)} {sentence}".strip()
+                end = self.tail(held)
+                longer, n = f"{end} {sentence}".strip(), self.count(end)
             held = longer
+            n += own
         if held:
             yield held.split("\n")
 
@@ -117,19 +137,21 @@ class Chunker:
         held: list[Block] = []
         section = of_chunk = None
 
-        def size(extra: Block | None = None) -> int:
-            return self.count("\n\n".join(b.text for b in [*held, *([extra] if extra else [])]))
+        def text_of(blocks: list[Block]) -> str:
+            return "\n\n".join(b.text for b in blocks)
+
+        def size(*extra: Block) -> int:
+            return self._sum((b.n for b in (*held, *extra)), lambda: text_of([*held, *extra]))
 
         def flush(coming: Block | None) -> None:
             nonlocal held
             if not held:
                 return
-            text = "\n\n".join(b.text for b in held)
             pages = [p for b in held for p in (b.first, b.last) if p is not None]
-            out.append((key, len(out), f"{key}#chunk-{len(out):04d}", of_chunk, min(pages, default=None), max(pages, default=None), self.count(text), text))
+            out.append((key, len(out), f"{key}#chunk-{len(out):04d}", of_chunk, min(pages, default=None), max(pages, default=None), size(), text_of(held)))
             last = held[-1]
             seed = coming is not None and last.kind == coming.kind == "paragraph"
-            held = [Block(self.tail(last.text).split("\n"), "paragraph", last.last, last.last)] if seed else []
+            held = [self._block(self.tail(last.text).split("\n"), "paragraph", last.last, last.last)] if seed else []
 
         blocks = [p for b in blocks_of(markdown) for p in self.fitting(b)]
         for i, block in enumerate(blocks):
@@ -152,6 +174,12 @@ class Chunker:
         return out
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Dealt over the session's cores if a small input has fewer partitions than these."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def chunk_documents(docs: DataFrame, key: str, text: str, chunker: Chunker | None = None) -> DataFrame:
     """One row for each chunk. Null and blank texts have none."""
     made = chunker or Chunker()
@@ -162,4 +190,4 @@ def chunk_documents(docs: DataFrame, key: str, text: str, chunker: Chunker | Non
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.astype({"page_start": "Int32", "page_end": "Int32"})
 
-    return docs.select(docs[key].cast("string").alias("k"), docs[text].alias("t")).mapInPandas(run, SCHEMA)
+    return spread(docs.select(docs[key].cast("string").alias("k"), docs[text].alias("t"))).mapInPandas(run, SCHEMA)

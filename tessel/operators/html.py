@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 #: Fixed values.
-NO_CONTENT = frozenset(("script", "style", "head", "title", "meta", "link", "noscript"))
+NO_CONTENT = frozenset(("script", "style", "meta", "title", "link", "hr", "img"))
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
 BLOCKS = frozenset(("p", "div", "table", *HEADINGS))
 VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
@@ -33,8 +33,8 @@ class _Builder(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and any(n.tag == "p" for n in self.open):
-            self.handle_endtag("p")  # a paragraph ends the one before
+        if tag in ("p", "table"):
+            self._end("p", ("table", "td", "th"))  # a paragraph or table ends the paragraph before it, in its own cell
         node = Node(tag, dict(attrs))
         self.open[-1].inner.append(node)
         if tag not in VOID:
@@ -44,9 +44,16 @@ class _Builder(HTMLParser):
         self.open[-1].inner.append(Node(tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), None)
-        if at:
-            del self.open[at:]
+        self._end(tag, ("td", "th") if tag == "p" else ())
+
+    def _end(self, tag, within):
+        """Closes the innermost open element of that tag, unless one of those of ``within`` is open inside it."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
+            if self.open[i].tag in within:
+                return
 
     def handle_data(self, data):
         self.open[-1].inner.append(data)
@@ -118,7 +125,7 @@ def blocks(node: Node) -> list[str]:
             else:
                 text = inline(x).strip()
                 out += ["#" * HEADINGS[x.tag] + " " + text if x.tag in HEADINGS else text] if text else []
-        elif any(isinstance(y, Node) for y in x.inner) and x.tag in ("html", "body", "article", "main", "section", "header", "footer", "nav", "ul", "ol", "li", "form", "center"):
+        elif any(isinstance(y, Node) for y in x.inner) and x.tag in ("html", "head", "body", "noscript", "article", "main", "section", "header", "footer", "nav", "ul", "ol", "li", "form", "center"):
             close()
             out += blocks(x)
         else:

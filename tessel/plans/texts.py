@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions import text as fn
 from tessel.operators import lines as op
-from tessel.operators.chunking import chunk_documents
+from tessel.operators.chunking import chunk_documents, spread
 from tessel.operators.html import html_blocks as blocks_of_html
 
 
@@ -47,7 +47,7 @@ def html_paragraphs(spark, d):
 
 
 def html_blocks(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", blocks_of_html("html").alias("b"))
+    p = spread(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")).select("page_id", blocks_of_html("html").alias("b"))
     return p.select("page_id", F.posexplode("b").alias("pos", "block"))
 
 

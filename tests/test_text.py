@@ -64,6 +64,8 @@ def test_highlight(spark):
 def test_html():
     assert to_blocks("<table><tr><td colspan=2>GOIÁS 1</td><td>Acatar</td></tr></table>")[0].split("\n")[0] == "| GOIÁS 1 |  | Acatar |"
     assert to_blocks("<table><tr><td>a|b</td></tr></table>")[0].startswith("| a\\|b |")
+    assert to_blocks("<p>intro<table><tr><td><p>a</p></td><td><p>b</p></td></tr><tr><td><p>c<p>d</td></tr></table><p>z") == ["intro", "| a | b |\n| --- | --- |\n| cd |  |", "z"]
+    assert to_blocks("<head><title>t</title></head><noscript><p>n</p></noscript>") == ["n"]
     assert to_blocks("<div unselectable='on'>sig</div><p>x</p>") == ["x"]
     assert to_blocks("<table><tr><td>Referência: Processo nº 48500.1/2024-1 SEI nº 123</td></tr></table><p>y</p>") == ["y"]
     assert to_blocks("<div><div>in <b>bold</b><br>next</div></div><h2>T</h2><script>x</script>") == ["in bold\nnext", "## T"]
