@@ -82,19 +82,27 @@ def chunks(spark, d):
     return chunk_documents(_docs(spark, d), "doc_id", "text").select("chunk_id", "key", "chunk_index", "section", "page_start", "page_end", "token_count", "text")
 
 
+def _excerpts(spark, d):
+    """Benchmark passages, parts of them that begin and end within words, and their last words."""
+    b = spark.read.parquet(f"{d}/benchmark.parquet").where("text <> ''")
+    cuts = F.array(F.col("text"), F.expr("substring(text, 4, 40)"), F.substring_index("text", " ", -1), F.expr("substring(text, 3, 9)"))
+    return b.select("item_id", F.posexplode(cuts).alias("i", "excerpt")).select((F.col("item_id") * 4 + F.col("i")).alias("item_id"), "excerpt")
+
+
+def highlight_places(spark, d):
+    return op.excerpt_places(_docs(spark, d).select("doc_id", "text"), _excerpts(spark, d)).select("doc_id", "item_id", "place")
+
+
 def highlight_segments(spark, d):
-    """Benchmark passages that occur in documents, marked. A passage's first words find candidates, so that no pair is tried in vain."""
-    b = spark.read.parquet(f"{d}/benchmark.parquet")
-    head = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 4), " ")
-    keys = b.where("text <> ''").select("item_id", F.col("text").alias("excerpt"), head("text").alias("k"))
-    words = _docs(spark, d).select("doc_id", F.split("text", r"\s+").alias("w"))
-    at = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("k"))
-    hits = at.join(keys, "k").groupBy("doc_id").agg(F.collect_list("excerpt").alias("excerpts"))
-    return _docs(spark, d).join(hits, "doc_id").select("doc_id", F.posexplode(op.highlight("text", "excerpts")).alias("pos", "s")).select("doc_id", "pos", "s.highlighted", "s.text")
+    """Benchmark passages that occur in documents, marked."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("excerpt"))
+    hits = op.excerpt_places(docs, b).groupBy("doc_id").agg(F.collect_list("excerpt").alias("excerpts"))
+    return docs.join(hits, "doc_id").select("doc_id", F.posexplode(op.highlight("text", "excerpts")).alias("pos", "s")).select("doc_id", "pos", "s.highlighted", "s.text")
 
 
 _X = "SELECT doc_id, unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS pos FROM documents"
-QUERIES = {f.__name__: f for f in (line_filter, blank_collapse, first_line_stamp, percent_removed, html_paragraphs, html_blocks, page_carry_forward, block_split, heading_lines, sentence_counts, chunks, highlight_segments)}
+QUERIES = {f.__name__: f for f in (line_filter, blank_collapse, first_line_stamp, percent_removed, html_paragraphs, html_blocks, page_carry_forward, block_split, heading_lines, sentence_counts, chunks, highlight_places, highlight_segments)}
 QUERIES |= {f"{f.__name__}_whole": f for f in (page_carry_forward, heading_lines)}
 ORACLE = {
     "line_filter": """WITH x AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: NOT (regexp_matches(l, '(?i)licen[cs]e') OR contains(l, 'copyright') OR contains(l, '@'))) AS l FROM documents)
@@ -109,6 +117,8 @@ SELECT doc_id, n, m, CAST(floor(100 * (n - m) / n) AS BIGINT) AS percent FROM x"
 SELECT doc_id, run, count(*) AS lines, CAST(min(pos) - 1 AS INTEGER) AS first FROM y WHERE trim(line) <> '' GROUP BY 1, 2""",
     "heading_lines": "WITH x AS (" + _X.format("upper(replace(text, 'ß', 'ss'))") + """) SELECT doc_id, count(*) AS n FROM x WHERE length(trim(line)) BETWEEN 1 AND 120 AND NOT regexp_matches(trim(line), '\\S {2,}\\S')
   AND length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) >= 3 AND length(regexp_replace(trim(line), '[^\\p{Lu}]', '', 'g')) >= 0.8 * length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) GROUP BY 1""",
+    "highlight_places": """WITH e AS (SELECT item_id * 4 + i AS item_id, CASE i WHEN 0 THEN text WHEN 1 THEN substr(text, 4, 40) WHEN 2 THEN regexp_extract(text, '[^ ]*$') ELSE substr(text, 3, 9) END AS excerpt FROM benchmark, range(4) t(i) WHERE text <> '')
+SELECT doc_id, item_id, CAST(strpos(text, excerpt) - 1 AS INTEGER) AS place FROM documents, e WHERE excerpt <> '' AND contains(text, excerpt)""",
     "sentence_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[.;:!?]\\s+')) + 1 AS INTEGER) AS n FROM documents",
 }
 ORACLE["heading_lines_whole"] = ORACLE["heading_lines"]
