@@ -49,3 +49,12 @@ def lookup_or(rows: DataFrame, dimension: DataFrame, on: str, value: str, fallba
 def groups_with_members(rows: DataFrame, key: str, member: str) -> DataFrame:
     """Sorted members of each key; rows without key are skipped."""
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(member)).alias("members"))
+
+
+def numbered(rows: DataFrame, by: str, then: str, pos: str = "pos") -> DataFrame:
+    """Rows with their place by two columns, both descending: rows of larger values of the first are counted, those of an equal one numbered by the
+    second. Only the first column's values meet in one task."""
+    n = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"))
+    before = n.select("_by", (F.sum("_n").over(Window.orderBy(F.desc("_by"))) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(then)))
+    return rows.withColumn("_own", own).join(before, F.col(by).eqNullSafe(F.col("_by"))).withColumn(pos, (F.col("_before") + F.col("_own")).cast("int")).drop("_by", "_before", "_own")

@@ -20,23 +20,21 @@ DISCARDED_FORMATS = {
     "mp4": "vídeo, sem rota de extração de texto",
     "mp3": "áudio, sem rota de extração de texto",
 }
-_RECEIPT, _CONFIRM = "recibo de protocolo/entrega, sem conteúdo de mérito", "confirmação de recebimento, sem conteúdo de mérito"
-_DISTRIBUTION = "trâmite administrativo interno (distribuição), sem conteúdo de mérito"
 DISCARDED_TYPES = {
-    "recibo": _RECEIPT,
-    "recibo registrado": _RECEIPT,
-    "recibo do": _RECEIPT,
-    "recibo (s)": _RECEIPT,
+    "recibo": "recibo de protocolo/entrega, sem conteúdo de mérito",
+    "recibo registrado": "recibo de protocolo/entrega, sem conteúdo de mérito",
+    "recibo do": "recibo de protocolo/entrega, sem conteúdo de mérito",
+    "recibo (s)": "recibo de protocolo/entrega, sem conteúdo de mérito",
     "procuração": "instrumento de representação, sem conteúdo de mérito",
-    "requerimento de distribuição de processo": _DISTRIBUTION,
-    "despacho de distribuição de processo": _DISTRIBUTION,
+    "requerimento de distribuição de processo": "trâmite administrativo interno (distribuição), sem conteúdo de mérito",
+    "despacho de distribuição de processo": "trâmite administrativo interno (distribuição), sem conteúdo de mérito",
     "requerimento de inclusão em pauta": "trâmite administrativo interno (agenda de pauta), sem conteúdo de mérito",
     "despacho de mero expediente": "despacho de mero expediente: ato processual sem conteúdo decisório",
     "formulário": "formulário de cadastro/entrada, sem conteúdo de mérito",
     "documentação societária": 'documentação de constituição societária ("contrato social" e similares) — distinto de "Contrato" (ex.: CUST), nunca descartado',
     "termo de cancelamento de documento": "termo administrativo de cancelamento de documento, sem conteúdo de mérito",
-    "confirmação": _CONFIRM,
-    "confirmação do recebimento de notificação": _CONFIRM,
+    "confirmação": "confirmação de recebimento, sem conteúdo de mérito",
+    "confirmação do recebimento de notificação": "confirmação de recebimento, sem conteúdo de mérito",
     "lista de presença": "lista de presença/registro de comparecimento, sem conteúdo de mérito",
     "cnpj": "documento de identificação de pessoa jurídica, sem conteúdo de mérito",
     "cnh": "documento de identificação pessoal, sem conteúdo de mérito",

@@ -53,7 +53,7 @@ def process_pieces(spark, d):
 def process_order(spark, d):
     """Processes by latest movement and number, both descending."""
     p = op.process_summary(_families(spark, d), op.face_version(_versions(spark, d)), F.col("kind"))
-    return p.select("process", "latest", F.row_number().over(Window.orderBy(F.desc("latest"), F.desc("process"))).alias("pos"))
+    return op.numbered(p.select("process", "latest"), "latest", "process").select("process", "latest", "pos")
 
 
 def latest_corpus(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -23,10 +24,33 @@ def index_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(", ".join(f"`{c}` string" for c in INDEX_COLUMNS)).options(sep=";", header=True, encoding="UTF-8", enforceSchema=False).csv(path)
 
 
+def named_files(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """path and text of all files of a name below a folder, also of a name that Spark's readers take for hidden. The driver lists, tasks read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, each = [], at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+    while each.hasNext():
+        file = each.next().getPath()
+        if file.getName() == name:
+            found.append((re.sub(r"^file:/(?!/)", "file:///", file.toString()),))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            texts = []
+            for url in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(url)
+                with store.open_input_stream(inner) as f:
+                    texts.append(f.read().decode("utf-8-sig", "replace"))
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return spark.createDataFrame(found, "path string").mapInArrow(read, "path string, text string")
+
+
 def process_urls(spark: SparkSession, path: str) -> DataFrame:
     """processo and url of all _processo.json files; malformed files are skipped."""
-    rows = spark.read.schema("processo string, url string, _corrupt_record string").options(multiLine=True, mode="PERMISSIVE", pathGlobFilter="_processo.json", recursiveFileLookup=True).json(path)
-    return rows.where("_corrupt_record IS NULL AND processo IS NOT NULL").groupBy("processo").agg(F.max("url").alias("url"))
+    rows = named_files(spark, path, "_processo.json").select(F.from_json("text", "processo string, url string").alias("j"))
+    return rows.select("j.*").where("processo IS NOT NULL").groupBy("processo").agg(F.max("url").alias("url"))
 
 
 def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -42,10 +66,14 @@ def curated_files(spark: SparkSession, path: str, prefixes: dict[str, str]) -> D
     return files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).alias("formato"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("tipo_documento"))
 
 
-def indexed_files(index: DataFrame, files: DataFrame) -> DataFrame:
-    """Index rows with their files. status_origem: restrito (no file named), ausente_no_disco, zip or file."""
-    f = files.select(F.substring_index("path", "/", -1).alias("arquivo_em_disco"), "path", F.col("length").alias("tamanho"), F.sha2("content", 256).alias("sha256"))
-    rows = index.join(f, F.col("arquivo") == F.col("arquivo_em_disco"), "left")
+def indexed_files(index: DataFrame, files: DataFrame, folder: str | None = None) -> DataFrame:
+    """Index rows with their files. status_origem: restrito (no file named), ausente_no_disco, zip or file.
+
+    folder: the index column with the name of the folder that a row's file is in; without it names must be unique."""
+    parent = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
+    f = files.select(F.substring_index("path", "/", -1).alias("arquivo_em_disco"), parent.alias("pasta_em_disco"), "path", F.col("length").alias("tamanho"), F.sha2("content", 256).alias("sha256"))
+    same = F.col("arquivo") == F.col("arquivo_em_disco")
+    rows = index.join(f, same & (F.col(folder) == F.col("pasta_em_disco")) if folder else same, "left").drop("pasta_em_disco")
     none = F.col("arquivo").isNull() | (F.col("arquivo") == "")
     state = F.when(none, "restrito").when(F.col("path").isNull(), "ausente_no_disco").when(F.lower("arquivo").endswith(".zip"), "zip").otherwise("file")
     return rows.withColumn("status_origem", state).drop("arquivo_em_disco")
