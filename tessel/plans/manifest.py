@@ -16,6 +16,12 @@ def manifest_hash(spark, d):
     return op.corpus_version(_t(spark, d, "documents").select(F.concat_ws("|", "doc_id", F.sha2("text", 256)).alias("key")))
 
 
+def listed_digest(spark, d):
+    """The digest of all keys, sorted and listed in one text."""
+    keys = _t(spark, d, "documents").select(F.concat_ws("|", F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.sha2("text", 256)).alias("key"))
+    return spark.createDataFrame([(op.listed_version(keys),)], "corpus_version string")
+
+
 def content_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes"))
 
@@ -97,10 +103,11 @@ _TRIAGE = """SELECT doc_id, coalesce(CASE WHEN lang = 'de' THEN 'format' END, CA
 _STATUS = f"""WITH t AS ({_TRIAGE}), c AS (SELECT DISTINCT sha256(text) AS h FROM labels JOIN documents USING (doc_id) WHERE quality = 1),
 s AS (SELECT d.doc_id, CASE WHEN lang IN ('en', 'fr', 'de') THEN 'text' END AS route, CASE WHEN motivo_descarte IS NOT NULL THEN 'descartado' WHEN n_chars <= 500 THEN 'pending: no file' WHEN lang NOT IN ('en', 'fr', 'de') THEN 'pending: no route'
   WHEN sha256(text) IN (SELECT h FROM c) THEN 'cached' ELSE 'extract' END AS status FROM documents d JOIN t ON d.doc_id = t.doc_id)"""
-QUERIES = {f.__name__: f for f in (manifest_hash, content_hash, content_dups, triage, status_counts, extraction_status, status_totals, normalize_type, br_date_iso, slugs, process_number, chunk_ids, file_types, type_titles, free_text_filter)}
+QUERIES = {f.__name__: f for f in (manifest_hash, listed_digest, content_hash, content_dups, triage, status_counts, extraction_status, status_totals, normalize_type, br_date_iso, slugs, process_number, chunk_ids, file_types, type_titles, free_text_filter)}
 ORACLE = {
     "manifest_hash": """WITH k AS (SELECT sha256(doc_id || '|' || sha256(text)) AS h FROM documents), g AS (SELECT substr(h, 1, 3) AS g, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM k GROUP BY 1)
 SELECT sha256(string_agg(h, chr(10) ORDER BY g)) AS corpus_version, count(*) AS groups FROM g""",
+    "listed_digest": "SELECT sha256(string_agg(k, chr(10) ORDER BY k)) AS corpus_version FROM (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') || '|' || sha256(text) AS k FROM documents)",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS INTEGER) AS bytes FROM documents",
     "content_dups": "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1",
     "triage": f"SELECT doc_id, motivo_descarte IS NOT NULL AS descartado, motivo_descarte FROM ({_TRIAGE})",

@@ -144,7 +144,7 @@ def removed_percent(spark, d):
     return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", fn.percent_removed(n, m).alias("percent"))
 
 
-def slugs(spark, d):
+def slug_variants(spark, d):
     s = F.concat(F.lit(" Ação Única nº "), F.col("p_name"), F.lit(" / ÑÜé. "))
     model = F.concat(F.lit("Titan:"), "p_brand", F.lit("_V2.0"))
     p = _t(spark, d, "part").select("p_partkey", fn.slug(s, "_", "documento").alias("portal"), fn.slug(s).alias("theme"), fn.index_name(model, "chunks-").alias("index_name"), fn.word_slug(s).alias("words"), fn.file_name(s).alias("file"), fn.slug(F.lit("–"), "_", "documento").alias("empty"))
@@ -169,7 +169,7 @@ _CLEAN = "WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)
 QUERIES = {
     f.__name__: f
     for f in (page_headers, protocol_rows, protocol_documents, process_documents, manifests_combined, portal_process_hits, first_process_hits, download_counts, any_of_filter, scope_filter, pdf_route, filter_lines_real)
-    + (markdown_store, cache_valid, scan_report, page_sizes, paragraph_counts, removed_percent, slugs, rounding)
+    + (markdown_store, cache_valid, scan_report, page_sizes, paragraph_counts, removed_percent, slug_variants, rounding)
 }
 ORACLE = {
     "page_headers": f"WITH {_ROWS} SELECT DISTINCT page, process AS process_number, CASE WHEN page % 2 = 0 THEN '' ELSE 'Recurso de' END AS process_type, CASE WHEN page % 2 = 0 THEN '01/02/2003' END AS generated_at FROM o",
@@ -194,7 +194,7 @@ SELECT count(*) AS documents, count(*) FILTER (WHERE n = 0) AS errors, count(*)
     "page_sizes": "SELECT o_orderkey, o_custkey + 0.5 AS width_pt, CAST(o_orderkey % 900 AS DOUBLE) AS height_pt FROM orders",
     "paragraph_counts": "SELECT doc_id, CAST(len(list_filter(string_split(replace(text || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || 'fim', '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_matches(p, '\\S'))) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL",
     "removed_percent": "WITH x AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda l: NOT contains(l, 'e') AND l <> '')) AS m FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(100.0 * (n - m) / n, 1) AS percent FROM x",
-    "slugs": """SELECT p_partkey, 'acao_unica_no_' || regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') || '_nue' AS portal, 'acao-unica-no-' || regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-nue' AS theme,
+    "slug_variants": """SELECT p_partkey, 'acao_unica_no_' || regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') || '_nue' AS portal, 'acao-unica-no-' || regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g') || '-nue' AS theme,
  'chunks-titan-' || regexp_replace(lower(p_brand), '[^a-z0-9._-]', '-', 'g') || '_v2.0' AS index_name, 'ação-única-nº-' || regexp_replace(lower(p_name), '[^a-z0-9]', '-', 'g') || '---ñüé' AS words,
  'Ação-Única-nº-' || regexp_replace(p_name, '[^A-Za-z0-9._-]', '-', 'g') || '---ÑÜé' AS file, 'documento' AS empty FROM part""",
     "rounding": "SELECT l_orderkey, l_linenumber, round_even((l_orderkey % 40) / 4, 0) AS even, CAST(floor((l_orderkey % 40) / 4 + 0.5) AS BIGINT) AS up FROM lineitem",

@@ -148,7 +148,7 @@ def embedding_cache(spark: SparkSession, paths: list[str], dims: int) -> DataFra
     for i, path in enumerate(paths):
         single = path.endswith(".json")
         rows = spark.read.schema("query string, text string, embedding array<double>, _tombstone string").option("multiLine", single).json(path)
-        parts.append(rows.where("_tombstone IS NULL").select(F.coalesce("query", "text").alias("text"), "embedding", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line")).alias("at")))
+        parts.append(rows.where("_tombstone IS NULL").select(F.coalesce("query", "text").alias("text"), "embedding", F.struct(F.lit(i).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at")))
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.unionByName(p)
@@ -235,6 +235,18 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
+def tombstones(versions: DataFrame, seq: Column, version: str = "version") -> DataFrame:
+    """Log rows that delete versions: each version once, with the sequence number from which on it is gone."""
+    return versions.select(version).distinct().select(seq.alias("seq"), F.lit("tombstone").alias("op"), version)
+
+
+def fetched(plan: DataFrame, results: DataFrame) -> DataFrame:
+    """plan: of fetch_plan, with version_id; results: version_id, bytes, error. A row for each document: metadata_only, downloaded or failed."""
+    met = plan.join(results.select("version_id", "bytes", "error"), "version_id", "left")
+    status = F.when(F.col("action") == "metadata_only", "metadata_only").when(F.col("error").isNull() & F.col("bytes").isNotNull(), "downloaded").otherwise("failed")
+    return met.withColumn("status", status).withColumn("error", F.when(F.col("status") == "failed", F.coalesce("error", F.lit("no result"))))
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

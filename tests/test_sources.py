@@ -102,6 +102,27 @@ def test_source_manifest_and_logs(spark, tmp_path):
     assert files.last_of_each(docs, "family_id", "document_date").first()["version_id"] == "v2"
 
 
+def test_cache_and_fetching(spark, tmp_path):
+    rows = [{"text": f"t{i % 50}", "embedding": [float(i), 0.0]} for i in range(3000)] + [{"_tombstone": "v"}]
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")  # the file is read in many parts
+    try:
+        cache = files.embedding_cache(spark, [str(tmp_path / "e.jsonl")], 2).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r["text"]: r["embedding"][0] for r in cache} == {f"t{i}": 2950.0 + i for i in range(50)}
+    known = spark.createDataFrame(cache)
+    assert files.embed_cached(spark.createDataFrame([("t7",)], "text string"), known).first()["embedding"] == [2957.0, 0.0]
+    with pytest.raises(Exception, match="no vector for: new"):
+        files.embed_cached(spark.createDataFrame([("new",)], "text string"), known).collect()
+    plan = files.fetch_plan(spark.createDataFrame([("a", "missing://x"), ("b", "https://x"), ("c", "/x"), ("d", "/y")], "version_id string, locator string"))
+    done = spark.createDataFrame([("b", 5, None), ("c", None, "gone")], "version_id string, bytes long, error string")
+    assert {r["version_id"]: (r["status"], r["error"]) for r in files.fetched(plan, done).collect()} == {"a": ("metadata_only", None), "b": ("downloaded", None), "c": ("failed", "gone"), "d": ("failed", "no result")}
+    graves = files.tombstones(spark.createDataFrame([("v",), ("v",)], "version string"), F.lit(9))
+    assert [tuple(r) for r in graves.collect()] == [(9, "tombstone", "v")]
+
+
 def test_stores(spark, tmp_path):
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
