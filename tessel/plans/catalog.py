@@ -85,15 +85,22 @@ def theme_lookup_fallback(spark, d):
     return op.lookup_or(rows, known, "p_type", "theme", "pendente-classificacao").select("p_partkey", "theme")
 
 
+def _urgent(spark, d):
+    """Urgent versions of the last sixty days, which not all families and processes have."""
+    v = _versions(spark, d)
+    last = v.agg(F.date_sub(F.to_date(F.max("day")), 60).cast("string").alias("since"))
+    return v.where("kind = '1-URGENT'").join(F.broadcast(last), F.col("day") >= F.col("since")).drop("since")
+
+
 def processes_without_pieces(spark, d):
     """Processes none of whose families has a version."""
-    f, v = _families(spark, d), _versions(spark, d)
+    f, v = _families(spark, d), _urgent(spark, d)
     with_pieces = f.join(v.select("family").distinct(), "family", "left_semi").select("process").distinct()
     return f.select("process").distinct().join(with_pieces, "process", "left_anti")
 
 
 def families_without_versions(spark, d):
-    return _families(spark, d).join(_versions(spark, d).select("family"), "family", "left_anti")
+    return _families(spark, d).join(_urgent(spark, d).select("family"), "family", "left_anti")
 
 
 def opinion_sheet(spark, d):
@@ -125,8 +132,8 @@ SELECT process, max(day) AS latest, arg_max(kind, (day, -version)) AS latest_kin
     "themes": "SELECT p_brand, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS types, count(DISTINCT p_type) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1",
     "theme_types": "SELECT DISTINCT p_type FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)",
     "theme_lookup_fallback": "SELECT p_partkey, coalesce(theme, 'pendente-classificacao') AS theme FROM part p LEFT JOIN (SELECT p_type, min(p_brand) AS theme FROM part WHERE p_size <= 10 GROUP BY 1) k ON p.p_type = k.p_type",
-    "processes_without_pieces": "SELECT DISTINCT c_nationkey AS process FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey)",
-    "families_without_versions": "SELECT c_custkey AS family, c_nationkey AS process FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "processes_without_pieces": "SELECT DISTINCT c_nationkey AS process FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) - 60 FROM orders)))",
+    "families_without_versions": "SELECT c_custkey AS family, c_nationkey AS process FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) - 60 FROM orders))",
     "opinion_sheet": f"""SELECT max(version) FILTER (WHERE family = 1) AS main, max(version) FILTER (WHERE family = 2) AS second, max(version) FILTER (WHERE family = 4) AS third,
   (SELECT count(*) FROM orders WHERE o_custkey = 1) AS n_main, (SELECT count(*) FROM orders WHERE o_custkey = 2) AS n_second, (SELECT count(*) FROM orders WHERE o_custkey = 4) AS n_third FROM ({_FACE})""",
 }

@@ -34,9 +34,9 @@ def notify_events(spark, d):
 
 
 def notify_opened(spark, d):
-    e = _e(spark, d)
-    new = e.where("event_type = 'click'").select(F.col("user_id").alias("k"))
-    seen = e.where("event_type = 'purchase'").select(F.col("user_id").alias("k")).distinct()
+    """A user's clicks of a day open it, unless a purchase of that day has."""
+    e = _e(spark, d).withColumn("k", F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")))
+    new, seen = e.where("event_type = 'click'").select("k"), e.where("event_type = 'purchase'").select("k").distinct()
     return op.open_once(new, seen, "k")
 
 
@@ -78,7 +78,7 @@ ORACLE = {
     "notify_suppressed": _W + " SELECT event_type, count(*) AS n, min(user_id) AS first FROM (SELECT * FROM w INTERSECT SELECT * FROM x) GROUP BY 1",
     "notify_events": _W + """, g AS (SELECT count(*) AS n FROM (SELECT * FROM w EXCEPT SELECT * FROM x)), s AS (SELECT count(*) AS n FROM (SELECT * FROM w INTERSECT SELECT * FROM x))
 SELECT * FROM (SELECT 'notification_generated' AS event, n FROM g UNION ALL SELECT 'notification_delivered', n FROM g UNION ALL SELECT 'notification_suppressed', n FROM s) WHERE n > 0""",
-    "notify_opened": "SELECT DISTINCT user_id AS k FROM events WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
+    "notify_opened": "WITH x AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS k, event_type FROM events) SELECT DISTINCT k FROM x WHERE event_type = 'click' AND k NOT IN (SELECT k FROM x WHERE event_type = 'purchase')",
     "event_filter": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' ORDER BY event_id DESC LIMIT 20",
     "feedback_filter_limit": "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND toxic = 0 ORDER BY doc_id DESC LIMIT 15",
     "digest_body": "SELECT user_id, strftime(ts, '%Y-%m') AS job, user_id || ':' || strftime(ts, '%Y-%m') AS email_id, count(*) AS n, string_agg('- ' || event_type || ' ' || event_id, chr(10) ORDER BY event_id) AS body FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2",
