@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tessel.functions.text import normalize_type
 
@@ -53,11 +49,26 @@ def triage(rows: DataFrame, kind: str = "tipo_documento", form: str = "formato",
     return rows.withColumns({"motivo_descarte": reason, "descartado": reason.isNotNull()})
 
 
-@F.pandas_udf(StringType())
-def canonical_key(row: pd.DataFrame) -> pd.Series:
-    """A JSON list of a row's values as json.dumps writes it (blanks behind commas, escapes beyond ASCII)."""
-    values = row.astype(object).where(row.notna(), None)
-    return pd.Series([json.dumps([v.item() if hasattr(v, "item") else v for v in r], ensure_ascii=True) for r in values.itertuples(index=False, name=None)])
+def _json_text(s: Column) -> Column:
+    """A string as JSON in printable ASCII."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        far = n - 0x10000
+        pair = F.concat(unit(F.shiftright(far, 10) + 0xD800), unit(far.bitwiseAND(0x3FF) + 0xDC00))
+        out = F.when(n > 0xFFFF, pair).when((n < 32) | (n > 126), unit(n)).otherwise(c)
+        for plain, escaped in (("\f", "\\f"), ("\b", "\\b"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("\\", "\\\\"), ('"', '\\"')):
+            out = F.when(c == plain, escaped).otherwise(out)
+        return out
+
+    return F.when(s == "", '""').otherwise(F.concat(F.lit('"'), F.array_join(F.transform(F.split(s, ""), one), ""), F.lit('"')))
+
+
+def canonical_key(*columns: Column) -> Column:
+    """A JSON list of strings and whole numbers as json.dumps writes it (blanks behind commas, escapes beyond ASCII)."""
+    text = [F.coalesce(F.when(F.typeof(c) == "string", _json_text(c.cast("string"))).otherwise(c.cast("string")), F.lit("null")) for c in columns]
+    return F.concat(F.lit("["), F.concat_ws(", ", *text), F.lit("]"))
 
 
 def corpus_version(keys: DataFrame, key: str = "key") -> DataFrame:

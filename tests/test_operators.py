@@ -73,8 +73,9 @@ def test_triage_and_versions(spark):
     import hashlib
 
     assert manifest.listed_version(k) == hashlib.sha256(b"a\nb").hexdigest()
-    key = spark.createDataFrame([("ç", None, 1)], "a string, b string, n int").select(manifest.canonical_key(F.struct("a", "b", "n"))).first()[0]
-    assert json.loads(key) == ["ç", None, 1] and "\\u00e7" in key
+    values = [["ç", None, 1], ['q"\\/\n\r\t\b\f\x01\x7f', "😀 a", -5], ["", "\u2028", 0]]
+    rows = spark.createDataFrame([tuple(v) for v in values], "a string, b string, n int").select(manifest.canonical_key(F.col("a"), F.col("b"), F.col("n"))).collect()
+    assert [r[0] for r in rows] == [json.dumps(v) for v in values]
 
 
 def test_notifications(spark):
