@@ -2,142 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requests compared in one pass over the vectors; requests and vectors compared at once within a task.
-BLOCK, _REQUESTS, _VECTORS = 4096, 64, 16384
-#: Orders of pairs without a score, and of those that are left out.
-_NONE, _OUT = -np.finfo(np.float64).max, -np.inf
-
-
-def _dense(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows filled up with zeros, and their lengths; -1 for null vectors, vectors with a null and those longer than width."""
-    n = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = vectors.flatten()
-    if (n == width).all() and not flat.null_count:
-        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(n), width), n
-    out = np.zeros((len(n), width))
-    for i, v in enumerate(vectors.to_pylist()):
-        if v is None or len(v) > width or None in v:
-            n[i] = -1
-        else:
-            out[i, : len(v)] = v
-    return out, n
-
-
-def _first(order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """In each row the places of the k largest, the smaller id first of equals."""
-    return np.lexsort((np.broadcast_to(ids, order.shape), -order), axis=-1)[:, :k]
-
-
-def _best(order: np.ndarray, k: int) -> np.ndarray:
-    """In each row the places of the k largest, the first of equals; in no order."""
-    n = order.shape[1]
-    if n <= k:
-        return np.broadcast_to(np.arange(n), order.shape)
-    least = np.partition(order, n - k, axis=1)[:, n - k, None]
-    out = np.empty((len(order), k), np.int64)
-    for row, above, equal in zip(out, order > least, order == least):
-        a = np.flatnonzero(above)
-        row[: len(a)], row[len(a) :] = a, np.flatnonzero(equal)[: k - len(a)]
-    return out
-
-
-def nearest(vectors: DataFrame, requests: DataFrame, k: int, digits: int = 6, own: bool = True, by_label: bool = False, block: int = BLOCK) -> DataFrame:
-    """vectors: id (a whole number, not null), v, label. requests: request (like id), q. request, id, label, score and rank of each request's k best.
-
-    Score is the rounded dot product in double, null where lengths differ; of equal scores the smaller id comes first. Without ``own``, vectors
-    with the request's id are left out. ``by_label``: the best vector of each label, and of these the k best. Every request is compared with every
-    vector, a block of requests in each pass; a task keeps the k best of each request, and these are merged by request.
-    """
-    kind = vectors.schema["label"].dataType
-    known = requests.where("request IS NOT NULL").select(F.col("request").cast("long").alias("request"), "q")
-    blocks = max(1, math.ceil(known.count() / (block * 0.8)))
-    rows = vectors.where("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "v", "label")
-    schema, out = f"request long, id long, label {kind.simpleString()}, score double", None
-    for b in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("request"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        found = rows.mapInArrow(_compare(part, k, digits, own, by_label), schema)
-        out = found if out is None else out.unionByName(found)
-    order = [F.col("score").desc_nulls_last(), F.col("id")]
-    if by_label:
-        out = out.withColumn("n", F.row_number().over(Window.partitionBy("request", "label").orderBy(*order))).where("n = 1").drop("n")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(*order))).where(F.col("rank") <= k)
-
-
-def _compare(requests: pa.Table, k: int, digits: int, own: bool, by_label: bool):
-    """What a task does with its vectors."""
-    asked = requests.column("request").to_numpy()
-    lists = pa.concat_arrays(requests.column("q").chunks) if len(asked) else pa.array([], pa.list_(pa.float64()))
-    width = max((len(x) for x in lists.to_pylist() if x is not None), default=0)
-    q, q_n = _dense(lists, width)
-
-    def chunk(ids: np.ndarray, v: np.ndarray, v_n: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """ids ascending. Order, id and label of the best of each request."""
-        cuts = [np.flatnonzero(codes == c) for c in np.unique(codes)] if by_label else []
-        for a in range(0, len(asked), _REQUESTS):
-            z = q[a : a + _REQUESTS] @ v.T
-            z = np.copysign(np.floor(np.abs(z) * 10.0**digits + 0.5) / 10.0**digits, z) + 0.0
-            z[np.isnan(z)] = np.inf  # comes first, as in Spark
-            n = q_n[a : a + _REQUESTS, None]
-            z[(n != v_n) | (n < 0)] = _NONE
-            if not own:
-                z[asked[a : a + _REQUESTS, None] == ids] = _OUT
-            if by_label:
-                at = np.stack([c[np.argmax(z[:, c], axis=1)] for c in cuts], axis=1)
-                order = np.take_along_axis(z, at, axis=1)
-                at = np.take_along_axis(at, _first(order, ids[at], k), axis=1)
-            else:
-                at = _best(z, k)
-            yield np.take_along_axis(z, at, axis=1), ids[at], codes[at]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict = {}
-        held, kind, waiting = None, None, []
-
-        def take() -> None:
-            nonlocal held, kind
-            t = pa.Table.from_batches(waiting).sort_by("id").combine_chunks()
-            waiting.clear()
-            kind = t.schema.field("label").type
-            codes = np.array([numbers.setdefault(x, len(numbers)) for x in t.column("label").to_pylist()], np.int64)
-            new = [np.concatenate(x) for x in zip(*chunk(t.column("id").to_numpy(), *_dense(pa.concat_arrays(t.column("v").chunks), width), codes))]
-            if held is not None:
-                new = [np.concatenate(x, axis=1) for x in zip(held, new)]
-                if by_label:  # the best of each label only
-                    at = np.lexsort((new[1], -new[0], new[2]), axis=-1)
-                    new = [np.take_along_axis(x, at, axis=1) for x in new]
-                    new[0][:, 1:][new[2][:, 1:] == new[2][:, :-1]] = _OUT
-            at = _first(new[0], new[1], k)
-            held = [np.take_along_axis(x, at, axis=1) for x in new]
-
-        for batch in batches if len(asked) else ():
-            for i in range(0, batch.num_rows, _VECTORS):
-                waiting.append(batch.slice(i, _VECTORS))
-                if sum(x.num_rows for x in waiting) >= _VECTORS:
-                    take()
-        if waiting:
-            take()
-        if held is None:
-            return
-        names = list(numbers)
-        kept = held[0] > _OUT
-        score = held[0][kept]
-        nan = score == np.inf
-        score[nan] = np.nan
-        label = pa.array([names[c] for c in held[2][kept].tolist()], kind)
-        who = np.broadcast_to(asked[:, None], kept.shape)[kept]
-        yield pa.record_batch({"request": pa.array(who), "id": pa.array(held[1][kept]), "label": label, "score": pa.array(score, mask=score == _NONE)})
-
-    return run
-
 
 def resolve_hits(hits: DataFrame, versions: DataFrame) -> DataFrame:
     """hits: request, version, chunk, score, hit_pos. Hits of unknown versions are dropped, repeated hits stay; pos is the total order."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessel.operators.search import nearest
+from tessel.operators.tiles import nearest
 
 
 def _ranked(spark, d, flip: bool = False, most: int = 5, by_label: bool = False):

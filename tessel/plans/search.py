@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.operators import search as op
+from tessel.operators.tiles import nearest
 
 
 def _t(spark, d, name):
@@ -18,7 +19,7 @@ def _hits(spark, d):
     """Twenty nearest vectors of each request vector."""
     e = _t(spark, d, "embeddings")
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("label"))
-    near = op.nearest(v, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("request"), F.col("embedding").alias("q")), 20)
+    near = nearest(v, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("request"), F.col("embedding").alias("q")), 20)
     return near.select("request", F.col("id").alias("version"), (F.col("id") % 7).alias("chunk"), "score", F.col("rank").alias("hit_pos"))
 
 

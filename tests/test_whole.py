@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessel import catalogue
-from tessel.operators import search
+from tessel.operators import tiles
 
 
 @pytest.mark.parametrize("by_label", [False, True])
@@ -14,7 +14,7 @@ def test_nearest(spark, digits, by_label):
     rows = [(i, [float(x) for x in r.integers(-3, 4, 3) / 4], int(r.integers(0, 6))) for i in range(300)]
     rows += [(300, None, 1), (301, [1.0], 9), (302, [0.5, None, 0.5], 2), (303, [1.0, 0.0, 0.0], None)]
     v = spark.createDataFrame(rows, "id long, v array<float>, label int").repartition(3)
-    got = search.nearest(v, v.select(v["id"].alias("request"), v["v"].alias("q")), 4, digits, False, by_label, block=40).collect()
+    got = tiles.nearest(v, v.select(v["id"].alias("request"), v["v"].alias("q")), 4, digits, False, by_label, tile_rows=40).collect()
 
     def brute(i, q):
         best = []
