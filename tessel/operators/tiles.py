@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,19 @@ def column(t: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
 
 
-def pack(rows: DataFrame, id: str, vector: str, pivots: np.ndarray | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+@dataclass
+class Tiles:
+    """Packed tiles, and how many bytes they take."""
+
+    frame: DataFrame
+    size: int
+
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-self.size // (HELD * TILE_BYTES)))
+
+
+def pack(rows: DataFrame, id: str, vector: str, pivots: np.ndarray | None = None, tile_rows: int = TILE_ROWS) -> Tiles:
     """Tiles of the rows, written. With pivots (a matrix) a tile holds vectors of one cluster (the nearest pivot's), with the largest distance to it and the
     largest norm; cluster -1 holds vectors longer than the pivots."""
 
@@ -90,7 +103,7 @@ def pack(rows: DataFrame, id: str, vector: str, pivots: np.ndarray | None = None
         for c in [c for c, h in held.items() if h]:
             yield tile(c)
 
-    return written(rows.where(F.col(id).isNotNull()).mapInArrow(run, _TILE), "tiles")
+    return Tiles(*written(rows.where(F.col(id).isNotNull()).mapInArrow(run, _TILE), "tiles", "none"))
 
 
 def _clusters(vectors: pa.Array, pivots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,13 +150,13 @@ def _meet(sides: DataFrame, keys: list[str], cells: int, work: Callable, schema:
     return sides.select(*keys, "side", "payload").repartition(max(1, min(cells, parts)), *keys).sortWithinPartitions(*keys, "side").mapInArrow(run, schema)
 
 
-def compare(left: DataFrame, right: DataFrame, work: Callable, schema: str) -> DataFrame:
+def compare(left: Tiles, right: Tiles, work: Callable, schema: str) -> DataFrame:
     """Left and right are packed tiles; every left tile meets every right tile. ``work(left tables, iterator of right tables)`` yields batches of the schema."""
-    groups = max(1, -(-left.count() // HELD))
-    strips = max(1, min(right.count(), -(-2 * left.sparkSession.sparkContext.defaultParallelism // groups)))
+    groups = left.blocks
+    strips = min(-(-right.size // TILE_BYTES) or 1, -(-2 * left.frame.sparkSession.sparkContext.defaultParallelism // groups))
     mixed = F.xxhash64("tile")
-    a = left.select(F.pmod(mixed, F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("strip"), F.lit(0).alias("side"), "payload")
-    b = right.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.pmod(mixed, F.lit(strips)).alias("strip"), F.lit(1).alias("side"), "payload")
+    a = left.frame.select(F.pmod(mixed, F.lit(groups)).alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(strips - 1).cast("long"))).alias("strip"), F.lit(0).alias("side"), "payload")
+    b = right.frame.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.pmod(mixed, F.lit(strips)).alias("strip"), F.lit(1).alias("side"), "payload")
     return _meet(a.unionByName(b), ["group", "strip"], groups * strips, lambda _, x, y: work(x, y), schema)
 
 
@@ -277,9 +290,11 @@ def pairs(vectors: DataFrame, least: float | None = None, most: float | None = N
     bound, with a tile's own centre, drops pairs of tiles. Without ``least`` every pair is a row, also those without a score.
     """
     pivots = None if least is None else pivots_of(vectors, "v", n_pivots)
-    tiles = pack(vectors.select("id", "v"), "id", "v", pivots, tile_rows)
-    stats = tiles.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r"), F.max("norm").alias("m")).collect()  # a row for each pivot
-    blocks = {s["cluster"]: -(-s["n"] // HELD) for s in stats}
+    packed = pack(vectors.select("id", "v"), "id", "v", pivots, tile_rows)
+    tiles, stats, blocks = packed.frame, [{"cluster": 0}], {0: packed.blocks}
+    if pivots is not None:
+        stats = tiles.groupBy("cluster").agg(F.sum(F.length("payload")).alias("size"), F.max("radius").alias("r"), F.max("norm").alias("m")).collect()  # a row for each pivot
+        blocks = {s["cluster"]: -(-s["size"] // (HELD * TILE_BYTES)) for s in stats}
 
     def reach(s, t) -> bool:
         c, d = s["cluster"], t["cluster"]
@@ -348,18 +363,26 @@ def _scores(least: float | None, most: float | None, digits: int, prune: bool) -
     return work
 
 
-def middle(rows: DataFrame, group: str, value: str, low: float = -1.0, high: float = 1.0, bins: int = 1 << 16) -> DataFrame:
-    """group, median: the exact median of a group's values. Values are counted in ``bins`` bins from low to high (those beyond in the outer ones), and only the
-    values of the bin or two with the middle places are looked at. The rows are read twice; nulls count for nothing, and a group without values has no row."""
-    known = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"))
-    known = known.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("x") - low) / (high - low) * bins))).cast("int"))
-    counts = known.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(F.struct("g")).orderBy("bin")
-    placed = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(F.struct("g"))))
-    wanted = placed.select("g", "bin", (F.col("upto") - F.col("n")).alias("before"), "upto", F.floor((F.col("all") + 1) / 2).alias("p"), F.floor((F.col("all") + 2) / 2).alias("q"))
-    wanted = wanted.where("(p > before AND p <= upto) OR (q > before AND q <= upto)")
-    found = known.alias("k").join(wanted.alias("w"), F.col("k.g").eqNullSafe(F.col("w.g")) & (F.col("k.bin") == F.col("w.bin")))
-    values = found.groupBy(F.col("k.g").alias("g"), F.col("x"), "before", "p", "q").agg(F.count(F.lit(1)).alias("n"))
-    run = values.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(F.struct("g"), "before").orderBy("x")))
-    hits = run.select("g", "x", (F.col("p") > F.col("upto") - F.col("n")) & (F.col("p") <= F.col("upto")), (F.col("q") > F.col("upto") - F.col("n")) & (F.col("q") <= F.col("upto"))).toDF("g", "x", "first", "second")
-    return hits.groupBy("g").agg(((F.max(F.when(F.col("first"), F.col("x"))) + F.max(F.when(F.col("second"), F.col("x")))) / 2).alias("median")).withColumnRenamed("g", group)
+def measures(rows: DataFrame, group: str, value: str, low: float = -1.0, high: float = 1.0, bins: int = 1 << 16) -> DataFrame:
+    """group, n, low, high, mean, median of each group: n counts its rows, the others its values that are neither null nor NaN (null if there are none).
+
+    The median is exact: values are counted in ``bins`` bins from low to high (those beyond in the outer ones), and only the values of the bin or two with the
+    middle places are looked at again. The rows are read twice and kept nowhere.
+    """
+    x = F.when(~F.isnan(value), F.col(value).cast("double"))
+    known = rows.select(F.col(group).alias("g"), x.alias("x")).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("x") - low) / (high - low) * bins).cast("int"))))
+    known = known.withColumn("bin", F.when(F.col("x").isNotNull(), F.col("bin")).otherwise(-1))
+    counts = known.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.sum("x").alias("sum"))
+    one, whole = Window.partitionBy("g").orderBy("bin"), Window.partitionBy("g")
+    valued = F.when(F.col("bin") >= 0, F.col("n")).otherwise(0)
+    placed = counts.select("*", F.sum(valued).over(one).alias("upto"), F.sum(valued).over(whole).alias("valued"))
+    p, q = F.floor((F.col("valued") + 1) / 2), F.floor((F.col("valued") + 2) / 2)
+    middle = (F.col("bin") >= 0) & (((p > F.col("upto") - F.col("n")) & (p <= F.col("upto"))) | ((q > F.col("upto") - F.col("n")) & (q <= F.col("upto"))))
+    wanted = F.collect_list(F.when(middle, F.struct("bin", (F.col("upto") - F.col("n")).alias("before"))))  # two at most
+    totals = placed.groupBy("g").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("sum") / F.max("valued")).alias("mean"), F.max("valued").alias("valued"), wanted.alias("wanted"))
+    found = known.alias("k").join(totals.select("g", p.alias("p"), q.alias("q"), F.inline("wanted")).alias("w"), F.col("k.g").eqNullSafe(F.col("w.g")) & (F.col("k.bin") == F.col("w.bin")))
+    values = found.groupBy(F.col("k.g").alias("g"), "before", "p", "q", "x").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.col("before") + F.sum("m").over(Window.partitionBy("g", "before").orderBy("x"))
+    run = values.withColumn("upto", upto).groupBy("g").agg(*(F.max(F.when((F.col(c) > F.col("upto") - F.col("m")) & (F.col(c) <= F.col("upto")), F.col("x"))).alias(c) for c in ("p", "q")))
+    out = totals.alias("t").join(run.alias("r"), F.col("t.g").eqNullSafe(F.col("r.g")), "left")
+    return out.select(F.col("t.g").alias(group), "n", "low", "high", "mean", ((F.col("r.p") + F.col("r.q")) / 2).alias("median"))

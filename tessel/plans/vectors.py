@@ -57,7 +57,7 @@ def _fam(spark, d):
 def _named(spark, d):
     """Families with text keys: five vectors each."""
     e = _read(spark, d, "embeddings").select(F.concat(F.lit("fam-"), F.floor(F.col("vec_id") / 5)).alias("key"), "embedding")
-    return written(family_vectors(e, "key", "embedding"), "families")
+    return written(family_vectors(e, "key", "embedding"), "families")[0]
 
 
 def vector_topk(spark, d):
@@ -115,9 +115,8 @@ def bucket_describe(spark, d):
 
 def described(pairs: DataFrame, bucket: str, names: DataFrame) -> DataFrame:
     """names: all buckets. n, low, high, mean and median of each bucket's scores, rounded to six digits. The pairs are read twice and kept nowhere."""
-    s = pairs.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"), *(F.round(f("score"), 6).alias(c) for c, f in (("low", F.min), ("high", F.max), ("mean", F.avg))))
-    m = tiles.middle(pairs, bucket, "score").select(bucket, F.round("median", 6).alias("median"))
-    return names.join(s, bucket, "left").join(m, bucket, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    found = tiles.measures(pairs, bucket, "score").select(bucket, "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean", "median")))
+    return names.join(found, bucket, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def named_neighbors(spark, d):

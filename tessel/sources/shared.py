@@ -42,8 +42,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to a new folder and read back."""
-    path, schema = new_folder(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, int]:
+    """The table, written to a new folder and read back; and the bytes of its files."""
+    spark, path, schema = df.sparkSession, new_folder(df.sparkSession, name), df.schema
+    df.write.option("compression", codec).parquet(path)
+    store, at = file_system(spark, path)
+    return spark.read.schema(schema).parquet(path), store.getContentSummary(at).getLength()

@@ -67,8 +67,13 @@ def test_median_of_buckets(spark):
     r = np.random.default_rng(2)
     rows = [(g, float(x)) for g, n in (("odd", 101), ("even", 100), ("one", 1)) for x in np.round(r.uniform(-1.5, 1.5, n), 2)] + [("odd", None), ("none", None), (None, 0.25), (None, 0.75), ("even", float("nan"))]
     df = spark.createDataFrame(rows, "g string, x double").repartition(4)
-    want = {g: float(np.median([x for h, x in rows if h == g and x is not None and x == x])) for g in ("odd", "even", "one", None)}
-    assert {x["g"]: x["median"] for x in tiles.middle(df, "g", "x", bins=7).collect()} == want
+    got = {x["g"]: x for x in tiles.measures(df, "g", "x", bins=7).collect()}
+    for g in ("odd", "even", "one", "none", None):
+        own = [x for h, x in rows if h == g]
+        x = [v for v in own if v is not None and v == v]
+        assert got[g]["n"] == len(own)
+        assert [got[g][c] for c in ("low", "high", "median")] == [f(x) if x else None for f in (min, max, np.median)] and got[g]["mean"] == (pytest.approx(np.mean(x)) if x else None)
+    assert len(got) == 5 and not tiles.measures(df.limit(0), "g", "x").count()
 
 
 def test_known_pairs(spark):
