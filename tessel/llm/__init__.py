@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("token_counts", "simple8b", "warc", "language_id", "mixing", "quality", "toxicity", "ngram_jaccard", "hmm_scoring", "decontamination", "hard_negatives", "merkle")
+_MODULES = ("token_counts", "simple8b", "warc", "language_id", "mixing", "quality", "toxicity", "ngram_jaccard", "hmm_scoring", "decontamination", "hard_negatives", "merkle", "secrets")
 
 
 def queries() -> dict:
