@@ -69,8 +69,8 @@ class Tiles:
         return max(1, -(-self.size // (HELD * TILE_BYTES)))
 
 
-def pack(rows: DataFrame, id: str, vector: str, pivots: np.ndarray | None = None, tile_rows: int = TILE_ROWS) -> Tiles:
-    """Tiles of the rows, written. With pivots (a matrix) a tile holds vectors of one cluster (the nearest pivot's), with the largest distance to it and the
+def pack(rows: DataFrame, id: str, vector: str, pivots: np.ndarray | None = None, tile_rows: int = TILE_ROWS, cluster: str | None = None) -> Tiles:
+    """Tiles of the rows, written. ``cluster``: a column of whole numbers that is alike in all rows of a tile. With pivots (a matrix) a tile holds vectors of one cluster (the nearest pivot's), with the largest distance to it and the
     largest norm; cluster -1 holds vectors longer than the pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +92,8 @@ def pack(rows: DataFrame, id: str, vector: str, pivots: np.ndarray | None = None
             for a in range(0, batch.num_rows, per):
                 b = batch.slice(a, per)
                 own, far, norm = _clusters(b.column(vector), pivots)
+                if cluster:
+                    own = b.column(cluster).to_numpy(zero_copy_only=False)
                 for c in np.unique(own).tolist():
                     at = np.flatnonzero(own == c)
                     part = b if len(at) == b.num_rows else b.take(pa.array(at))
@@ -160,6 +162,16 @@ def compare(left: Tiles, right: Tiles, work: Callable, schema: str) -> DataFrame
     return _meet(a.unionByName(b), ["group", "strip"], groups * strips, lambda _, x, y: work(x, y), schema)
 
 
+def compare_within(left: Tiles, right: Tiles, work: Callable, schema: str) -> DataFrame:
+    """As ``compare``, but tiles meet only those of the same cluster. Large clusters are dealt out in blocks of both sides."""
+    blocks = lambda t: t.frame.groupBy("cluster").agg(F.ceil(F.sum(F.length("payload")) / (HELD * TILE_BYTES)).cast("long").alias("n"))
+    known = blocks(left).withColumnRenamed("n", "groups").join(blocks(right).withColumnRenamed("n", "strips"), "cluster")  # a row for each cluster
+    mixed, zero = F.xxhash64("tile"), F.lit(0).cast("long")
+    a = left.frame.join(known, "cluster").select("cluster", F.pmod(mixed, F.col("groups")).alias("group"), F.explode(F.sequence(zero, F.col("strips") - 1)).alias("strip"), F.lit(0).alias("side"), "payload")
+    b = right.frame.join(known, "cluster").select("cluster", F.explode(F.sequence(zero, F.col("groups") - 1)).alias("group"), F.pmod(mixed, F.col("strips")).alias("strip"), F.lit(1).alias("side"), "payload")
+    return _meet(a.unionByName(b), ["cluster", "group", "strip"], left.blocks * right.blocks * 64, lambda _, x, y: work(x, y), schema)
+
+
 def _first(order: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """In each row the places of the k largest, the smaller id first of equals."""
     return np.lexsort((np.broadcast_to(ids, order.shape), -order), axis=-1)[:, :k]
@@ -206,6 +218,10 @@ def nearest(vectors: DataFrame, requests: DataFrame | None, k: int, digits: int
         left = pack(requests, "id", "v", tile_rows=tile_rows)
     schema = f"request {kind}, id {kind}, label {label}, score double"
     out = compare(left, right, _top(k, digits, own, by_label), schema)
+    return _ranked(out, k, by_label)
+
+
+def _ranked(out: DataFrame, k: int, by_label: bool = False) -> DataFrame:
     order = [F.col("score").desc_nulls_last(), F.col("id")]
     if by_label:
         out = out.withColumn("n", F.row_number().over(Window.partitionBy("request", "label").orderBy(*order))).where("n = 1").drop("n")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessel.operators.tiles import nearest
 from tessel.plans import ingest, search
 from tessel.sources import ingestion
-from tessel.sources.shared import new_folder
+from tessel.sources.shared import new_folder, written
 from tessel.sources.tables import DELETE, Executions, Log, Tables
+from tessel.sources.vector_index import VectorIndex
 
 
 def _t(spark, d, name):
@@ -99,3 +101,38 @@ UNION ALL SELECT 'job-2', count(DISTINCT o_custkey), count(*), 0 FROM orders WHE
     "log_compacted": f"WITH l AS ({_L}) {_LEFT('before', 2)} UNION ALL {_LEFT('after', 2)} UNION ALL {_LEFT('last', 3)}",
     "stored_pages": f"WITH {search._H} SELECT request, true AS stale, pos, version, score, first_value(version) OVER (PARTITION BY request ORDER BY pos) AS first FROM r QUALIFY pos >= 5 AND pos < 10",
 }
+
+
+CELLS, PROBES = 16, 8
+
+
+def _index(spark, d):
+    rows = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    index = VectorIndex(Tables(spark, new_folder(spark, "index")), "chunks")
+    index.create(rows, 64, CELLS)
+    index.add(rows)
+    return index, rows, rows.where("id % 50 = 0").select(F.col("id").alias("request"), F.col("v").alias("q"))
+
+
+def index_search(spark, d):
+    """The ten best of each request from the stored index, all cells read."""
+    index, _, asked = _index(spark, d)
+    return index.search(asked, 10).select("request", "id", "score", "rank")
+
+
+def index_recall(spark, d):
+    """Recall at ten of the index, half of the cells read for each request, against all vectors: is it 0.9 at least? And after a drop nothing is left."""
+    index, rows, asked = _index(spark, d)
+    want = nearest(rows, asked, 10).select("request", "id")
+    got = index.search(asked, 10, PROBES).select("request", "id", F.lit(1).alias("found"))
+    out = want.join(got, ["request", "id"], "left").agg(F.count_distinct("request").alias("requests"), F.count(F.lit(1)).alias("wanted"), (F.count("found") / F.count(F.lit(1)) >= 0.9).alias("enough"))
+    out = written(out.withColumns({"cells": F.lit(CELLS), "read": F.lit(PROBES), "indexed": F.lit(index.count()).cast("long")}), "recall")[0]
+    index.drop()
+    return out.withColumn("left", F.lit(index.count()).cast("long"))
+
+
+QUERIES |= {f.__name__: f for f in (index_search, index_recall)}
+ORACLE |= {
+    "index_search": f"WITH {search._H.split(',' + chr(10) + 'h AS')[0]} SELECT request, version AS id, score, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, version) AS INTEGER) AS rank FROM h0 QUALIFY rank <= 10",
+    "index_recall": f"SELECT count(*) FILTER (WHERE vec_id % 50 = 0) AS requests, count(*) FILTER (WHERE vec_id % 50 = 0) * least(count(*), 10) AS wanted, true AS enough, {CELLS} AS cells, {PROBES} AS read, count(*) AS indexed, CAST(0 AS BIGINT) AS \"left\" FROM embeddings",
+}

@@ -142,7 +142,8 @@ class Tables:
 
 
 def _bucket(t: dict):
-    return F.pmod(F.xxhash64(*t["keys"]), F.lit(t["count"])).cast("int").alias(_BUCKET)
+    at = F.col(t["keys"][0]) if t["direct"] else F.xxhash64(*t["keys"])
+    return F.pmod(at, F.lit(t["count"])).cast("int").alias(_BUCKET)
 
 
 def _without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -163,10 +164,10 @@ class Job:
         self._made: list[str] = []
         self.number: int | None = None
 
-    def create(self, name: str, schema: str | T.StructType, keys: list[str] | None = None, buckets: int = 16) -> None:
-        """A new, empty table; one that is there already stays if it is alike, else it is an error."""
+    def create(self, name: str, schema: str | T.StructType, keys: list[str] | None = None, buckets: int = 16, direct: bool = False) -> None:
+        """A new, empty table; one that is there already stays if it is alike, else it is an error. ``direct``: the one key is a bucket's number."""
         schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        wanted = {"schema": json.loads(schema.json()), "keys": keys or [], "count": buckets}
+        wanted = {"schema": json.loads(schema.json()), "keys": keys or [], "count": buckets, "direct": direct}
         if name in self._new:
             if any(self._new[name][k] != wanted[k] for k in wanted):
                 raise ValueError(f"{name} is another table already")
