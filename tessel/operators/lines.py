@@ -1,4 +1,4 @@
-"""Boilerplate lines and blocks of extracted text, pages, blank runs and highlights.
+"""Boilerplate lines and blocks of extracted text, pages and blank runs.
 
 All rules are Column expressions over the array of a text's lines.
 """
@@ -7,10 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from tessel.functions.text import strip
 
@@ -137,47 +135,3 @@ def marked_pages(text: Column) -> Column:
     parts = F.split(text, r"(?m)^<!-- pdftotext:page (?=\d+ -->$)")
     number, rest = lambda p: F.regexp_extract(p, r"^(\d+) -->", 1).cast("int"), lambda p: F.regexp_replace(p, r"^\d+ -->\n?", "")
     return F.transform(F.filter(parts, lambda p, i: i > 0), lambda p: F.struct(number(p).alias("page"), rest(p).alias("text")))
-
-
-def excerpt_places(texts: DataFrame, excerpts: DataFrame, most: int = 50_000) -> DataFrame:
-    """texts: doc_id, text; excerpts: item_id, excerpt. doc_id, item_id and place (from 0) of the first occurrence of each excerpt in each text that holds it.
-
-    Of an excerpt of three words or more, up to three words behind the first one stand as whole words in a text that holds it: texts and excerpts
-    meet by these. Up to ``most`` such keys are sent to the texts; more are joined by a shuffle. Shorter excerpts may begin and end within words
-    and are looked for in all texts, up to ``most`` of them at a time."""
-    known = excerpts.where(F.coalesce("excerpt", F.lit("")) != "").select("item_id", "excerpt")
-    w = F.filter(F.split("excerpt", _BREAK), lambda x: x != "")
-    n = F.size(w)
-    keyed = known.where(n >= 3).select("item_id", "excerpt", F.array_join(F.slice(w, F.lit(2), F.least(n - 2, F.lit(3))), " ").alias("k"))
-    keys = keyed.select("k").distinct()
-    words = texts.select("doc_id", F.filter(F.split("text", _BREAK), lambda x: x != "").alias("w"))
-    windows = lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.array_join(F.slice("w", i, m), " "))).otherwise(F.array().cast("array<string>"))
-    met = words.select("doc_id", F.explode(F.array_distinct(F.concat(windows(1), windows(2), windows(3)))).alias("k"))
-    met = met.join(F.broadcast(keys) if keys.count() <= most else keys, "k", "left_semi").join(keyed, "k").select("doc_id", "item_id", "excerpt").distinct()
-    found = met.join(texts.select("doc_id", "text"), "doc_id")
-    short = [(r["item_id"], r["excerpt"]) for r in known.where(n < 3).distinct().orderBy("item_id", "excerpt").limit(most + 1).collect()]
-    if len(short) > most:
-        raise ValueError(f"more than {most} excerpts of one or two words: look for them in parts")
-    if short:
-        small = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(e).alias("excerpt")) for i, e in short])
-        held = texts.select("doc_id", "text", F.explode(F.filter(small, lambda x: F.contains(F.col("text"), x["excerpt"]))).alias("x")).select("doc_id", F.col("x.item_id").cast(excerpts.schema["item_id"].dataType).alias("item_id"), "x.excerpt", "text")
-        found = found.select("doc_id", "item_id", "excerpt", "text").unionByName(held)
-    return found.select("doc_id", "item_id", "excerpt", (F.instr("text", F.col("excerpt")) - 1).alias("place")).where("place >= 0")
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("highlighted", BooleanType()), StructField("text", StringType())])))
-def highlight(texts: pd.Series, excerpts: pd.Series) -> pd.Series:
-    """The text in segments: first place of each excerpt, overlapping ones left out in favour of the earlier."""
-
-    def cut(text: str | None, wanted) -> list[dict] | None:
-        if text is None:
-            return None
-        found = sorted((text.find(x), k, len(x)) for k, x in enumerate([] if wanted is None else wanted) if x is not None and x in text)
-        out, at = [], 0
-        for start, _, size in found:
-            if start >= at:
-                out += [{"highlighted": False, "text": text[at:start]}] * (start > at) + [{"highlighted": True, "text": text[start : start + size]}]
-                at = start + size
-        return out + [{"highlighted": False, "text": text[at:]}] * (at < len(text))
-
-    return pd.Series([cut(t, e) for t, e in zip(texts, excerpts)])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as fn
 from tessel.operators import lines as op
 from tessel.operators.chunking import chunk_documents, spread
+from tessel.operators.excerpts import excerpt_places, highlighted
 from tessel.operators.html import html_blocks as blocks_of_html
 
 
@@ -90,15 +91,13 @@ def _excerpts(spark, d):
 
 
 def highlight_places(spark, d):
-    return op.excerpt_places(_docs(spark, d).select("doc_id", "text"), _excerpts(spark, d)).select("doc_id", "item_id", "place")
+    return excerpt_places(_docs(spark, d).select("doc_id", "text"), _excerpts(spark, d)).select("doc_id", "item_id", "place")
 
 
 def highlight_segments(spark, d):
-    """Benchmark passages that occur in documents, marked."""
+    """Documents that hold benchmark passages or parts of them, with these marked."""
     docs = _docs(spark, d).select("doc_id", "text")
-    b = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("excerpt"))
-    hits = op.excerpt_places(docs, b).groupBy("doc_id").agg(F.collect_list("excerpt").alias("excerpts"))
-    return docs.join(hits, "doc_id").select("doc_id", F.posexplode(op.highlight("text", "excerpts")).alias("pos", "s")).select("doc_id", "pos", "s.highlighted", "s.text")
+    return highlighted(docs, excerpt_places(docs, _excerpts(spark, d)))
 
 
 _X = "SELECT doc_id, unnest(string_split({0}, chr(10))) AS line, generate_subscripts(string_split({0}, chr(10)), 1) AS pos FROM documents"
@@ -119,6 +118,12 @@ SELECT doc_id, run, count(*) AS lines, CAST(min(pos) - 1 AS INTEGER) AS first FR
   AND length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) >= 3 AND length(regexp_replace(trim(line), '[^\\p{Lu}]', '', 'g')) >= 0.8 * length(regexp_replace(trim(line), '[^\\p{L}]', '', 'g')) GROUP BY 1""",
     "highlight_places": """WITH e AS (SELECT item_id * 4 + i AS item_id, CASE i WHEN 0 THEN text WHEN 1 THEN substr(text, 4, 40) WHEN 2 THEN regexp_extract(text, '[^ ]*$') ELSE substr(text, 3, 9) END AS excerpt FROM benchmark, range(4) t(i) WHERE text <> '')
 SELECT doc_id, item_id, CAST(strpos(text, excerpt) - 1 AS INTEGER) AS place FROM documents, e WHERE excerpt <> '' AND contains(text, excerpt)""",
+    "highlight_segments": """WITH RECURSIVE e AS (SELECT item_id * 4 + i AS item_id, CASE i WHEN 0 THEN text WHEN 1 THEN substr(text, 4, 40) WHEN 2 THEN regexp_extract(text, '[^ ]*$') ELSE substr(text, 3, 9) END AS excerpt FROM benchmark, range(4) t(i) WHERE text <> ''),
+m AS (SELECT doc_id, item_id, strpos(text, excerpt) - 1 AS a, strpos(text, excerpt) - 1 + length(excerpt) AS b FROM documents, e WHERE excerpt <> '' AND contains(text, excerpt)),
+r AS (SELECT doc_id, min(a) AS a, arg_min(b, (a, item_id)) AS b, 0 AS was FROM m GROUP BY 1 UNION ALL
+  SELECT r.doc_id, min(m.a), arg_min(m.b, (m.a, m.item_id)), r.b FROM r JOIN m ON m.doc_id = r.doc_id AND m.a >= r.b GROUP BY r.doc_id, r.b),
+s AS (SELECT doc_id, was AS a, a AS b, false AS highlighted FROM r UNION ALL SELECT doc_id, a, b, true FROM r UNION ALL SELECT r.doc_id, max(b), any_value(length(text)), false FROM r JOIN documents d ON d.doc_id = r.doc_id GROUP BY 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS pos, highlighted, substr(text, a + 1, b - a) AS text FROM s JOIN documents USING (doc_id) WHERE b > a""",
     "sentence_counts": "SELECT doc_id, CAST(len(regexp_extract_all(text, '[.;:!?]\\s+')) + 1 AS INTEGER) AS n FROM documents",
 }
 ORACLE["heading_lines_whole"] = ORACLE["heading_lines"]

@@ -1,6 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import text as fn
+from tessel.operators import excerpts
 from tessel.operators import lines as op
 from tessel.operators.chunking import Chunker, blocks_of, chunk_documents, heading, kind_of
 from tessel.operators.html import to_blocks
@@ -56,11 +60,38 @@ def test_line_rules(spark):
 
 def test_highlight(spark):
     d = spark.createDataFrame([("abc def ghi", ["def", "ef g", "zz"]), (None, ["a"]), ("abc", [])], "t string, e array<string>")
-    got = [r[0] for r in d.select(op.highlight("t", "e")).collect()]
+    got = [r[0] for r in d.select(excerpts.highlight("t", "e")).collect()]
     assert [(s["highlighted"], s["text"]) for s in got[0]] == [(False, "abc "), (True, "def"), (False, " ghi")]
     assert got[1] is None and len(got[2]) == 1
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 0])
+def test_excerpts_in_texts(spark, at_once):
+    r = random.Random(3)
+    word = lambda: r.choice(["ab", "ba", "b", "über", "😀x"])
+    texts = [(i, " ".join(word() for _ in range(r.randint(0, 60)))) for i in range(60)] + [(100, None), (None, "ab"), (101, ""), (102, "ab " * 30_000 + "the end"), (0, "again ab")]
+    wanted = [(i, " ".join(word() for _ in range(r.randint(1, 4)))[r.randint(0, 1) :]) for i in range(50)] + [(90, ""), (91, None), (92, "ab " * 40 + "ab the"), (93, "the end"), (94, "ab " * 40 + "ab no"), (95, "the end"), (None, "ab")]
+    t, e = spark.createDataFrame(texts, "doc_id int, text string").repartition(3), spark.createDataFrame(wanted, "item_id int, excerpt string").withColumn("place", F.lit(7))
+    want = {(d, i, x, text.index(x)) for d, text in texts for i, x in wanted if None not in (d, i, text) and x and x in text}
+    places = excerpts.excerpt_places(t, e, at_once)
+    assert set(map(tuple, places.collect())) == want and places.count() == len(want)
+    one = t.where("doc_id IS NOT NULL AND text NOT LIKE 'again%'")
+    got = {}
+    for x in excerpts.highlighted(one, excerpts.excerpt_places(one, e, at_once)).orderBy("doc_id", "pos").collect():
+        got.setdefault(x["doc_id"], []).append((x["highlighted"], x["text"]))
+    for d, text in texts[:-1]:
+        found, out, at = sorted((p, i, len(x)) for k, i, x, p in want if k == d and text == dict(texts[:-1])[k] and text.find(x) == p), [], 0
+        for p, _, n in found:
+            if p >= at:
+                out += [(False, text[at:p])] * (p > at) + [(True, text[p : p + n])]
+                at = p + n
+        if found:
+            assert got[d] == out + [(False, text[at:])] * (at < len(text))
+        else:
+            assert d not in got
+    assert not excerpts.excerpt_places(t, e.limit(0), at_once).count() and not excerpts.excerpt_places(t.limit(0), e, at_once).count()
+
+
 def test_html():
     assert to_blocks("<table><tr><td colspan=2>GOIÁS 1</td><td>Acatar</td></tr></table>")[0].split("\n")[0] == "| GOIÁS 1 |  | Acatar |"
     assert to_blocks("<table><tr><td>a|b</td></tr></table>")[0].startswith("| a\\|b |")
