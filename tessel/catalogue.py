@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES: tuple[str, ...] = ("vectors", "catalog", "graph", "search", "notify", "state", "evaluate", "manifest", "texts", "ingest", "portal", "measure", "stores")
+_MODULES: tuple[str, ...] = ("vectors", "catalog", "graph", "search", "notify", "state", "evaluate", "manifest", "texts", "ingest", "portal", "measure", "stores", "walk")
 
 
 def _gather(name: str) -> dict:

@@ -145,7 +145,7 @@ def known_pairs(spark, d):
     """The scores of named pairs (each family and the next), the largest score of all, and whether the pair has it. Null where a family is unknown."""
     fam = _fam(spark, d)
     known = fam.select(F.col("family").alias("a"), (F.col("family") + 1).alias("b"))
-    return pair_scores(fam, known).select("a", "b", F.round("score", 6).alias("score"), F.round("largest", 6).alias("largest"), (F.round("score", 9) == F.round("largest", 9)).alias("is_largest"))
+    return pair_scores(fam, known).select("a", "b", F.round("score", 6).alias("score"), F.round("largest", 6).alias("largest"), F.coalesce(F.round("score", 9) == F.round("largest", 9), F.lit(False)).alias("is_largest"))
 
 
 def pair_scores(families: DataFrame, known: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, score FROM r WHER
 SELECT n.bucket, count(a) AS n, round(min(exact), 6) AS low, round(max(exact), 6) AS high, round(avg(exact), 6) AS mean, round(median(exact), 6) AS median
 FROM (VALUES ('same'), ('type'), ('different'), ('none')) n(bucket) LEFT JOIN k ON k.bucket = n.bucket GROUP BY 1""",
     "known_pairs": _PAIRS + """, m AS (SELECT max(exact) AS largest FROM u)
-SELECT f.family AS a, f.family + 1 AS b, score, round(largest, 6) AS largest, round(exact, 9) = round(largest, 9) AS is_largest FROM (SELECT DISTINCT family FROM f) f LEFT JOIN u ON u.a = f.family AND u.b = f.family + 1 CROSS JOIN m""",
+SELECT f.family AS a, f.family + 1 AS b, score, round(largest, 6) AS largest, coalesce(round(exact, 9) = round(largest, 9), false) AS is_largest FROM (SELECT DISTINCT family FROM f) f LEFT JOIN u ON u.a = f.family AND u.b = f.family + 1 CROSS JOIN m""",
     "named_neighbors": _NAMED + """
 SELECT src, dst, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) AS rank FROM p) WHERE rank <= 3""",
