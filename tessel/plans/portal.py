@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.functions import text as fn
-from tessel.operators import portal, routes
+from tessel.operators import links, portal, routes
 
 
 def _t(spark, d, name):
@@ -199,3 +199,27 @@ SELECT count(*) AS documents, count(*) FILTER (WHERE n = 0) AS errors, count(*)
  'Ação-Única-nº-' || regexp_replace(p_name, '[^A-Za-z0-9._-]', '-', 'g') || '---ÑÜé' AS file, 'documento' AS empty FROM part""",
     "rounding": "SELECT l_orderkey, l_linenumber, round_even((l_orderkey % 40) / 4, 0) AS even, CAST(floor((l_orderkey % 40) / 4 + 0.5) AS BIGINT) AS up FROM lineitem",
 }
+
+
+def page_links(spark, d):
+    """Every link of every page, in order."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("page"), "url", "html")
+    return links.links_of(links.read_pages(pages)).select("page", "pos", "label", "href")
+
+
+def saved_process_hits(spark, d):
+    """Process hits of the pages themselves: two numbers are put into each page, one of them with a link of its own, and one into a link's label."""
+    n = lambda k: F.format_string("48500.%06d/2024-%02d", (F.col("page_id") * 7 + k) % 1000, F.col("page_id") % 90 + 10)
+    extra = F.concat(F.lit("<article><p>Processos "), n(0), F.lit(" e&nbsp;"), n(1), F.lit('</p><a href="a?n=0"><b>'), n(0), F.lit('</b></a><a href="/root">'), n(2), F.lit(" (novo)</a>"))
+    pages = spark.read.parquet(f"{d}/pages.parquet").where("html IS NOT NULL").select(F.col("page_id").alias("page"), F.format_string("https://host/dir/p%d.html?x=/1", "page_id").alias("url"), F.replace("html", F.lit("<article>"), extra).alias("html"))
+    read = links.read_pages(pages)
+    return portal.process_hits(read, links.links_of(read)).select("page", "process", F.coalesce("href", F.lit("-")).alias("href"))
+
+
+QUERIES |= {f.__name__: f for f in (page_links, saved_process_hits)}
+ORACLE |= {
+    "page_links": """WITH x AS (SELECT page_id AS page, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), 1) - 1 AS pos FROM pages)
+SELECT page, CAST(pos AS INTEGER) AS pos, replace(trim(regexp_extract(a, '>([^<]*)<', 1)), '&amp;', '&') AS label, replace(regexp_extract(a, '"([^"]*)"', 1), '&amp;', '&') AS href FROM x""",
+    "saved_process_hits": """WITH p AS (SELECT page_id AS page, k, '48500.' || lpad(CAST((page_id * 7 + k) % 1000 AS VARCHAR), 6, '0') || '/2024-' || lpad(CAST(page_id % 90 + 10 AS VARCHAR), 2, '0') AS process FROM pages, range(3) t(k) WHERE contains(html, '<article>'))
+SELECT page, process, CASE WHEN k = 0 THEN 'https://host/dir/a?n=0' ELSE '-' END AS href FROM p""",
+}
