@@ -49,8 +49,8 @@ def _first(places: Column, least: Column, other: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(places, lambda p: p >= least)), other)
 
 
-def filter_lines(text: Column, patterns: tuple[str, ...] = LINE_PATTERNS, literals: tuple[str, ...] = (), contains: tuple[str, ...] = (), rubrics: tuple[str, ...] = ()) -> Column:
-    """The text without boilerplate; null stays null.
+def filter_lines(text: Column, patterns: tuple[str, ...] = LINE_PATTERNS, literals: tuple[str, ...] = (), contains: tuple[str, ...] = (), rubrics: tuple[str, ...] = (), own: Column | None = None) -> Column:
+    """The text without boilerplate; null stays null. ``own``: a struct of the arrays literals, contains and rubrics, further rules of the row itself.
 
     Every line is classified once. Lines that match a pattern, are a literal or contain a given string go, and of a line with a
     rubric behind a gap the rubric goes. Three kinds of lines begin a block: a garbled stamp reaches to its last line (else to the
@@ -67,10 +67,16 @@ def filter_lines(text: Column, patterns: tuple[str, ...] = LINE_PATTERNS, litera
             gone = gone | _like(s, p)
         for c in contains:
             gone = gone | s.contains(c)
-        marked = _like(x, rubric) if rubric else F.lit(False)
+        marked, kept = (_like(x, rubric), F.regexp_extract(x, "(?Ud)" + rubric, 1)) if rubric else (F.lit(False), x)
+        if own is not None:
+            gone = gone | F.array_contains(own["literals"], s) | F.exists(own["contains"], s.contains)
+            tail = F.concat(F.lit(r"(?Ud)^(.*\S)\s{6,}(?:"), F.array_join(F.transform(own["rubrics"], lambda r: F.concat(F.lit(r"\Q"), r, F.lit(r"\E"))), "|"), F.lit(r")\s*$"))
+            listed = (F.size(own["rubrics"]) > 0) & F.regexp_like(x, tail)
+            kept = F.when(marked, kept).when(listed, F.call_function("regexp_extract", x, tail, F.lit(1))).otherwise(x)
+            marked = marked | listed
         stamp = (s == STAMP_FIRST) & (F.lower(strip(F.get(lines, i + 1))) == STAMP_SECOND)
         kind = F.when(gone, _DROP).when(marked, 0).when(F.coalesce(stamp, F.lit(False)), _STAMP).when(_like(s, SIGNATURE), _SIGNATURE).when(_like(s, SIGNED_BY), _SIGNED_BY).otherwise(0)
-        kept = F.when(marked, F.regexp_extract(x, "(?Ud)" + rubric, 1)).otherwise(x) if rubric else x
+        kept = F.when(marked, kept).otherwise(x) if rubric or own is not None else x
         return F.struct(i.alias("i"), kept.alias("text"), kind.alias("kind"), (s == "").alias("blank"), _like(s, AUTHENTIC).alias("authentic"), _like(s, REFERENCE).alias("reference"), F.lower(s).contains(STAMP_LAST).alias("last"))
 
     def places(rows: Column, which: str) -> Column:

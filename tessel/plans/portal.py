@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessel.functions import text as fn
-from tessel.operators import links, portal, routes
+from tessel.operators import links, portal, routes, specs
+from tessel.sources import files
 
 
 def _t(spark, d, name):
@@ -223,3 +224,44 @@ SELECT page, CAST(pos AS INTEGER) AS pos, replace(trim(regexp_extract(a, '>([^<]
     "saved_process_hits": """WITH p AS (SELECT page_id AS page, k, '48500.' || lpad(CAST((page_id * 7 + k) % 1000 AS VARCHAR), 6, '0') || '/2024-' || lpad(CAST(page_id % 90 + 10 AS VARCHAR), 2, '0') AS process FROM pages, range(3) t(k) WHERE contains(html, '<article>'))
 SELECT page, process, CASE WHEN k = 0 THEN 'https://host/dir/a?n=0' ELSE '-' END AS href FROM p""",
 }
+
+
+def _three_pages(spark, d):
+    """Each document as three pages, a third of them without their second page's text."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    second = F.when(F.col("key") % 3 == 0, " 12 ").otherwise(F.substring("text", 201, 200))
+    return t.select("key", F.concat(F.substring("text", 1, 200), F.lit("\f"), second, F.lit("\f"), F.substring("text", 401, 200), F.lit("\f")).alias("text"))
+
+
+def page_classes(spark, d):
+    """Pages that need recognition, from raw listings alone: texts with form feeds, images (half of them masks) and page sizes."""
+    whole = _three_pages(spark, d)
+    kind, width = F.when(F.col("key") % 2 == 0, "image").otherwise("smask"), 100 * (F.col("key") % 30)
+    images = whole.select("key", F.format_string("page num type width\n----\n 1 0 %s %d 3300 rgb 3 8 jpx no 12 0 300 300 1M 1%%\n 3 1 image 560 480 rgb 3 8 jpx no 12 0 335 335 1M 1%%", kind, width).alias("text"))
+    sizes = whole.select("key", F.lit("Pages: 3\nPage    1 size: 612 x 792 pts\nPage    2 size: 595.5 x 842 pts (A4)\nPage    3 size: 612 x 792 pts").alias("text"))
+    pages = files.form_feed_pages(whole, "key", "text", F.lit(3))
+    scans = files.scanned_pages(files.page_images(images, "key", "text"), specs.page_sizes(sizes, "key", "text"), "key")
+    return files.degraded_pages(pages, scans, "key").select(F.col("key").alias("doc_id"), F.col("page").cast("int").alias("page"), "degraded")
+
+
+def spec_states(spark, d):
+    """What becomes of proposals for all documents: a quarter of the contents has one in the cache; the others get a good answer, a bad one or a failure."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = F.length("text") % 4
+
+    def ask(rows):
+        good = F.to_json(F.struct(F.array(F.length("text")).alias("drop_pages"), F.lit("why").alias("notes")))
+        return rows.select("spec_key", F.when(kind == 1, good).when(kind == 2, F.lit('{"drop_pages": ["1"], "notes": "n"}')).alias("answer"), F.when(kind == 3, "no credit").alias("error"))
+
+    cache = docs.where(kind == 0).select(specs.spec_key(F.col("text"), "v1", "model").alias("spec_key"), specs.checked_spec(F.lit('{"notes": "old"}')).getField("spec").alias("spec"))
+    found, _ = specs.propose(docs, cache, ask, "v1", "model")
+    return found.select(F.col("key").alias("doc_id"), "state", F.coalesce("reason", F.lit("-")).alias("reason"), F.coalesce(F.get("spec.drop_pages", F.lit(0)), F.lit(-1).cast("long")).alias("page"))
+
+
+QUERIES |= {f.__name__: f for f in (page_classes, spec_states)}
+ORACLE |= {
+    "page_classes": """WITH p AS (SELECT doc_id, p.page, CASE p.page WHEN 1 THEN substr(coalesce(text, ''), 1, 200) WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN ' 12 ' ELSE substr(coalesce(text, ''), 201, 200) END ELSE substr(coalesce(text, ''), 401, 200) END AS t FROM documents, (VALUES (1), (2), (3)) p(page))
+SELECT doc_id, page, length(regexp_replace(t, '\\s', '', 'g')) < 20 OR (page = 1 AND doc_id % 2 = 0 AND 24 * (doc_id % 30) >= 0.6 * 612) AS degraded FROM p""",
+    "spec_states": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE n % 4 WHEN 0 THEN 'cached' WHEN 1 THEN 'proposed' ELSE 'fallback' END AS state,
+  CASE n % 4 WHEN 2 THEN 'drop_pages is no list of whole numbers: ["1"]' WHEN 3 THEN 'no credit' ELSE '-' END AS reason, CASE WHEN n % 4 = 1 THEN n ELSE -1 END AS page FROM d""",
+}

@@ -210,9 +210,9 @@ def form_feed_pages(texts: DataFrame, key: str, text: str, pages: Column) -> Dat
 
 
 def page_images(listing: DataFrame, key: str, text: str) -> DataFrame:
-    """page, width, height, x_ppi and y_ppi from an image listing (a header, a rule, then one image a line)."""
+    """page, width, height, x_ppi and y_ppi from an image listing (a header, a rule, then one image a line); masks of images are none."""
     lines = listing.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line")).where("i >= 2")
-    c = lines.select(key, F.split(F.trim("line"), r"\s+").alias("c")).where(F.size("c") >= 14)
+    c = lines.select(key, F.split(F.trim("line"), r"\s+").alias("c")).where((F.size("c") >= 14) & (F.get("c", F.lit(2)) == "image"))
     n = lambda i: F.get("c", F.lit(i)).try_cast("int")
     return c.select(key, n(0).alias("page"), n(3).alias("width"), n(4).alias("height"), n(12).alias("x_ppi"), n(13).alias("y_ppi")).where("page IS NOT NULL")
 
