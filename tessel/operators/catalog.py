@@ -58,3 +58,15 @@ def numbered(rows: DataFrame, by: str, then: str, pos: str = "pos") -> DataFrame
     before = n.select("_by", (F.sum("_n").over(Window.orderBy(F.desc("_by"))) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(then)))
     return rows.withColumn("_own", own).join(before, F.col(by).eqNullSafe(F.col("_by"))).withColumn(pos, (F.col("_before") + F.col("_own")).cast("int")).drop("_by", "_before", "_own")
+
+
+def opinion(versions: DataFrame, families: dict[str, object]) -> DataFrame:
+    """versions: family, version, day. One row: the face version of each named family, and n_<name>, how many versions it has. A family without versions is an error."""
+    own = versions.where(F.col("family").isin(*families.values()))
+    of = lambda k, c: F.when(F.col("family") == k, c)
+    counts = {f"n_{name}": F.count_if(F.col("family") == k) for name, k in families.items()}
+    faces = {name: F.max_by(of(k, F.col("version")), of(k, F.struct("day", -F.col("version")))) for name, k in families.items()}
+    row = own.agg(*(f.alias(n) for n, f in (faces | counts).items()))
+    lacking = F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(c[2:])) for c in counts]))
+    whole = lambda c: F.when(F.size(lacking) == 0, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("incomplete, no versions of: "), F.array_join(lacking, ", "))).cast(row.schema[c].dataType))
+    return row.select(*[whole(c).alias(c) for c in row.columns])

@@ -47,3 +47,18 @@ def by_process(results: DataFrame) -> DataFrame:
     g = results.withColumn("adherence", adherence).groupBy("request", F.coalesce("process", "family").alias("group"))
     out = g.agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("hits"), F.floor(F.avg("adherence") + 0.5).alias("coverage"), F.greatest(F.max("adherence"), F.lit(0)).alias("best"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy("first")))
+
+
+def nested_by_process(results: DataFrame) -> DataFrame:
+    """results: request, pos, process, family, version, chunk, score. A row for each request and process (its family where it has none), in order of the first hit: rank, lead (that
+    hit), adherence (its score * 100, half up), very_relevant (0.85 or more), and documents: its families in order of their first hits, each with all its hits.
+    ``average`` is the mean of a request's adherences, half up."""
+    hit = F.struct("pos", "version", "chunk", "score")
+    group = F.coalesce(F.col("process"), F.col("family")).alias("group")
+    families = results.groupBy("request", group, "family").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    one = F.struct(F.get("hits", F.lit(0))["pos"].alias("first"), "family", "hits")
+    out = families.groupBy("request", "group").agg(F.array_sort(F.collect_list(one)).alias("documents"))
+    lead = F.get(F.get("documents", F.lit(0))["hits"], F.lit(0))
+    out = out.withColumn("lead", lead).withColumn("adherence", F.floor(F.col("lead.score") * 100 + 0.5))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy("lead.pos")))
+    return out.withColumn("very_relevant", F.col("lead.score") >= 0.85).withColumn("average", F.floor(F.avg("adherence").over(Window.partitionBy("request")) + 0.5))

@@ -105,10 +105,7 @@ def families_without_versions(spark, d):
 
 def opinion_sheet(spark, d):
     """Counts and faces of three fixed families in one row."""
-    v = _versions(spark, d).where(F.col("family").isin(1, 2, 4))
-    pick = lambda k: F.max_by(F.when(F.col("family") == k, F.col("version")), F.when(F.col("family") == k, F.struct("day", -F.col("version"))))
-    n = lambda k: F.count_if(F.col("family") == k)
-    return v.agg(pick(1).alias("main"), pick(2).alias("second"), pick(4).alias("third"), n(1).alias("n_main"), n(2).alias("n_second"), n(4).alias("n_third"))
+    return op.opinion(_versions(spark, d), {"main": 1, "second": 2, "third": 4})
 
 
 _V = "SELECT o_custkey AS family, o_orderkey AS version, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS kind FROM orders"

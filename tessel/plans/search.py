@@ -50,6 +50,14 @@ def search_by_process(spark, d):
     return op.by_process(_results(spark, d)).select("request", "group", "place", "hits", "coverage", "best")
 
 
+def search_nested(spark, d):
+    """Processes with their families and all hits of these, as a text."""
+    n = op.nested_by_process(_results(spark, d))
+    hits = lambda x: F.array_join(F.transform(x["hits"], lambda h: h["version"].cast("string")), "+")
+    documents = F.array_join(F.transform("documents", lambda x: F.concat(x["family"], F.lit(":"), hits(x))), ";")
+    return n.select("request", "group", "rank", "adherence", "very_relevant", documents.alias("documents"), "average")
+
+
 def search_frozen(spark, d):
     return op.freeze(_results(spark, d)).select("request", "total", F.array_join(F.transform("raw_hits", lambda x: x["version"].cast("string")), ",").alias("versions"))
 
@@ -83,7 +91,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, ver
 c AS (SELECT vec_id AS version, 'f' || label AS family, CASE WHEN label < 5 THEN 'p' || (label % 3) END AS process FROM embeddings WHERE label < 8),
 r AS (SELECT h.*, family, process, CAST(row_number() OVER (PARTITION BY request ORDER BY score DESC, version, chunk, hit_pos) - 1 AS INTEGER) AS pos FROM h JOIN c USING (version))"""
 
-QUERIES = {f.__name__: f for f in (search_resolve_order, search_page, cursor_roundtrip, search_by_process, search_frozen, replay_match, stale_flag, exact_query)}
+QUERIES = {f.__name__: f for f in (search_resolve_order, search_page, cursor_roundtrip, search_by_process, search_nested, search_frozen, replay_match, stale_flag, exact_query)}
 QUERIES |= {f"{f.__name__}_whole": f for f in (search_resolve_order, search_page, search_by_process, search_frozen, replay_match, exact_query)}
 ORACLE = {
     "search_resolve_order": f"WITH {_H} SELECT request, pos, version, chunk, score, family FROM r",
@@ -92,6 +100,10 @@ ORACLE = {
     "search_by_process": f"""WITH {_H}, g AS (SELECT request, coalesce(process, family) AS "group", min(pos) AS first, count(*) AS hits,
   CAST(floor(avg(floor(score * 100 + 0.5)) + 0.5) AS BIGINT) AS coverage, CAST(greatest(max(floor(score * 100 + 0.5)), 0) AS BIGINT) AS best FROM r GROUP BY 1, 2)
 SELECT request, "group", CAST(row_number() OVER (PARTITION BY request ORDER BY first) AS INTEGER) AS place, hits, coverage, best FROM g""",
+    "search_nested": f"""WITH {_H}, f AS (SELECT request, coalesce(process, family) AS g, family, min(pos) AS first, family || ':' || string_agg(version, '+' ORDER BY pos) AS t, arg_min(score, pos) AS score FROM r GROUP BY 1, 2, 3),
+n AS (SELECT request, g, min(first) AS first, string_agg(t, ';' ORDER BY first) AS documents, arg_min(score, first) AS score FROM f GROUP BY 1, 2)
+SELECT request, g AS "group", CAST(row_number() OVER (PARTITION BY request ORDER BY first) AS INTEGER) AS rank, CAST(floor(score * 100 + 0.5) AS BIGINT) AS adherence, score >= 0.85 AS very_relevant, documents,
+  CAST(floor(avg(floor(score * 100 + 0.5)) OVER (PARTITION BY request) + 0.5) AS BIGINT) AS average FROM n""",
     "search_frozen": f"WITH {_H} SELECT request, count(*) AS total, string_agg(version, ',' ORDER BY pos) AS versions FROM r GROUP BY 1",
     "replay_match": f"WITH {_H} SELECT request, count(*) FILTER (WHERE family = 'f0') = 0 AS matches FROM r GROUP BY 1",
     "stale_flag": "SELECT year(o_orderdate) AS year, arg_max(o_orderkey, (o_orderdate, o_orderkey)) <> (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders) AS stale FROM orders GROUP BY 1",

@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessel.functions.text import collapse_space, iso_date
-
 ZIP_DEPTH, CHUNK_BYTES = 5, 64 << 20
 #: Columns of an index CSV and of a source manifest's documents.
 INDEX_COLUMNS = ("categoria", "processo", "tipo_processo", "ordem", "sei", "tipo_documento", "data", "unidade", "arquivo", "bytes", "status")
@@ -124,6 +122,20 @@ def with_texts(documents: DataFrame, texts: DataFrame, expected: int | None = No
     return out
 
 
+def markdown_corpus(spark: SparkSession, documents: DataFrame, folder: str, corpus_version: str, expected: int | None = None) -> DataFrame:
+    """documents: of ``corpus_documents``. Their texts are those of the Markdown files that stand where source_pdf_relpath says, with .md for .pdf, below the folder. Another number
+    of documents than expected, a document without a path, and one without a file are errors."""
+    if expected is not None and (n := documents.count()) != expected:
+        raise ValueError(f"expected {expected} documents, found {n}")
+    inner = re.sub(r"^file:/+", "/", folder.rstrip("/"))
+    at = F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^.*?" + re.escape(inner) + "/", "")
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("value").alias("found"), at.alias("at"))
+    met = documents.withColumn("at", F.regexp_replace("source_pdf_relpath", r"\.pdf$", ".md")).join(files, "at", "left")
+    why = F.when(F.coalesce("source_pdf_relpath", F.lit("")) == "", "no path of: ").otherwise("no file of: ")
+    text = F.when(F.col("found").isNotNull(), F.col("found")).otherwise(F.raise_error(F.concat(why, F.col("document_version"))).cast("string"))
+    return met.withColumns({"text": text, "corpus_version": F.lit(corpus_version)}).select(*documents.columns)
+
+
 def relations(spark: SparkSession, path: str) -> DataFrame:
     e = "source_id:string,source_kind:string,target_id:string,target_kind:string,type:string,origin:string,status:string,evidence:struct<document_version:string,locator:string>"
     rows = spark.read.schema(f"provisional boolean, relations array<struct<{e}>>").option("multiLine", True).json(path)
@@ -171,21 +183,6 @@ def markdown_table(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     return rows.select(*[F.get("c", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
-def protocol_rows(pages: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
-    """Number, type, date and unit from rows of a portal's Markdown table, in order."""
-    lines = pages.select(page, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    pattern = r"^\|\s*(\d{6,8})\s*\|\s*([^|]+?)\s*\|\s*(\d{2}/\d{2}/\d{4})\s*\|(?:\s*[^|]*\|)?\s*([^|]*?)\s*\|"
-    part = lambda n: F.regexp_extract("line", pattern, n)
-    return lines.where(F.col("line").rlike(pattern)).select(page, "pos", part(1).alias("protocol"), collapse_space(part(2)).alias("document_type"), iso_date(part(3)).alias("document_date"), part(4).alias("unit"))
-
-
-def process_hits(pages: DataFrame, page: str = "page", text: str = "text", links: DataFrame | None = None) -> DataFrame:
-    """Distinct process numbers of result pages, first place wins; link: what the page's link of that label leads to."""
-    found = pages.select(page, F.posexplode(F.expr(f"regexp_extract_all({text}, '(\\\\d{{5}}\\\\.\\\\d{{6}}/\\\\d{{4}}-\\\\d{{2}})', 1)")).alias("pos", "process"))
-    first = found.groupBy(page, "process").agg(F.min("pos").alias("pos"))
-    return first.join(links, [page, "process"], "left") if links is not None else first
-
-
 def fetch_plan(documents: DataFrame, locator: str = "locator") -> DataFrame:
     """What is to be done with each locator: metadata only, download or copy."""
     at = F.lower(F.col(locator))

@@ -113,9 +113,6 @@ def test_files(spark, tmp_path):
     assert [r["embedding"] for r in cache.collect()] == [[3.0, 4.0]]
     plan = files.fetch_plan(spark.createDataFrame([("missing://x",), ("https://x",), ("/x",)], "locator string"))
     assert [r["action"] for r in plan.collect()] == ["metadata_only", "download", "copy"]
-    pages = spark.createDataFrame([(1, "| 0012345 | Carta  1 | 01/02/2026 | x | SFT |\nProcesso 48500.123456/2024-53 e 48500.123456/2024-53")], "page int, text string")
-    assert files.protocol_rows(pages).first()["document_date"] == "2026-02-01"
-    assert files.process_hits(pages).count() == 1
     ff = files.form_feed_pages(spark.createDataFrame([(1, "a\fb\f", 2)], "k int, t string, n int"), "k", "t", F.col("n"))
     assert [(r["page"], r["text"]) for r in ff.collect()] == [(1, "a"), (2, "b")]
 
@@ -129,3 +126,33 @@ def test_stream(spark, tmp_path):
     q = events.first_notifications(s).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_opinion_of_whole_families(spark):
+    v = spark.createDataFrame([(1, 10, "2024-01-01"), (1, 11, "2024-02-01"), (2, 20, "2024-01-01"), (9, 90, "2024-01-01")], "family int, version int, day string")
+    assert catalog.opinion(v, {"main": 1, "other": 2}).first().asDict() == {"main": 11, "other": 20, "n_main": 2, "n_other": 1}
+    with pytest.raises(Exception, match="no versions of: gone"):
+        catalog.opinion(v, {"main": 1, "gone": 7}).collect()
+
+
+def test_nested_answer(spark):
+    hits = [("q", 0, None, "f1", "v1", 0, 0.855), ("q", 1, "p", "f2", "v2", 0, 0.8), ("q", 2, "p", "f3", "v3", 1, 0.7), ("q", 3, "p", "f2", "v2", 4, 0.61), ("q", 4, None, "f1", "v1", 0, 0.5)]
+    got = search.nested_by_process(spark.createDataFrame(hits, "request string, pos int, process string, family string, version string, chunk int, score double")).orderBy("rank").collect()
+    assert [(r["group"], r["adherence"], r["very_relevant"], r["average"]) for r in got] == [("f1", 86, True, 83), ("p", 80, False, 83)]
+    assert [[(d["family"], [(h["version"], h["chunk"]) for h in d["hits"]]) for d in r["documents"]] for r in got] == [[("f1", [("v1", 0), ("v1", 0)])], [("f2", [("v2", 0), ("v2", 4)]), ("f3", [("v3", 1)])]]
+
+
+def test_markdown_corpus(spark, tmp_path):
+    docs = [{"document_id": "d", "document_version": f"v{i}", "family_id": "f", "source_pdf_relpath": p} for i, p in enumerate(("a b/x+1.pdf", "c.pdf"))]
+    (tmp_path / "c.json").write_text(json.dumps({"corpus_version": "demo", "documents": docs}))
+    (tmp_path / "md" / "a b").mkdir(parents=True)
+    (tmp_path / "md" / "a b" / "x+1.md").write_text("first\n\ntext")
+    (tmp_path / "md" / "c.md").write_text("second")
+    rows = files.corpus_documents(spark, str(tmp_path / "c.json"))
+    real = files.markdown_corpus(spark, rows, str(tmp_path / "md"), "real", 2)
+    assert sorted((r["document_version"], r["text"], r["corpus_version"]) for r in real.collect()) == [("v0", "first\n\ntext", "real"), ("v1", "second", "real")]
+    with pytest.raises(ValueError):
+        files.markdown_corpus(spark, rows, str(tmp_path / "md"), "real", 3)
+    (tmp_path / "md" / "c.md").unlink()
+    with pytest.raises(Exception, match="no file of: v1"):
+        files.markdown_corpus(spark, rows, str(tmp_path / "md"), "real", 2).collect()
