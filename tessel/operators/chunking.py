@@ -11,7 +11,7 @@ differ from it while the structure rules do not. Each document is read by one fu
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -22,6 +22,8 @@ _TOKEN = re.compile(r"\w+|[^\w\s]")
 _MARKER = re.compile(r"^<!--\s*page:(\d+)\s*-->\s*$")
 _GAP = re.compile(r"\S {2,}\S")
 _SENTENCE = re.compile(r"(?<=[.;:!?])\s+")
+#: From the white space before the last word on, and up to the white space behind the first one; None where there is no such place.
+_LAST_WORD, _FIRST_WORD = re.compile(r"(?<=\S)\s+\S+\s*\Z"), re.compile(r"\s*\S+(?=\s)")
 SCHEMA = "key string, chunk_index int, chunk_id string, section string, page_start int, page_end int, token_count int, text string"
 
 
@@ -37,6 +39,7 @@ class Block:
     last: int | None
     text: str = field(init=False)
     n: int = 0  # tokens, as soon as a chunker has counted them
+    joined: tuple[Block, int] | None = None  # the block it was last put behind, and how many tokens the two have more or less for that
 
     def __post_init__(self):
         self.text = "\n".join(self.lines)
@@ -72,18 +75,34 @@ def blocks_of(markdown: str) -> list[Block]:
 
 
 class Chunker:
-    """``additive``: the tokens of texts joined by white space are those of the texts, so that every token is counted once; for tokenizers that
-    join across white space joined texts are counted anew."""
+    """``tokens``: the places of a text's tokens. How joined texts are counted:
 
-    def __init__(self, tokens: Callable[[str], list[tuple[int, int]]] = spans, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, additive: bool | None = None):
+    - ``additive``: their tokens are those of the texts. So for the default, which never joins across white space.
+    - ``by_words``: a text may be cut before white space that follows a word, and its tokens are those of both parts. So for tokenizers that look at words (with the white space
+      before them) one by one, as byte-level BPE does. What changes where two texts are joined are then the last word of one and the first of the other: these alone are counted again.
+    - else joined texts are counted anew, which takes long for long texts.
+    """
+
+    def __init__(self, tokens: Callable[[str], list[tuple[int, int]]] = spans, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, additive: bool | None = None, by_words: bool = False):
         self.tokens, self.target, self.most, self.overlap = tokens, target, most, overlap
-        self.additive = tokens is spans if additive is None else additive
+        self.additive, self.by_words = tokens is spans if additive is None else additive, by_words
 
     def count(self, text: str) -> int:
         return len(self.tokens(text))
 
-    def _sum(self, counts: Iterable[int], text: Callable[[], str]) -> int:
-        return sum(counts) if self.additive else self.count(text())
+    def seam(self, left: str, between: str, right: str) -> int:
+        """How many tokens left, between and right have together more than left and right alone."""
+        if self.additive or not left or not right:
+            return 0
+        if self.by_words:
+            last, first = _LAST_WORD.search(left), _FIRST_WORD.match(right)
+            left, right = left[last.start() :] if last else left, first[0] if first else right
+        return self.count(left + between + right) - self.count(left) - self.count(right)
+
+    def _behind(self, left: Block, right: Block) -> int:
+        if right.joined is None or right.joined[0] is not left:
+            right.joined = left, self.seam(left.text, "\n\n", right.text)
+        return right.joined[1]
 
     def tail(self, text: str) -> str:
         found = self.tokens(text)
@@ -110,11 +129,11 @@ class Chunker:
         held, n = lines[:1], head
         for row in lines[1:]:
             own = self.count(row)
-            if len(held) > 1 and self._sum((n, own), lambda: "\n".join([*held, row])) > self.most:  # noqa: B023
+            if len(held) > 1 and n + own + self.seam(held[-1], "\n", row) > self.most:
                 yield held
                 held, n = lines[:1], head
+            n += own + self.seam(held[-1], "\n", row)
             held.append(row)
-            n += own
         if len(held) > 1:
             yield held
 
@@ -122,13 +141,13 @@ class Chunker:
         held, n = "", 0
         for sentence in _SENTENCE.split(text):
             own = self.count(sentence)
-            longer = f"{held} {sentence}".strip() if held else sentence
-            if held and self._sum((n, own), lambda: longer) > self.most:  # noqa: B023
+            longer, more = (f"{held} {sentence}".strip(), own + self.seam(held, " ", sentence)) if held else (sentence, own)
+            if held and n + more > self.most:
                 yield held.split("\n")
                 end = self.tail(held)
-                longer, n = f"{end} {sentence}".strip(), self.count(end)
+                longer, n, more = f"{end} {sentence}".strip(), self.count(end), own + self.seam(end, " ", sentence)
             held = longer
-            n += own
+            n += more
         if held:
             yield held.split("\n")
 
@@ -141,7 +160,8 @@ class Chunker:
             return "\n\n".join(b.text for b in blocks)
 
         def size(*extra: Block) -> int:
-            return self._sum((b.n for b in (*held, *extra)), lambda: text_of([*held, *extra]))
+            blocks = [*held, *extra]
+            return sum(b.n for b in blocks) + (0 if self.additive else sum(map(self._behind, blocks, blocks[1:])))
 
         def flush(coming: Block | None) -> None:
             nonlocal held
