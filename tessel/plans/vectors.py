@@ -26,7 +26,7 @@ def family_vectors(chunks: DataFrame, family: str, vector: str) -> DataFrame:
 def neighbors(families: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest other families of each family, whatever type its key has; ties by family. k below 1 is an error."""
     vectors = families.select(F.col("family").alias("id"), "v", F.lit(0).alias("label"))
-    near = nearest(vectors, None, k, digits=9, own=False)
+    near = nearest(vectors, None, k, digits=12, own=False)
     return near.select(F.col("request").alias("src"), F.col("id").alias("dst"), "score", "rank")
 
 
@@ -113,9 +113,10 @@ def bucket_describe(spark, d):
     return described(p, "bucket", names)
 
 
-def described(pairs: DataFrame, bucket: str, names: DataFrame) -> DataFrame:
-    """names: all buckets. n, low, high, mean and median of each bucket's scores, rounded to six digits. The pairs are read twice and kept nowhere."""
-    found = tiles.measures(pairs, bucket, "score").select(bucket, "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean", "median")))
+def described(pairs: DataFrame, bucket: str, names: DataFrame, digits: int = 6) -> DataFrame:
+    """names: all buckets. n, low, high, mean and median of each bucket's scores, rounded to six digits (the median to ``digits``: that of an even number of scores with six digits has
+    seven). The pairs are read twice and kept nowhere."""
+    found = tiles.measures(pairs, bucket, "score").select(bucket, "n", *(F.round(c, 6).alias(c) for c in ("low", "high", "mean")), F.round("median", digits).alias("median"))
     return names.join(found, bucket, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
@@ -133,7 +134,7 @@ def band_describe(spark, d):
     """The same measures over the pairs of that band alone, by whether both families stand in the same hundred."""
     p = family_pairs(_named(spark, d), 0.3, 0.97, 6)
     near = (F.length("a") == F.length("b")) & (F.substring("a", 1, 6) == F.substring("b", 1, 6))
-    return described(p.withColumn("bucket", F.when(near, "near").otherwise("far")), "bucket", spark.createDataFrame([("near",), ("far",)], "bucket string"))
+    return described(p.withColumn("bucket", F.when(near, "near").otherwise("far")), "bucket", spark.createDataFrame([("near",), ("far",)], "bucket string"), digits=7)
 
 
 def largest_pair(spark, d):
@@ -193,6 +194,6 @@ SELECT src, dst, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
     "named_band": _NAMED + "SELECT src AS a, dst AS b, round(score, 6) AS score FROM p WHERE src < dst AND round(score, 6) >= 0.3 AND round(score, 6) < 0.97",
     "band_describe": _NAMED + """, u AS (SELECT round(score, 6) AS s, CASE WHEN length(src) = length(dst) AND substr(src, 1, 6) = substr(dst, 1, 6) THEN 'near' ELSE 'far' END AS bucket
   FROM p WHERE src < dst AND round(score, 6) >= 0.3 AND round(score, 6) < 0.97)
-SELECT n.bucket, count(s) AS n, min(s) AS low, max(s) AS high, round(avg(s), 6) AS mean, round(median(s), 6) AS median FROM (VALUES ('near'), ('far')) n(bucket) LEFT JOIN u ON u.bucket = n.bucket GROUP BY 1""",
+SELECT n.bucket, count(s) AS n, min(s) AS low, max(s) AS high, round(avg(s), 6) AS mean, round(median(s), 7) AS median FROM (VALUES ('near'), ('far')) n(bucket) LEFT JOIN u ON u.bucket = n.bucket GROUP BY 1""",
     "largest_pair": _PAIRS + "SELECT max(score) AS largest, count(*) AS pairs FROM u",
 }
