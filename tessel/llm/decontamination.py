@@ -12,12 +12,15 @@
    divided by the share of the passage that the space keeps, so that they are estimates of the cosine of the full vectors and exact for a
    copy. Words that no benchmark passage has weigh ``OUTSIDE`` in a window's squared length, as a leak often stands among rarer words. Windows
    that by their benchmark words can't reach the least cosine are left out first, by a bound that is never too low.
-5. Around each candidate the longest common subsequence of words is computed, with the whole item. A text is a leak if it has ``SURE`` of
+5. Beside longer surroundings a short item's cosine falls as the corpus, and with it the weight of rare words, grows. So items of at most
+   ``SHORT`` words have, besides, windows of about their own length that begin at each of their words, and a direction each (their own row): a
+   window is a candidate if it holds ``CONTAIN`` of the item's weight, whatever stands around.
+6. Around each candidate the longest common subsequence of words is computed, with the whole item. A text is a leak if it has ``SURE`` of
    the benchmark item in order, or ``LIKELY`` of it and ``ANSWER`` of the words of its last sentence.
 
 Benchmark items are taken in blocks of about ``ITEMS`` passages with a space each, and ``GROUP`` blocks share the two passes over the documents. Empty
-and null texts of either table match nothing. A benchmark item of a few words only matches texts that hold it whole. Rows that repeat are compared
-each, and each (document, item) is returned once. An empty table of either kind gives no rows. Extra columns are ignored.
+and null texts of either table match nothing. An item of one or two words only matches texts that hold it whole. Item ids are whole numbers; text ids are an error. Rows that repeat are compared
+each, and each (document, item) is returned once; ``cosine`` is the largest cosine, or share of a short item's weight, of its windows. An empty table of either kind gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ BUCKETS, STOP_SHARE, LEAST_OWN, PASSAGE, STRIDE = 1 << 18, 0.03, 8, 32, 16
 RANK, RANK_SHARE, KEPT, ITEMS, GROUP, SEED, COSINE, OUTSIDE = 32, 0.5, 0.4, 256, 12, 3, 0.4, 0.25
 SURE, LIKELY, ANSWER = 0.7, 0.6, 0.6
 WHOLE = 2 * PASSAGE
+SHORT, CONTAIN = 24, 0.45
+LENGTHS = (2, 3, 4, 6, 8, 12, 16, SHORT)  # windows for short items: 1.25 times the next of these
 MARKS = ".,;:!?\"'()[]"
 _CHUNK, _FAN, _SLICE = 8192, 256, 256
 
@@ -126,13 +131,33 @@ class Block:
             w = w[weight[_bucket(w)] > 0]
             np.add.at(r, np.searchsorted(self.vocabulary, w), weight[_bucket(w)])
         self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-
-    def find(self, w: np.ndarray) -> np.ndarray:
-        """Numbers of words in the vocabulary, its size for all others."""
-        if not len(self.vocabulary):
+        self._set_short()
+
+    def _set_short(self) -> None:
+        """Words of the items of at most SHORT words; by length their items and, for each word, its share of the weight of each of them."""
+        sizes = np.array([len(w) for w in self.words])
+        few = [i for i in np.flatnonzero((sizes > 0) & (sizes <= SHORT)).tolist() if self.weight[_bucket(self.words[i])].any()]
+        self.short_words = np.unique(np.concatenate([self.words[i] for i in few])) if few else np.zeros(0, np.uint64)
+        self.short_words = self.short_words[self.weight[_bucket(self.short_words)] > 0]
+        self.short = []
+        for low, length in zip((0, *LENGTHS), LENGTHS):
+            group = [i for i in few if low < sizes[i] <= length]
+            if not group:
+                continue
+            share = np.zeros((len(self.short_words), len(group)), np.float32)
+            for column, i in enumerate(group):
+                own, times = np.unique(self.words[i][self.weight[_bucket(self.words[i])] > 0], return_counts=True)
+                value = times * self.weight[_bucket(own)]
+                share[np.searchsorted(self.short_words, own), column] = value / (times * value).sum()
+            self.short.append((math.ceil(1.25 * length), group, share))
+
+    def find(self, w: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of words in the vocabulary (or in other sorted words), its size for all others."""
+        words = self.vocabulary if words is None else words
+        if not len(words):
             return np.zeros(len(w), np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == w, at, len(self.vocabulary))
+        at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+        return np.where(words[at] == w, at, len(words))
 
     def finish(self, y: np.ndarray, omega: np.ndarray) -> None:
         """From the Gram matrix times omega: leading directions, and those that the passages add. Sets space, queries and least."""
@@ -243,12 +268,12 @@ def common_subsequence(item: np.ndarray, words: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
-def _best_part(item: np.ndarray, words: np.ndarray, at: int) -> tuple[float, int, int]:
+def _best_part(item: np.ndarray, words: np.ndarray, at: int, reach: int = PASSAGE) -> tuple[float, int, int]:
     """The largest share of the item in order within a stretch of 1.25 times its length, near a place; and the stretch."""
     n = len(item)
     size, step = math.ceil(1.25 * n), max(1, n // 8)
     best = (0.0, 0, 0)
-    places = range(max(0, at - size), min(len(words), at + PASSAGE), step)
+    places = range(max(0, at - size), min(len(words), at + reach), step)
     for a in places if n <= WHOLE else (*places, min(at, len(words))):
         share = common_subsequence(item, words[a : a + size]) / n
         if share > best[0]:
@@ -286,21 +311,45 @@ def _candidates(block: Block, w: np.ndarray, place: np.ndarray, near: np.ndarray
             yield int(k[r]), q, min(float(score[r, q]), 1.0)
 
 
+def _short_candidates(block: Block, w: np.ndarray, near: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """Places, short items and the share (at least CONTAIN) of an item's weight in the window that begins there."""
+    at = block.find(w[near], block.short_words)
+    ok = at < len(block.short_words)
+    at, own = at[ok], near[ok]
+    if not len(own):
+        return
+    ends = first[np.searchsorted(first, own, side="right")]
+    for length, group, share in block.short:
+        most = share.max(axis=1)
+        begin = np.flatnonzero(most[at] > 0)
+        end = np.searchsorted(own, np.minimum(own[begin] + length, ends[begin]))
+        upto = np.concatenate([[0], np.cumsum(most[at], dtype=np.float64)])
+        keep = upto[end] - upto[begin] >= 0.999 * CONTAIN  # no item has more of its weight there
+        begin, end = begin[keep], end[keep]
+        for i in range(0, len(begin), 1024):
+            a, n = begin[i : i + 1024], end[i : i + 1024] - begin[i : i + 1024]
+            cut = np.cumsum(n) - n
+            p = np.arange(n.sum()) + np.repeat(a - cut, n)
+            score = np.add.reduceat(share[at[p]], cut, axis=0)
+            for r, q in zip(*(y.tolist() for y in np.nonzero(score >= CONTAIN))):
+                yield int(own[a[r]]), group[q], min(float(score[r, q]), 1.0)
+
+
 def search(docs: DataFrame, blocks: list[Block], cosine: float = COSINE) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of each leak."""
     held = docs.sparkSession.sparkContext.broadcast(blocks)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def test(block: Block, found: Iterator[tuple]) -> dict[tuple, tuple]:
-        """found: row, item, cosine, place and the text's words. The best of each (row, item) that is a leak."""
+        """found: row, item, cosine, place, the text's words and how far behind the place to look. The best of each (row, item) that is a leak."""
         rows: dict[tuple, tuple] = {}
         tried = set()
-        for d, q, score, place, words in found:
+        for d, q, score, place, words, reach in found:
             item = block.words[q]
-            if not len(item) or rows.get((d, q), (0, 0.0))[1] >= 1.0 or (len(item) > WHOLE and (d, q, place) in tried):
+            if not len(item) or rows.get((d, q), (0, 0.0))[1] >= 1.0 or (reach, d, q, place) in tried:
                 continue
-            tried.add((d, q, place))
-            share, a, b = _best_part(item, words, place)
+            tried.add((reach, d, q, place))
+            share, a, b = _best_part(item, words, place, reach)
             answer = float(np.isin(block.answers[q], words[a:b]).mean()) if len(block.answers[q]) else 1.0
             if (share >= SURE or (share >= LIKELY and answer >= ANSWER)) and share > rows.get((d, q), (0, 0.0))[1]:
                 rows[d, q] = (score, share, answer)
@@ -325,7 +374,11 @@ def search(docs: DataFrame, blocks: list[Block], cosine: float = COSINE) -> Data
                             if n > WHOLE:  # where the item would begin; hits of other passages that say about the same are tried once
                                 grid = max(1, n // 8)
                                 at = max(0, round((at - block.begin[p]) / grid) * grid)
-                            yield d, q, score, at, w[first[d] : first[d + 1]]
+                            yield d, q, score, at, w[first[d] : first[d + 1]], PASSAGE
+                        for p, q, score in _short_candidates(block, w, near, first):
+                            d, n = int(np.searchsorted(first, p, side="right") - 1), len(block.words[q])
+                            grid = max(1, n // 2)  # hits of neighbouring words are tried once
+                            yield d, q, score, (p - int(first[d])) // grid * grid, w[first[d] : first[d + 1]], n
 
                     rows = test(block, hits())
                     if rows:
