@@ -5,7 +5,7 @@ bundle (sum) of its trigrams, a language's prototype the bundle of its learned t
 cosine. Prototypes are compared after taking away their mean direction, which all languages share.
 
 Texts are lower-cased; every run of other characters than letters is one gap. A text that is null or has no letter is ``und``
-with score 0, as is every text if nothing could be learned. Ties go to the first language by code point. Rows that repeat count
+with score 0, as is every text if nothing could be learned. Empty tables give no rows. Ties go to the first language by code point. Rows that repeat count
 and are predicted each; extra columns are ignored; a null key is never held out.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessel.llm._store import table
 
 DIM, SEED, UNKNOWN, MOST_LANGS = 1024, 11, "und", 4096
-_GROUP = 250_000
+_GROUP, _TEXTS, _HELD = 250_000, 1024, 1 << 17  # characters and texts that are counted together; letters or trigrams that are remembered
 _ALPHA = None
 
 
@@ -62,6 +62,8 @@ class Space:
 
     def letters(self, points: np.ndarray, turn: int) -> np.ndarray:
         distinct, at = np.unique(points, return_inverse=True)
+        if len(self.known) > _HELD:
+            self.known = {}
         for p in distinct.tolist():
             if p not in self.known:
                 self.known[p] = (np.random.default_rng([self.seed, p]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1)
@@ -77,7 +79,7 @@ class Space:
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     begin, held = 0, 0
     for i, x in enumerate(texts):
-        if held and held + len(x) > _GROUP:
+        if i > begin and (held + len(x) > _GROUP or i - begin == _TEXTS):
             yield begin, i
             begin, held = i, 0
         held += len(x)
@@ -90,6 +92,14 @@ def learn_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", di
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums, counts = Space(dim, seed), {}, {}
+
+        def add(name: str) -> None:
+            held = counts.pop(name)
+            codes, n = np.fromiter(held, np.uint64, len(held)), np.fromiter(held.values(), np.float64, len(held))
+            total = sums.setdefault(name, np.zeros(dim))
+            for i in range(0, len(codes), 4096):
+                total += n[i : i + 4096] @ space.bind(codes[i : i + 4096])  # whole numbers, so exact in any order
+
         for batch in batches:
             texts, langs = [x or "" for x in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             for a, b in _groups(texts):
@@ -103,11 +113,10 @@ def learn_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", di
                     held = counts.setdefault(name, {})
                     for c, k in zip(distinct[seen].tolist(), row[seen].tolist()):
                         held[c] = held.get(c, 0) + k
-        for name, held in counts.items():
-            codes, n = np.fromiter(held, np.uint64, len(held)), np.fromiter(held.values(), np.float64, len(held))
-            sums[name] = np.zeros(dim)
-            for i in range(0, len(codes), 4096):
-                sums[name] += n[i : i + 4096] @ space.bind(codes[i : i + 4096])
+                    if len(held) > _HELD:
+                        add(name)
+        for name in [*counts]:
+            add(name)
         if sums:
             yield pa.record_batch({"lang": pa.array(list(sums)), "v": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
 
