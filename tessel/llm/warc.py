@@ -34,12 +34,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("7d5b0a52-5e0c-4b7e-9a55-1c7a0f0f6a01")
 
 
-def record_id(page_id: int | None, digest: str, kind: str = "response") -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{kind} {page_id} {digest}')}>"
+def record_id(page_id: int | None, digest: str, kind: str = "response", url: str | None = None, nth: int = 1) -> str:
+    """nth: the number of the record among those that are equal in all else."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{kind} {page_id} {digest} {nth}' + ('' if url is None else f' {url}'))}>"
 
 
 def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, body (null for revisits), payload_bytes, payload_digest, record_type, refers_to and refers_url of each page.
+    """page_id, url, body (null for revisits), payload_bytes, payload_digest, record_type, refers_to, refers_url and nth (number among equal rows) of each page.
 
     Bodies move once, to meet their decision; equal pages without page_id are counted before they move.
     """
@@ -69,6 +70,7 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
         F.when(F.col("response"), "response").otherwise("revisit").alias("record_type"),
         F.when(revisit & (F.col("first.k") < F.lit(_NO_KEY)), F.col("first.k")).alias("refers_to"),
         F.when(revisit, F.col("first.url")).alias("refers_url"),
+        "nth",
     )
 
 
@@ -87,15 +89,15 @@ def info(name: str, date: str = DATE) -> bytes:
     return _record(head, b"format: WARC File Format 1.1\r\n")
 
 
-def render(page_id, url, body, payload_bytes, digest, kind, refers_to, refers_url, date: str = DATE) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, kind)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}")]
+def render(page_id, url, body, payload_bytes, digest, kind, refers_to, refers_url, nth: int = 1, date: str = DATE) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, digest, kind, url, nth)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if page_id is not None:
         head.append(("X-Page-Id", page_id))
     if url is not None:
         head.append(("WARC-Target-URI", _uri(url)))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     if kind == "revisit":
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("WARC-Refers-To-Date", date)]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, url=refers_url)), ("WARC-Refers-To-Date", date)]
         if refers_url is not None:
             head.append(("WARC-Refers-To-Target-URI", _uri(refers_url)))
     else:
@@ -144,8 +146,8 @@ def write_warc(resolved: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
         if got:
             yield close()
 
-    cols = ["page_id", "url", "body", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url"]
-    rows = resolved.select(*cols).sortWithinPartitions("page_id", "url", "payload_digest", "record_type")
+    cols = ["page_id", "url", "body", "payload_bytes", "payload_digest", "record_type", "refers_to", "refers_url", "nth"]
+    rows = resolved.select(*cols).sortWithinPartitions("page_id", "url", "payload_digest", "record_type", "nth")
     return rows.mapInArrow(write, "file string, records long, bytes long")
 
 
