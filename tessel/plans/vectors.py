@@ -23,7 +23,7 @@ def family_vectors(chunks: DataFrame, family: str, vector: str) -> DataFrame:
     return whole.select("family", unit(F.col("p.s")).alias("v"))
 
 
-def neighbors(families: DataFrame, k: int = 10) -> DataFrame:
+def neighbors(families: DataFrame, k: int = 3) -> DataFrame:
     """The k nearest other families of each family, whatever type its key has; ties by family. k below 1 is an error."""
     vectors = families.select(F.col("family").alias("id"), "v", F.lit(0).alias("label"))
     near = nearest(vectors, None, k, digits=12, own=False)
