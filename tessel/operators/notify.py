@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 EVENTS = ("notification_generated", "notification_delivered", "notification_suppressed", "notification_opened", "email_digest_generated", "notification_delivered_email")
 
 
-def fan_out(preferences: DataFrame, documents: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every user with every document of one job. Preferences are one row a user; the job's documents are held by every task and so must be few:
-    more than ``most`` are an error, to be split over several jobs."""
-    if documents.limit(most + 1).count() > most:
+def fan_out(preferences: DataFrame, documents: DataFrame, most: int | None = None) -> DataFrame:
+    """Every user with every document of one job. Preferences are one row a user. Of either side there may be any number: Spark sends a small one to all
+    tasks, and deals both in blocks if none is small. A caller may set a limit: more than ``most`` documents are an error then."""
+    if most is not None and documents.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} documents in a job")
-    return preferences.crossJoin(F.broadcast(documents))
+    return preferences.crossJoin(documents)
 
 
 def split_new(wanted: DataFrame, existing: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
