@@ -51,11 +51,23 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) -> D
     return both.select(*[F.coalesce(c, f"n_{c}").alias(c) for c in keys], *[pick(c).alias(c) for c in values])
 
 
+def unique_targets(references: DataFrame, targets: DataFrame) -> DataFrame:
+    """references: number, year, suffix; targets: target, number, year, suffix. References that exactly one target fits, with it: numbers and years
+    are equal, suffixes equal or one missing.
+
+    Targets are reduced to the smallest and largest of each key first, so that a reference meets at most two rows, however many targets fit it."""
+    ends = lambda name, c: (F.min(c).alias(f"_least_{name}"), F.max(c).alias(f"_most_{name}"))
+    bare = F.when(F.col("suffix").isNull(), F.col("target"))
+    every = targets.groupBy(F.col("number").alias("_n"), F.col("year").alias("_y")).agg(*ends("any", F.col("target")), *ends("bare", bare))
+    own = targets.where("suffix IS NOT NULL").groupBy(F.col("number").alias("_m"), F.col("year").alias("_z"), F.col("suffix").alias("_s")).agg(*ends("own", F.col("target")))
+    found = references.join(every, (F.col("number") == F.col("_n")) & (F.col("year") == F.col("_y")))
+    found = found.join(own, (F.col("number") == F.col("_m")) & (F.col("year") == F.col("_z")) & (F.col("suffix") == F.col("_s")), "left")
+    least = F.when(F.col("suffix").isNull(), F.col("_least_any")).otherwise(F.least("_least_bare", "_least_own"))
+    most = F.when(F.col("suffix").isNull(), F.col("_most_any")).otherwise(F.greatest("_most_bare", "_most_own"))
+    return found.select(*references.columns, least.alias("target"), most.alias("_top")).where("target = _top").drop("_top")
+
+
 def resolve_unique(references: DataFrame, targets: DataFrame) -> DataFrame:
-    """references: family, number, year, suffix; targets: target, number, year, suffix. A reference resolves if numbers and years are
-    equal, suffixes equal or one missing, and exactly one other family fits."""
-    r, t = references.alias("r"), targets.alias("t")
-    fits = (F.col("r.number") == F.col("t.number")) & (F.col("r.year") == F.col("t.year")) & (F.col("r.suffix").isNull() | F.col("t.suffix").isNull() | (F.col("r.suffix") == F.col("t.suffix")))
-    found = r.join(t, fits).select("r.*", "t.target")
-    one = found.groupBy(*references.columns).agg(F.min("target").alias("target"), F.max("target").alias("top"))
-    return one.where((F.col("target") == F.col("top")) & (F.col("target") != F.col("family"))).drop("top")
+    """references: family, number, year, suffix; targets: target, number, year, suffix. A reference resolves if exactly one target fits, see
+    ``unique_targets``, and it is another family."""
+    return unique_targets(references, targets).where("target <> family").distinct()

@@ -36,9 +36,9 @@ def reference_edges(cited: DataFrame, versions: DataFrame, catalogue: DataFrame)
     A citation leads to the one family of the catalogue whose identifier fits it; none if several do, or the family itself."""
     kind = F.col("kind") if "kind" in cited.columns else F.lit(None).cast("string")
     refs = cited.withColumn("type", F.when(kind.isin(*EXPLICIT), kind).otherwise("referencia")).withColumn("k", notice_key(F.col("identifier"))).where("k IS NOT NULL")
-    refs = refs.join(versions.select("version", "family"), "version").select("family", "k.number", "k.year", "k.suffix", "version", "locator", "pos", "type")
+    refs = refs.select("k.number", "k.year", "k.suffix", "version", "locator", "pos", "type")
     known = catalogue.withColumn("k", notice_key(F.col("document_id"))).where("k IS NOT NULL").select(F.col("family").alias("target"), "k.number", "k.year", "k.suffix").distinct()
-    found = graph.resolve_unique(refs, known)
+    found = graph.unique_targets(refs, known).join(versions.select("version", "family"), "version").where("target <> family")  # the family of what is found only
     edges = found.select(F.col("family").alias("source"), "target", "type", F.lit("explicit").alias("origin"), F.lit("confirmed").alias("status"), F.lit(None).cast("double").alias("score"), F.col("version").alias("evidence_version"), F.col("locator").alias("evidence_locator"), "pos")
     return graph.first_wins(edges, EDGE_KEY, [F.col("evidence_version"), F.col("evidence_locator"), F.col("pos")]).drop("pos")
 

@@ -20,6 +20,7 @@ def _two_jobs(spark, d) -> Tables:
     """Orders of two remainders arrive in two jobs, half of the first again; between them a user rejects some edges."""
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("family"), F.col("o_orderpriority").alias("document_id"))
     edges = ingest._derived(spark, d).select("source", "target", "type", "origin", "status", "score", "evidence_version", "evidence_locator")
+    edges = written(edges, "edges")[0]  # both jobs read them
     users = lambda n: _t(spark, d, "nation").where(F.col("n_nationkey") < n).select(F.col("n_nationkey").alias("user_id"))
     tables = Tables(spark, new_folder(spark, "catalogue"))
     ingestion.create(tables, "long", "long", "int", buckets=4)
