@@ -25,9 +25,18 @@ def citations(chunks: DataFrame, version: str = "version", locator: str = "locat
 
 def notice_key(text: Column) -> Column:
     """number, year and suffix (null if there is none) of the first notice in a text; null without one."""
+    return F.when(text.rlike(NOTICE_KEY), _key_parts(text))
+
+
+def _key_parts(text: Column) -> Column:
     part = lambda n: F.regexp_extract(text, NOTICE_KEY, n)
-    key = F.struct(part(1).try_cast("int").alias("number"), part(2).try_cast("int").alias("year"), F.when(part(3) != "", part(3)).alias("suffix"))
-    return F.when(text.rlike(NOTICE_KEY), key)
+    return F.struct(part(1).try_cast("int").alias("number"), part(2).try_cast("int").alias("year"), F.when(part(3) != "", part(3)).alias("suffix"))
+
+
+def with_key(rows: DataFrame, text: str) -> DataFrame:
+    """Rows whose text holds a notice, with its number, year and suffix. The key is generated, so that no filter or join that follows repeats the patterns."""
+    c = F.col(text)
+    return rows.select("*", F.inline(F.when(c.rlike(NOTICE_KEY), F.array(_key_parts(c)))))
 
 
 def reference_edges(cited: DataFrame, versions: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -35,9 +44,9 @@ def reference_edges(cited: DataFrame, versions: DataFrame, catalogue: DataFrame)
 
     A citation leads to the one family of the catalogue whose identifier fits it; none if several do, or the family itself."""
     kind = F.col("kind") if "kind" in cited.columns else F.lit(None).cast("string")
-    refs = cited.withColumn("type", F.when(kind.isin(*EXPLICIT), kind).otherwise("referencia")).withColumn("k", notice_key(F.col("identifier"))).where("k IS NOT NULL")
-    refs = refs.select("k.number", "k.year", "k.suffix", "version", "locator", "pos", "type")
-    known = catalogue.withColumn("k", notice_key(F.col("document_id"))).where("k IS NOT NULL").select(F.col("family").alias("target"), "k.number", "k.year", "k.suffix").distinct()
+    refs = cited.select("version", "locator", "identifier", "pos", kind.alias("kind")).withColumn("type", F.when(F.col("kind").isin(*EXPLICIT), F.col("kind")).otherwise("referencia"))
+    refs = with_key(refs, "identifier").select("number", "year", "suffix", "version", "locator", "pos", "type")
+    known = with_key(catalogue.select("family", "document_id"), "document_id").select(F.col("family").alias("target"), "number", "year", "suffix").distinct()
     found = graph.unique_targets(refs, known).join(versions.select("version", "family"), "version").where("target <> family")  # the family of what is found only
     edges = found.select(F.col("family").alias("source"), "target", "type", F.lit("explicit").alias("origin"), F.lit("confirmed").alias("status"), F.lit(None).cast("double").alias("score"), F.col("version").alias("evidence_version"), F.col("locator").alias("evidence_locator"), "pos")
     return graph.first_wins(edges, EDGE_KEY, [F.col("evidence_version"), F.col("evidence_locator"), F.col("pos")]).drop("pos")
