@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessel.functions import text as fn
 from tessel.operators import links, portal, routes, specs
 from tessel.sources import files
+from tessel.sources.shared import written
 
 
 def _t(spark, d, name):
@@ -33,7 +34,7 @@ def protocol_rows(spark, d):
 
 
 def _source(spark, d, by_process):
-    pages = _pages(spark, d)
+    pages = written(_pages(spark, d), "pages")[0]  # the header and both kinds of rows read them
     rows = portal.protocol_rows(pages).join(portal.page_header(pages).select("page", "process_number"), "page")
     n = F.col("protocol").cast("int")
     rows = rows.withColumn("href", F.when(n % 3 == 0, F.concat(F.lit("https://portal/"), "protocol"))).withColumn("related", n % 5 == 0)
@@ -49,7 +50,7 @@ def process_documents(spark, d):
 
 
 def manifests_combined(spark, d):
-    docs = _source(spark, d, True)
+    docs = written(_source(spark, d, True).select("family_id", "version_date"), "manifest")[0]  # each part reads it
     parts = [docs.where(F.pmod(F.crc32("family_id"), F.lit(3)) == i) for i in range(3)]
     return portal.combined(parts).groupBy("family_id").agg(F.count(F.lit(1)).alias("documents"), F.max("version_date").alias("latest"))
 
